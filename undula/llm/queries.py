@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from undula.llm import shared, token_blocks
+from undula.llm import packing, shared, token_blocks
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_files(spark, shared.documents(spark, sf_dir)).drop("shard")
 
 
+def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, shared.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
+    "op10_linear_grouping": op10_linear_grouping,
 }
 
 ORACLE_SQL: dict[str, str] = {}
