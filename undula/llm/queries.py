@@ -4,20 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from undula.llm import packing, shared, token_blocks
+from undula.llm import decontaminate, packing, shared, simhash, token_blocks
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_files(spark, shared.documents(spark, sf_dir)).drop("shard")
 
 
+def op3_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.text_only(shared.documents(spark, sf_dir), "doc_id", "text")
+    found = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op5_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(shared.documents(spark, sf_dir))
+
+
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, shared.documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
+    "op3_aho_corasick": op3_aho_corasick,
+    "op5_pivot_tables": op5_pivot_tables,
     "op10_linear_grouping": op10_linear_grouping,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL = {
+    "op3_aho_corasick": rf"""
+        WITH items AS (
+            SELECT coalesce(item_id::VARCHAR, 'null') AS item,
+                   regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE text IS NOT NULL),
+        windows AS (
+            SELECT DISTINCT item, least(13, len(w)) AS l, array_to_string(w[i:i + 12], ' ') AS g
+            FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM items WHERE len(w) > 0)),
+        docs AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+            FROM documents),
+        lengths AS (SELECT DISTINCT l FROM windows),
+        grams AS (
+            SELECT r, l, i, array_to_string(w[i:i + l - 1], ' ') AS g
+            FROM (SELECT r, l, w, unnest(range(1, len(w) - l + 2)) AS i FROM docs, lengths)),
+        found AS (SELECT r, i, l, item FROM grams JOIN windows USING (l, g)),
+        hits AS (
+            SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM found) GROUP BY r),
+        named AS (
+            SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)""",
+}
