@@ -1,8 +1,9 @@
 """Byte-level BPE through the tokenizers library, with a memory of words already encoded.
 
 A pre-token of this vocabulary holds a space or a line feed only at its start or alone. So where no two white
-spaces touch, a text may be cut before each single space and around each line feed, and its parts encoded apart.
-Texts with touching, leading or trailing white space are encoded whole. Either way the ids are the library's.
+spaces touch and there are no others, a text may be cut before each space and each line feed, and its parts encoded
+apart; a word at a text's start is encoded as after a line feed. Other texts are encoded whole. Either way the ids
+are the library's.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered by one worker; only speed depends on it.
 REMEMBERED = 500_000
 _ids = np.uint32
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_TOUCHING = ("  ", " \n", "\n ", "\n\n")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -23,6 +26,28 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Words(dict):
+    """Ids of words met in two batches or more; `young` has those met once, and starts anew when it is full."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.young[word]
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """Of words those that must be encoded; the others are kept for good."""
+        missing = words - self.keys()
+        if not missing:
+            return []
+        if len(self.young) > REMEMBERED:
+            self.young = {w: self.young[w] for w in missing & self.young.keys()}
+        again = missing & self.young.keys()
+        if len(self) < REMEMBERED:
+            self.update({w: self.young[w] for w in again})
+        return list(missing - again)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores already
@@ -32,67 +57,42 @@ class Encoder:
         self.library.encode_special_tokens = True
         size = self.library.get_vocab_size()
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.newline = self._whole("\n")
-        self.feed = int(np.frombuffer(self.newline, _ids)[0])
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
+        self.feed = int(np.frombuffer(self._whole("\n"), _ids)[0])
+        self.words = Words()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, _ids).tobytes()
 
-    def _learn(self, words: list[str], known: dict[str, bytes], spaced: bool) -> dict[str, bytes]:
-        """known, or where it is full a dictionary for this call, with words encoded in it: in a few joined texts,
-        cut again at tokens that open with a space (spaced) or at line feeds."""
-        into = known if len(known) < REMEMBERED else {w: known[w] for w in words if w in known}
-        words = [w for w in words if w not in into]
-        joint = " " if spaced else "\n"
-        some = [words[at : at + 5000] for at in range(0, len(words), 5000)]
-        texts = [(" " if spaced else "") + joint.join(x) for x in some]
-        for block, made in zip(some, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words in a few joined texts, cut again at the tokens that open them."""
+        after_feed = [w for w in words if w[0] == "\n"]
+        after_space = [" " + w for w in words if w[0] != "\n"]
+        some = [x[at : at + 5000] for x in (after_feed, after_space) for at in range(0, len(x), 5000)]
+        for block, made in zip(some, self.library.encode_batch_fast(["".join(x) for x in some], add_special_tokens=False), strict=True):
             ids = np.array(made.ids, _ids)
             data = ids.tobytes()
-            if spaced:
-                starts = np.flatnonzero(self.opens[ids])
-                ends = np.append(starts[1:], len(ids))
-            else:
-                ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-                starts = np.append(0, ends[:-1] + 1)
+            spaced = block[0][0] == " "
+            starts = np.flatnonzero(self.opens[ids] if spaced else ids == self.feed)
             if len(starts) != len(block):
                 raise AssertionError("a word was not cut where it should be")
-            into.update(zip(block, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
-        return into
+            cuts = [*(4 * starts).tolist(), len(data)]
+            keys = [w[1:] for w in block] if spaced else block
+            self.words.young.update(zip(keys, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut: list[list[list[str]] | None] = []
-        heads: set[str] = set()
-        rest: set[str] = set()
+        cut: list[list[str] | None] = []
+        met: set[str] = set()
         for text in texts:
-            words = text.split() if text else None
-            if not words or text.replace("\n", " ").split(" ") != words:  # other or touching white space
+            if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _TOUCHING) or any(x in text for x in _OTHER_SPACE):
                 cut.append(None)
                 continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            cut.append(lines)
-            rest.update(words)
-            heads.update([line[0] for line in lines])
-        first, after = self.first, self.after
-        if not heads <= first.keys():
-            first = self._learn(list(heads), first, False)
-        if not rest <= after.keys():
-            after = self._learn(list(rest), after, True)
-        out = []
-        for text, lines in zip(texts, cut, strict=True):
-            if lines is None:
-                out.append(self._whole(text) if text else b"")
-                continue
-            parts = []
-            for words in lines:
-                parts.append(self.newline)
-                parts.append(first[words[0]])
-                parts.extend(map(after.__getitem__, words[1:]))
-            out.append(b"".join(parts[1:]))
-        return out
+            words = ("\n" + text.replace("\n", " \n")).split(" ")
+            met.update(words)
+            cut.append(words)
+        self._learn(self.words.unknown(met))
+        known = self.words.__getitem__
+        return [b"".join(map(known, words))[4:] if words else self._whole(text) if text else b"" for text, words in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
