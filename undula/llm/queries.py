@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from undula.llm import decontaminate, packing, shared, simhash, token_blocks
+from undula.llm import decontaminate, packing, shared, simhash, substrings, token_blocks
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(shared.documents(spark, sf_dir))
 
 
+def op6_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.strip(shared.documents(spark, sf_dir)).drop("text")
+
+
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, shared.documents(spark, sf_dir))
 
@@ -29,6 +33,7 @@ QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op3_aho_corasick": op3_aho_corasick,
     "op5_pivot_tables": op5_pivot_tables,
+    "op6_doubling": op6_doubling,
     "op10_linear_grouping": op10_linear_grouping,
 }
 
