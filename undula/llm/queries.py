@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from undula.llm import decontaminate, packing, shared, simhash, substrings, token_blocks
+from undula.llm import decontaminate, language, packing, shared, simhash, substrings, token_blocks
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_files(spark, shared.documents(spark, sf_dir)).drop("shard")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.documents(spark, sf_dir)
+    found = language.identify(shared.text_only(docs, "doc_id", "text"), language.train(docs))
+    held_out = F.coalesce(language.fold() == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op3_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.text_only(shared.documents(spark, sf_dir), "doc_id", "text")
     found = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -31,6 +39,7 @@ def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_aho_corasick": op3_aho_corasick,
     "op5_pivot_tables": op5_pivot_tables,
     "op6_doubling": op6_doubling,
