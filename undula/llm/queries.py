@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontaminate, language, packing, shared, simhash, substrings, token_blocks
+from undula.llm import decontaminate, language, packing, shared, simhash, substrings, surrogates, token_blocks
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op6_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip(shared.documents(spark, sf_dir)).drop("text")
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.anonymise(shared.text_only(shared.documents(spark, sf_dir), "doc_id", "text"))
+    return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "text", "entities")
+
+
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, shared.documents(spark, sf_dir))
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op3_aho_corasick": op3_aho_corasick,
     "op5_pivot_tables": op5_pivot_tables,
     "op6_doubling": op6_doubling,
+    "op7_surrogates": op7_surrogates,
     "op10_linear_grouping": op10_linear_grouping,
 }
 

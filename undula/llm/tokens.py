@@ -13,8 +13,8 @@ import os
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words remembered by one worker; only speed depends on it.
-REMEMBERED = 500_000
+#: Words one worker remembers for good, and on trial; only memory and speed depend on it.
+REMEMBERED, ON_TRIAL = 300_000, 150_000
 _ids = np.uint32
 _OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _TOUCHING = ("  ", " \n", "\n ", "\n\n")
@@ -40,7 +40,7 @@ class Words(dict):
         missing = words - self.keys()
         if not missing:
             return []
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > ON_TRIAL:
             self.young = {w: self.young[w] for w in missing & self.young.keys()}
         again = missing & self.young.keys()
         if len(self) < REMEMBERED:
