@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontaminate, language, packing, shared, simhash, substrings, surrogates, token_blocks
+from undula.llm import decontaminate, language, packing, quality, shared, simhash, substrings, surrogates, token_blocks, warc
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "text", "entities")
 
 
+def op8_split_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_read(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(shared.documents(spark, sf_dir)).drop("lang", "source", *quality.SLACK)
+
+
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, shared.documents(spark, sf_dir))
 
@@ -49,12 +58,76 @@ QUERIES = {
     "op5_pivot_tables": op5_pivot_tables,
     "op6_doubling": op6_doubling,
     "op7_surrogates": op7_surrogates,
+    "op8_split_reader": op8_split_reader,
+    "op9_quantile_sketches": op9_quantile_sketches,
     "op10_linear_grouping": op10_linear_grouping,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SPACE = "[\\x20\\x09-\\x0D]"
+_RATES = list(quality.SLACK)
+
+
+def _quality_sql() -> str:
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {r} AS v FROM rated WHERE NOT base_failed AND {r} IS NOT NULL" for r in _RATES)
+    e = "greatest(length(bin(v)) - 6, 0)"
+    top = "greatest(bin // 32 - 1, 0)"
+
+    def quartiles(name: str, keys: str) -> str:
+        return f"""
+        {name} AS (
+            SELECT {keys} rate, max(total) AS rows, min(CASE WHEN upto * 4 >= total THEN top END) AS q1,
+                   min(CASE WHEN upto * 4 >= 3 * total THEN top END) AS q3
+            FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} rate ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys} rate) AS total,
+                         ((bin - 32 * {top} + 1) << {top}) - 1 AS top
+                  FROM (SELECT {keys} rate, bin, sum(n) AS n FROM binned GROUP BY ALL))
+            GROUP BY ALL),"""
+
+    slack = "CASE o.rate " + " ".join(f"WHEN '{r}' THEN {s}" for r, s in quality.SLACK.items()) + " END"
+    pick = lambda q: f"CASE WHEN o.rows >= 100 THEN o.{q} WHEN l.rows >= 100 THEN l.{q} ELSE a.{q} END"
+    good = " AND ".join([f"{r} <= most_{r}" for r in _RATES] + ["word_length >= least_word_length"])
+    limits = ", ".join([f"max(CASE WHEN rate = '{r}' THEN q3 + width END) AS most_{r}" for r in _RATES] + ["max(CASE WHEN rate = 'word_length' THEN q1 - width END) AS least_word_length"])
+    return rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents),
+        grams AS (SELECT r, i, (w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+        twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+        covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+        counted AS (
+            SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+            FROM docs LEFT JOIN covered USING (r)),
+        rated AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                   CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words END AS symbol_rate,
+                   CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines END AS dup_line_rate,
+                   CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words END AS repeat_rate,
+                   CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words END AS word_length
+            FROM counted),
+        binned AS (SELECT lang, source, rate, 32 * {e} + (v >> {e}) AS bin, count(*) AS n FROM ({bins}) GROUP BY ALL),
+        {quartiles("own", "lang, source,")}{quartiles("by_lang", "lang,")}{quartiles("every", "")}
+        widths AS (
+            SELECT o.lang, o.source, o.rate, {pick("q1")} AS q1, {pick("q3")} AS q3, greatest(3 * ({pick("q3")} - {pick("q1")}), {slack}) AS width
+            FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN every a ON o.rate = a.rate),
+        limits AS (SELECT lang, source, {limits} FROM widths GROUP BY ALL)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({good}, true) AS kept
+        FROM rated t LEFT JOIN limits m ON t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source"""
+
+
 ORACLE_SQL = {
+    "op8_split_reader": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+        m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS leader FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN leader IS NULL OR leader IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN leader IS DISTINCT FROM page_id THEN leader END AS refers_to
+        FROM m""",
+    "op9_quantile_sketches": _quality_sql(),
     "op3_aho_corasick": rf"""
         WITH items AS (
             SELECT coalesce(item_id::VARCHAR, 'null') AS item,
