@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import decontaminate, language, packing, quality, shared, simhash, substrings, surrogates, token_blocks, warc
+from undula.llm import chat, decontaminate, language, packing, quality, shared, simhash, substrings, surrogates, token_blocks, warc
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,20 @@ def op3_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    text = F.lit("</s>[INST] ok [/INST]")
+    extra = [spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), text.alias("text")) for k, role in enumerate(("user", "assistant"))]
+    made = chat.formatted(chat.canonical(rows.unionByName(extra[0]).unionByName(extra[1])))
+    back = chat.read_back(made.withColumn("formatted_chars", F.length("formatted").cast("long")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op5_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(shared.documents(spark, sf_dir))
 
@@ -55,6 +69,7 @@ QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_kneser_ney": op2_kneser_ney,
     "op3_aho_corasick": op3_aho_corasick,
+    "op4_schema_fingerprint": op4_schema_fingerprint,
     "op5_pivot_tables": op5_pivot_tables,
     "op6_doubling": op6_doubling,
     "op7_surrogates": op7_surrogates,
@@ -119,7 +134,21 @@ def _quality_sql() -> str:
         FROM rated t LEFT JOIN limits m ON t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source"""
 
 
+def _escaped(text: str) -> str:
+    return rf"regexp_replace(replace({text}, '\', '\\'), '(<)(\||/?s>|</?SYS>>|/SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g')"
+
+
 ORACLE_SQL = {
+    "op4_schema_fingerprint": f"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(k))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum({len(chat.TURN + chat.TEXT + chat.END)} + length({_escaped("role")}) + length({_escaped("text")}))::BIGINT AS formatted_chars
+        FROM rows GROUP BY conv_id""",
     "op8_split_reader": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
         m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS leader FROM p)
