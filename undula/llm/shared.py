@@ -88,3 +88,13 @@ def per_batch(df: DataFrame, function, schema) -> DataFrame:
 def text_only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns, whatever their names, don't matter."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def apart(docs: DataFrame, added: Iterable[str], apply) -> DataFrame:
+    """apply(docs), which adds columns and may drop rows, for docs that may have columns of the names added: those are
+    renamed before and have their names again after. Returns the columns of docs alone; `apply` has used the others."""
+    added = {x.lower() for x in added}
+    taken = {*docs.columns, *added}
+    other = {c: fresh(taken, f"{c}_of_documents") for c in docs.columns if c.lower() in added}
+    result = apply(docs.withColumnsRenamed(other))
+    return result.select(*(F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns))

@@ -137,30 +137,36 @@ def candidate_runs(docs: DataFrame, passed: np.ndarray, window: int) -> DataFram
     return docs.mapInArrow(run, "doc_id long, text_hash long, first long, seg long, windows binary")
 
 
-def _windows_of(runs: DataFrame) -> DataFrame:
-    """A row per window of the runs (seg, n, windows): h, seg, n, k (its place in the run)."""
+def _windows_of(runs: DataFrame, placed: bool) -> DataFrame:
+    """A row per window of the runs (seg, windows): h, and where asked for seg and k (its place in the run)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 data, ends = shared.joined(batch.column("windows"))
                 size = np.diff(ends) // 8
+                h = pa.array(np.ascontiguousarray(data).view(np.int64))
+                if not placed:
+                    yield pa.RecordBatch.from_arrays([h], names=["h"])
+                    continue
                 row = np.repeat(np.arange(len(size)), size)
                 k = np.arange(len(row)) - np.repeat(ends[:-1] // 8, size)
-                h = np.ascontiguousarray(data).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.asarray(batch.column("seg"))[row]), pa.array(np.asarray(batch.column("n"))[row]), pa.array(k.astype(np.int32))], names=["h", "seg", "n", "k"])
+                yield pa.RecordBatch.from_arrays([h, pa.array(np.asarray(batch.column("seg"))[row]), pa.array(k.astype(np.int8))], names=["h", "seg", "k"])
 
-    return runs.mapInArrow(run, "h long, seg long, n long, k int")
+    return runs.mapInArrow(run, "h long, seg long, k byte" if placed else "h long")
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, text_hash, found: the places (first word of a run, bits of its windows) of repeated windows."""
     halves = shared.stored(repeated_halves(docs, window), "halves")
     runs = shared.stored(candidate_runs(docs, bitmap(halves), window), "runs")
-    segments = runs.groupBy("seg").agg(F.count("*").alias("n"), F.min("windows").alias("windows"))
-    exploded = shared.stored(_windows_of(segments), "windows")
-    twice = exploded.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
-    marks = exploded.join(twice, "h").groupBy("seg").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("bits"))
+    segments = shared.stored(runs.groupBy("seg").agg(F.count("*").alias("n"), F.min("windows").alias("windows")), "segments")
+    many, once = segments.where("n > 1"), segments.where("n = 1")
+    single = _windows_of(once, True)
+    number = single.select("h", F.lit(1).alias("n")).union(_windows_of(many, False).select("h", F.lit(2).alias("n")))
+    twice = number.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
+    marks = single.join(twice, "h").groupBy("seg").agg(F.bit_or(F.expr("shiftleft(1L, CAST(k AS int))")).alias("bits"))
+    marks = marks.union(many.select("seg", F.expr("shiftleft(1L, CAST(octet_length(windows) div 8 AS int)) - 1")))
     found = runs.select("doc_id", "text_hash", "first", "seg").join(marks, "seg")
     return found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "bits")).alias("found"))
 
