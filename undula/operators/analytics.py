@@ -14,7 +14,7 @@ from undula.operators.oscillation import Oscillation
 OBJECT_PROPERTIES = (
     "rise_duration", "fall_duration", "duration", "period", "amplitude", "rising_mean_rate", "falling_mean_rate", "peak_rise_rate", "peak_fall_rate", "temporal_symmetry",
 )
-RAW_FEATURES = ("raw_mean", "raw_std", "raw_min", "raw_max", "raw_range", "raw_first", "raw_last", "raw_delta", "raw_abs_delta")
+RAW_FEATURES = ("raw_mean", "raw_std", "raw_min", "raw_max", "raw_range", "raw_start", "raw_end", "raw_delta", "raw_abs_delta")
 REGIMES = ("pre_injection", "early_response", "post_response")
 FAULT, RUN = "fault_number", "simulation_run"
 
@@ -33,9 +33,9 @@ def segment_statistics(frame: OrderedFrame, signal: str, wave_id: str) -> DataFr
     v, at = F.col("v.x"), F.when(F.col("v.x").isNotNull(), F.col("v.i"))
     stats = values.groupBy(*g, wave_id).agg(
         F.avg(v).alias("raw_mean"), F.stddev_pop(v).alias("raw_std"), F.min(v).alias("raw_min"), F.max(v).alias("raw_max"),
-        F.min_by(v, at).alias("raw_first"), F.max_by(v, at).alias("raw_last"),
+        F.min_by(v, at).alias("raw_start"), F.max_by(v, at).alias("raw_end"),
     )
-    delta = F.col("raw_last") - F.col("raw_first")
+    delta = F.col("raw_end") - F.col("raw_start")
     stats = stats.withColumns({"raw_range": F.col("raw_max") - F.col("raw_min"), "raw_delta": delta, "raw_abs_delta": F.abs(delta)})
     return stats.select(*g, wave_id, *RAW_FEATURES)
 

@@ -17,8 +17,8 @@ from undula.operators.frame import OrderedFrame
 
 #: Fixed names, in their order.
 FEATURES = (
-    "value", "direction", "reversal", "phase_elapsed", "phase_displacement", "running_amplitude", "running_signed_area", "previous_phase_duration",
-    "previous_phase_amplitude", "completed_phases", "previous_cycle_duration", "previous_cycle_amplitude",
+    "direction", "reversal", "phase_elapsed", "displacement_from_extremum", "running_amplitude", "running_signed_area", "previous_phase_amplitude",
+    "previous_phase_duration", "completed_phases", "previous_cycle_amplitude", "previous_cycle_duration", "completed_cycles",
 )
 
 
@@ -56,7 +56,7 @@ class Encoder:
             area += x - begin_value
         self.state = (t + 1, x, direction, begin, begin_value, area, phases, phase_time, phase_size, cycle_time, cycle_size, e1, e2, e3)
         moved = x - begin_value
-        return (x, float(direction), float(reversal), float(t - begin), moved, abs(moved), area, phase_time, phase_size, float(phases), cycle_time, cycle_size)
+        return (float(direction), float(reversal), float(t - begin), moved, abs(moved), area, phase_size, phase_time, float(phases), cycle_size, cycle_time, float(max(phases - 2, 0)))
 
 
 def causal_features(df: DataFrame, signal: str, order_by, group=None, eps: float = 0.0) -> DataFrame:
@@ -86,7 +86,7 @@ def causal_features(df: DataFrame, signal: str, order_by, group=None, eps: float
     made: dict[str, Column] = dict(
         zip(
             FEATURES,
-            (x, c("_dir"), c("_rev").cast("int"), t - c("_begin"), c("_moved"), F.abs("_moved"), c("_area"), carried("_pd"), carried("_pa"), c("_phase"), carried("_cd"), carried("_ca")),
+            (c("_dir"), c("_rev").cast("int"), t - c("_begin"), c("_moved"), F.abs("_moved"), c("_area"), carried("_pa"), carried("_pd"), c("_phase"), carried("_ca"), carried("_cd"), F.greatest(c("_phase") - 2, F.lit(0))),
             strict=True,
         )
     )
@@ -109,7 +109,7 @@ def represent(df: DataFrame, signal: str, order_by, group=None, kind: str = "aug
     if kind not in ("features", "augmented"):
         raise ValueError(f"unknown representation {kind!r}")
     made = causal_features(df, signal, order_by, group, eps)
-    return made if kind == "features" else history(made.withColumn(signal, F.col("value").cast("double")), signal, order_by, group)
+    return made if kind == "features" else history(made, signal, order_by, group)
 
 
 def scaled(df: DataFrame, scales: dict[str, float], bound: float = 10.0) -> DataFrame:
