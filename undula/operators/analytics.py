@@ -81,7 +81,7 @@ def cliffs_delta(df: DataFrame, value: str, side: str, keys: Sequence[str] = ())
     rank = upto - (F.col("_c") + F.col("_r")) + (F.col("_c") + F.col("_r") + 1) / 2
     sums = rows.withColumn("_rank", rank).groupBy(*keys).agg(F.sum(F.col("_rank") * F.col("_c")).alias("_s"), F.sum("_c").alias("_n"), F.sum("_r").alias("_m"))
     n, m = F.col("_n"), F.col("_m")
-    return sums.select(*keys, F.when((n > 0) & (m > 0), 2 * (F.col("_s") - n * (n + 1) / 2) / (n * m) - 1).alias("cliffs_delta"))
+    return sums.select(*keys, F.when((n > 0) & (m > 0), (2 * F.col("_s") - n * (n + 1) - n * m) / (n * m)).alias("cliffs_delta"))
 
 
 def unpivoted(objects: DataFrame, keys: Sequence[str], properties: Sequence[str]) -> DataFrame:
