@@ -5,7 +5,7 @@ Signals are whole hundredths, so that states that hang on sums and means don't h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,9 +253,9 @@ def summary(spark, sf_dir):
 # ---- accumulations ----
 
 
-def accumulation(spark, sf_dir, threshold, extra: dict[str, Column] | None = None) -> tuple[Accumulation, DataFrame]:
+def accumulation(spark, sf_dir, threshold, extra=None) -> tuple[Accumulation, DataFrame]:
     e = events(spark, sf_dir)
-    features = oscillation().fit_transform(e.withColumns(extra) if extra else e)
+    features = oscillation().fit_transform(e.withColumns(extra()) if extra else e)
     a = Accumulation("x", O, G, threshold)
     return a, a.fit_transform(features)
 
@@ -274,7 +274,7 @@ for _name, _threshold, _sql, _extra in (
     ("median", "median", "median(x) OVER (PARTITION BY user_id, wave)", None),
     ("first", "first", "first_value(x) OVER (PARTITION BY user_id, wave ORDER BY event_id)", None),
     ("const", 15000, "15000::DOUBLE", None),
-    ("column", "level", "(100.0 * (event_id % 50))::DOUBLE", {"level": 100.0 * (F.col(O) % 50)}),
+    ("column", "level", "(100.0 * (event_id % 50))::DOUBLE", lambda: {"level": 100.0 * (F.col(O) % 50)}),
 ):
     query(f"acc_objects_{_name}", f"WITH {oracle.waves(2)}{oracle.accumulations(_sql)} SELECT user_id, {ACC_COLUMNS} FROM acc")(_acc(_threshold, _extra))
 
