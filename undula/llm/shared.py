@@ -29,9 +29,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to a scratch table and read again: lineage ends there and lost executors cost nothing."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As stored(), and the table's path, for remove() once what was made of it is stored too."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -69,6 +74,19 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), ends
 
 
+def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in parts of about `most` bytes of a column, or of one row that is longer."""
+    for batch in batches:
+        at = 0
+        if batch.num_rows:
+            upto = np.cumsum([len(x or b"") for x in raw(batch.column(column))])
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def with_columns(batch: pa.RecordBatch, more: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 

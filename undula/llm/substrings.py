@@ -68,10 +68,9 @@ def repeated_halves(docs: DataFrame, window: int) -> DataFrame:
     """h (as a signed long) of the half windows looked at that are there twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found, n = np.unique(_Windows(*shared.joined(batch.column("text")), window).selected, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
+        for batch in shared.parts(batches, "text"):
+            found, n = np.unique(_Windows(*shared.joined(batch.column("text")), window).selected, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     counted = shared.text_only(docs, "text").mapInArrow(run, "h long, n long")
     return counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
@@ -108,9 +107,7 @@ def candidate_runs(docs: DataFrame, passed: np.ndarray, window: int) -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in shared.parts(batches, "text"):
             w = _Windows(*shared.joined(batch.column("text")), window)
             bits = len(sent.value) * 8
             place = _bit(w.least, bits)
@@ -158,9 +155,14 @@ def _windows_of(runs: DataFrame, placed: bool) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, text_hash, found: the places (first word of a run, bits of its windows) of repeated windows."""
-    halves = shared.stored(repeated_halves(docs, window), "halves")
-    runs = shared.stored(candidate_runs(docs, bitmap(halves), window), "runs")
-    segments = shared.stored(runs.groupBy("seg").agg(F.count("*").alias("n"), F.min("windows").alias("windows")), "segments")
+    session = docs.sparkSession
+    halves, path = shared.stored_at(repeated_halves(docs, window), "halves")
+    passed = bitmap(halves)
+    shared.remove(session, path)
+    wide, path = shared.stored_at(candidate_runs(docs, passed, window), "runs")
+    segments = shared.stored(wide.groupBy("seg").agg(F.count("*").alias("n"), F.min("windows").alias("windows")), "segments")
+    runs = shared.stored(wide.drop("windows"), "places")
+    shared.remove(session, path)
     many, once = segments.where("n > 1"), segments.where("n = 1")
     single = _windows_of(once, True)
     number = single.select("h", F.lit(1).alias("n")).union(_windows_of(many, False).select("h", F.lit(2).alias("n")))

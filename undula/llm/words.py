@@ -52,13 +52,22 @@ def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, stops, np.searchsorted(starts, ends)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = powers(_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=total[1:])
-    value = (total[stops] - total[starts]) * down[starts]
-    return mix(value + (stops - starts).astype(np.uint64) * np.uint64(_BASE))
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, made for some `most` bytes of words at a time."""
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        base = starts[k]
+        end = max(k + 1, int(np.searchsorted(stops, base + most, "right")))
+        part = data[base : stops[end - 1]]
+        up, down = powers(_BASE, len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_CODES[part] * up[: len(part)], out=total[1:])
+        first, last = starts[k:end] - base, stops[k:end] - base
+        value = (total[last] - total[first]) * down[first]
+        out[k:end] = mix(value + (last - first).astype(np.uint64) * np.uint64(_BASE))
+        k = end
+    return out
 
 
 def grams(words: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
