@@ -56,6 +56,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)")
 _SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")
 _PHONE = re.compile(r"(?<!\w)(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-/]?\d{2,4}){1,4}(?!\w)")
+_NANP = re.compile(r"(?<!\w)(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\w)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _VALUE = re.compile(rf"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, KEYWORDS))})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?([^\s\"',;]{{6,}})")
@@ -80,36 +81,52 @@ def _iban_valid(compact: str) -> bool:
     return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def _phones(text: str) -> list[tuple[int, int]]:
+    out = []
+    for m in _PHONE.finditer(text):
+        digits = sum(c.isdigit() for c in m.group())
+        if 9 <= digits <= 15 and not _DATE.match(m.group()) and ("+" in m.group() or "(" in m.group() or len(re.findall(r"[ .\-/]", m.group())) >= 2):
+            out.append(m.span())
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """Entities that don't overlap, as (start, end, kind), in order of place. Kinds before others win a place."""
-    found: list[tuple[int, int, str]] = []
+    """Entities that don't overlap, as (start, end, kind), in order of place. Each kind is looked for in what the kinds
+    before it have left, so neighbours don't run into one another."""
+    out: list[tuple[int, int, str]] = []
+    left = text
+
+    def take(spans, kind: str) -> None:
+        nonlocal left
+        parts, at = [], 0
+        for start, end in spans:
+            if end > start >= at and "\0" not in left[start:end]:
+                out.append((start, end, kind))
+                parts += [left[at:start], "\0" * (end - start)]
+                at = end
+        left = "".join([*parts, left[at:]]) if parts else left
+
+    if "\0" in text:
+        left = text.replace("\0", " ")
     if "-----BEGIN" in text:
-        found += [(*m.span(2), "secret") for m in _PEM.finditer(text)]
+        take([m.span(2) for m in _PEM.finditer(left)], "secret")
     if "AKIA" in text or "ASIA" in text:
-        found += [(*m.span(), "secret") for m in _ACCESS.finditer(text)]
+        take([m.span() for m in _ACCESS.finditer(left)], "secret")
     if "=" in text or ":" in text:
-        found += [(*m.span(1), "secret") for m in _VALUE.finditer(text)]
+        take([m.span(1) for m in _VALUE.finditer(left)], "secret")
     if "@" in text:
-        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
+        take([m.span() for m in _EMAIL.finditer(left)], "email")
     if _NUMBER.search(text):
-        found += [(*m.span(), "iban") for m in _IBAN.finditer(text) if _iban_valid(m.group().replace(" ", ""))]
-        found += [(*m.span(), "card") for m in _CARD.finditer(text)]
-        found += [(*m.span(), "ip") for m in _IP.finditer(text)]
-        found += [(*m.span(), "ssn") for m in _SSN.finditer(text)]
-        for m in _PHONE.finditer(text):
-            digits = sum(c.isdigit() for c in m.group())
-            if 9 <= digits <= 15 and not _DATE.match(m.group()) and ("+" in m.group() or "(" in m.group() or len(re.findall(r"[ .\-/]", m.group())) >= 2):
-                found.append((*m.span(), "phone"))
-    found += [(*m.span(2), "name:" + _TITLE[m.group(1)]) for m in _TITLED.finditer(text)]
-    for m in _PAIR.finditer(text):
-        if m.group().split(" ")[0] in _GENDER:
-            found.append((*m.span(), "name:any"))
-    out: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
-    for start, end, kind in found:
-        if end > start and all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
-            out.append((start, end, kind))
+        take([m.span() for m in _IBAN.finditer(left) if _iban_valid(m.group().replace(" ", ""))], "iban")
+        take([m.span() for m in _IP.finditer(left)], "ip")
+        take([m.span() for m in _NANP.finditer(left)], "phone")
+        take([m.span() for m in _CARD.finditer(left)], "card")
+        take([m.span() for m in _SSN.finditer(left)], "ssn")
+        take(_phones(left), "phone")
+    titled = list(_TITLED.finditer(left))
+    for gender in TITLES:
+        take([m.span(2) for m in titled if _TITLE[m.group(1)] == gender], "name:" + gender)
+    take([m.span() for m in _PAIR.finditer(left) if m.group().split(" ")[0] in _GENDER], "name:any")
     return sorted(out)
 
 
