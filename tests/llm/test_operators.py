@@ -159,6 +159,7 @@ def test_decontamination(spark):
     benchmark, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, DOCS)
     for window in (2, 5, 13):
         rows = decontaminate.scan(table, benchmark, window).collect()
+        assert order(tuple(r) for r in decontaminate.scan(table, benchmark, window, most=7).collect()) == order(tuple(r) for r in rows)
         assert order(tuple(r)[:7] for r in rows) == order((d, t, *brute_hits(t, items, window)) for d, t in docs)
     r = next(r for r in rows if r.doc_id == 99)
     assert [r.text[s.start : s.end] for s in r.spans] == ["RARE-word", "Zeta... eta"]

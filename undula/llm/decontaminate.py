@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from undula.llm import shared
 
 _KEEP = re.compile(rb"[0-9a-z\x80-\xff]+")
 NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-#: The benchmark's windows go to every worker; a larger benchmark must be given in parts.
-MOST_BENCHMARK_BYTES = 256 << 20
+#: Words of the benchmark in one automaton, about 250 MB of a worker's memory; a larger benchmark takes several passes.
+MOST_WORDS = 60_000
 RESULT = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -39,62 +40,82 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(NORMAL).split()
 
 
-def benchmark_windows(benchmark: DataFrame, window: int) -> list[tuple[str, list[str]]]:
-    """Each distinct window, as a pattern, with the ids of its items. The benchmark's size is checked first."""
+def item_parts(benchmark: DataFrame, window: int, most: int = MOST_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items (id, words) in parts of at most `most` words, one part at a time on the driver. A longer item is cut into
+    pieces that share window - 1 words, so every window of it is in a piece."""
     items = shared.text_only(benchmark, "item_id", "text").where("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MOST_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; at most {MOST_BENCHMARK_BYTES} are matched at once")
-    found: dict[bytes, set[str]] = {}
+    held: list[tuple[str, list[bytes]]] = []
+    n = 0
     for item_id, text in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("binary")).toLocalIterator():
         own = words(bytes(text))
-        for k in range(max(1, len(own) - window + 1) if own else 0):
-            found.setdefault(b" ".join([b"", *own[k : k + window], b""]), set()).add(item_id)
-    return [(pattern.decode("latin-1"), sorted(ids)) for pattern, ids in sorted(found.items())]
-
-
-_automata: dict[int, object] = {}
-
-
-def _automaton(key: int, sent):
-    """This process's automaton of a broadcast list of windows; one is held at a time."""
-    import ahocorasick
-
-    if key not in _automata:
-        made = ahocorasick.Automaton()
-        for k, (pattern, _) in enumerate(sent.value):
-            made.add_word(pattern, (k, len(pattern)))
-        if len(made):
-            made.make_automaton()
-        _automata.clear()
-        _automata[key] = made
-    return _automata[key]
-
-
-def judge(text: bytes | None, automaton, windows: list[tuple[str, list[str]]], num: int = 1, den: int = 20):
-    """n_words, n_hit, n_items, items_sha256, contaminated, and hit spans as byte offsets of the text."""
-    own = words(text)
-    n = len(own)
-    items: set[str] = set()
+        for k in range(0, max(1, len(own) - window + 1) if own else 0, most):
+            piece = own[k : k + most + window - 1] if len(own) > window else own
+            if n and n + len(piece) > most + window:
+                yield held
+                held, n = [], 0
+            held.append((item_id, piece))
+            n += len(piece)
+    if held:
+        yield held
+
+
+class Matcher:
+    """The automaton of some items' windows, and the items of each."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        import ahocorasick
+
+        found: dict[bytes, set[str]] = {}
+        for item_id, own in items:
+            for k in range(max(1, len(own) - window + 1)):
+                found.setdefault(b" ".join([b"", *own[k : k + window], b""]), set()).add(item_id)
+        self.items = list(found.values())
+        self.automaton = ahocorasick.Automaton()
+        for k, pattern in enumerate(found):
+            self.automaton.add_word(pattern.decode("latin-1"), (k, len(pattern)))
+        if self.items:
+            self.automaton.make_automaton()
+
+    def matches(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Runs of words (first, end) that windows cover, and the items whose windows occur."""
+        if not own or not self.items:
+            return [], set()
+        line = b" ".join([b"", *own, b""])
+        found = [(end + 1 - size, end, k) for end, (k, size) in self.automaton.iter(line.decode("latin-1"))]
+        if not found:
+            return [], set()
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
+        edge = np.zeros(len(own) + 1, np.int64)
+        np.add.at(edge, np.searchsorted(spaces, [m[0] for m in found]), 1)
+        np.add.at(edge, np.searchsorted(spaces, [m[1] for m in found]), -1)
+        return runs(np.cumsum(edge)[:-1] > 0), set().union(*(self.items[k] for k in {m[2] for m in found}))
+
+
+def runs(hit: np.ndarray) -> list[tuple[int, int]]:
+    change = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
+    return list(zip(change[::2], change[1::2], strict=True))
+
+
+_matchers: dict[int, Matcher] = {}
+
+
+def _matcher(key: int, sent, window: int) -> Matcher:
+    """This process's matcher of a broadcast list of items; one is held at a time."""
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(sent.value, window)
+    return _matchers[key]
+
+
+def verdict(text: bytes | None, own: list[bytes], covered: list[tuple[int, int]], items: set[str], num: int, den: int) -> tuple:
+    """n_words, n_hit, n_items, items_sha256, contaminated, and the covered words as code point spans of the text."""
+    hits = sum(b - a for a, b in covered)
     spans: list[tuple[int, int]] = []
-    hits = 0
-    if n and len(automaton):
-        line = b" ".join([b"", *own, b""]).decode("latin-1")
-        matches = [(end + 1 - size, end + 1, k) for end, (k, size) in automaton.iter(line)]
-        if matches:
-            for k in {m[2] for m in matches}:
-                items.update(windows[k][1])
-            spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20)
-            edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, np.searchsorted(spaces, [m[0] for m in matches]), 1)
-            np.add.at(edge, np.searchsorted(spaces, [m[1] - 1 for m in matches]), -1)
-            hit = np.cumsum(edge)[:n] > 0
-            hits = int(hit.sum())
-            change = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-            at = [m.span() for m in _KEEP.finditer((text or b"").translate(NORMAL))]
-            spans = [(at[a][0], at[b - 1][1]) for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True)]
+    if covered:
+        at = [m.span() for m in _KEEP.finditer((text or b"").translate(NORMAL))]
+        spans = characters(text or b"", [(at[a][0], at[b - 1][1]) for a, b in covered])
     digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-    return n, hits, len(items), digest, hits > 0 and den * hits >= num * n, spans
+    return len(own), hits, len(items), digest, hits > 0 and den * hits >= num * len(own), [{"start": a, "end": b} for a, b in spans]
 
 
 def characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,27 +127,80 @@ def characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(int(before[a]), int(before[b])) for a, b in spans]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, num: int = 1, den: int = 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, num: int = 1, den: int = 20, most: int = MOST_WORDS) -> DataFrame:
     """docs (any columns, with text) and: n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     A document is contaminated if words are hit and den * n_hit >= num * n_words. spans are code point offsets of runs
     of hit words in the original text. Null or empty text has no words, and isn't contaminated. Items are told apart by
     item_id (null: one item named "null"); items without words match nothing; an empty benchmark hits nothing.
     Repeated rows are judged alike. docs must not have columns of the names added.
+
+    A benchmark of up to `most` words goes to the workers and texts are read once. A larger one is matched a part at a
+    time; what a part hits is kept by the text's hashes, and joined to the documents at the end.
     """
-    windows = benchmark_windows(benchmark, window)
-    sent = docs.sparkSession.sparkContext.broadcast(windows)
+    shared.bounded_batches(docs.sparkSession)
+    parts = item_parts(benchmark, window, most)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return _judged(docs, _sent(docs, first), window, num, den)
+    keys = [F.xxhash64("text").alias("r"), F.hash("text").alias("s")]
+    found = None
+    for k, part in enumerate(chain((first, second), parts)):
+        hits = shared.stored(_hits(docs.select("text", *keys), _sent(docs, part), window).dropDuplicates(["r", "s"]), f"hits-{k}")
+        found = hits if found is None else found.union(hits)
+    merged = found.groupBy("r", "s").agg(F.flatten(F.collect_list("covered")).alias("covered"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    r, s, covered, items = (shared.fresh(docs.columns, x) for x in ("r", "s", "covered", "items"))
+    keyed = docs.withColumns({r: F.xxhash64("text"), s: F.hash("text")})
+    both = keyed.join(merged.withColumnsRenamed({"r": r, "s": s, "covered": covered, "items": items}), [r, s], "left").drop(r, s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, spans, names in zip(shared.raw(batch.column("text")), batch.column(covered).to_pylist(), batch.column(items).to_pylist(), strict=True):
+                own = words(text)
+                hit = np.zeros(len(own), bool)
+                for x in spans or ():
+                    hit[x["start"] : x["end"]] = True
+                rows.append(verdict(text, own, runs(hit), set(names or ()), num, den))
+            yield _with_result(batch.drop_columns([covered, items]), rows)
+
+    return both.mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT]))
+
+
+def _sent(docs: DataFrame, items: list[tuple[str, list[bytes]]]):
+    return docs.sparkSession.sparkContext.broadcast(items)
+
+
+def _with_result(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    return shared.with_columns(batch, {f.name: pa.array([r[k] for r in rows], kind) for k, (f, kind) in enumerate(zip(RESULT, _KINDS, strict=True))})
+
+
+def _judged(docs: DataFrame, sent, window: int, num: int, den: int) -> DataFrame:
     key = int(sent._jbroadcast.id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            automaton = _automaton(key, sent)
+            matcher = _matcher(key, sent, window)
             rows = []
             for text in shared.raw(batch.column("text")):
-                *row, spans = judge(text, automaton, sent.value, num, den)
-                rows.append((*row, [{"start": a, "end": b} for a, b in characters(text or b"", spans)]))
-            arrays = {f.name: pa.array([r[k] for r in rows], kind) for k, (f, kind) in enumerate(zip(RESULT, _KINDS, strict=True))}
-            yield shared.with_columns(batch, arrays)
+                own = words(text)
+                rows.append(verdict(text, own, *matcher.matches(own), num, den))
+            yield _with_result(batch, rows)
 
-    shared.bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT]))
+
+
+def _hits(keyed: DataFrame, sent, window: int) -> DataFrame:
+    """r, s, covered, items of the texts that are hit."""
+    key = int(sent._jbroadcast.id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matcher = _matcher(key, sent, window)
+            made = [(k, *matcher.matches(words(text))) for k, text in enumerate(shared.raw(batch.column("text")))]
+            made = [m for m in made if m[1]]
+            places = pa.array([m[0] for m in made], pa.int64())
+            covered = pa.array([[{"start": a, "end": b} for a, b in m[1]] for m in made], _KINDS[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("r").take(places), batch.column("s").take(places), covered, pa.array([sorted(m[2]) for m in made], pa.list_(pa.string()))], names=["r", "s", "covered", "items"])
+
+    return keyed.mapInArrow(run, "r long, s int, covered array<struct<start:long,end:long>>, items array<string>")
