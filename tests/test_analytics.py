@@ -145,3 +145,21 @@ def test_evaluation(spark):
     got = {(r.target, r.representation): r for r in evaluation.collect()}
     assert len(got) == 6 and got["post_injection", "combined"].roc_auc == 1.0 and got["post_injection", "combined"].feature_count == 19
     assert got["post_injection", "raw_context"].median_detection_delay_samples == 50 and predictions.count() == 2 * 4 * 6
+
+
+def test_recovery(spark):
+    true = spark.createDataFrame([("s", k, k * 20, k * 20 + 10, k * 20 + 20) for k in range(4)], "g string, true_id long, true_start long, true_peak long, true_end long")
+    found = spark.createDataFrame([("s", 1, 1, 11, 21), ("s", 2, 40, 50, 60), ("s", 3, 200, 210, 220)], "g string, found_id long, found_start long, found_peak long, found_end long")
+    r = intervals.recovery_scores(found, true, ["g"], ["g"]).first()
+    assert (r.true_objects, r.found_objects, r.matched, r.start_mae, r.duration_mae) == (4, 3, 2, 0.5, 0.0)
+    assert r.precision == pytest.approx(2 / 3) and r.recall == 0.5 and r.f1 == pytest.approx(4 / 7)
+
+
+def test_chains(spark):
+    from undula.operators import chains
+
+    t = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.25), ("a", "a", 0.25)], "source string, target string, probability double")
+    assert {r.target: r.probability for r in chains.absorption(t).collect()} == pytest.approx({"b": 2 / 3, "c": 1 / 3})
+    loop = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "source string, target string, probability double")
+    with pytest.raises(ValueError):
+        chains.absorption(loop)

@@ -47,12 +47,33 @@ def match(found: DataFrame, true: DataFrame, on: Sequence[str], peak_tolerance:
     are few, each round keeps the pairs that are the best of both their sides, until none is left."""
     pairs = overlap_join(found, true, on, ("found_start", "found_end"), ("true_start", "true_end"), bucket)
     pairs = pairs.withColumn("iou", iou(("found_start", "found_end"), ("true_start", "true_end")))
-    pairs = pairs.where((F.abs(F.col("found_peak") - F.col("true_peak")) <= peak_tolerance) & (F.col("iou") >= least_iou))
+    pairs = pairs.where((F.abs(F.col("found_peak") - F.col("true_peak")) <= peak_tolerance) & (F.col("iou") >= least_iou)).persist()
     order = [F.col("iou").desc(), "found_id", "true_id"]
     done = None
     for _ in range(4):  # with IoU of a half or more an object has at most two candidates, so chains end soon
         best = pairs.withColumn("_f", F.row_number().over(Window.partitionBy(*on, "found_id").orderBy(*order))).withColumn("_t", F.row_number().over(Window.partitionBy(*on, "true_id").orderBy(*order)))
         taken = best.where("_f = 1 AND _t = 1").drop("_f", "_t")
         done = taken if done is None else done.unionByName(taken)
-        pairs = pairs.join(taken.select(*on, "found_id"), [*on, "found_id"], "left_anti").join(taken.select(*on, "true_id"), [*on, "true_id"], "left_anti")
+        pairs = pairs.join(taken.select(*on, "found_id"), [*on, "found_id"], "left_anti").join(taken.select(*on, "true_id"), [*on, "true_id"], "left_anti").persist()
     return done
+
+
+def recovery_scores(found: DataFrame, true: DataFrame, on: Sequence[str], keys: Sequence[str], **options) -> DataFrame:
+    """Per keys (some of on): true, found and matched objects, precision, recall, F1, mean IoU of matches, and mean
+    absolute errors of start, peak, end and duration. Spans as in match()."""
+    matched = match(found, true, on, **options)
+    off = lambda c: F.avg(F.abs(F.col(f"found_{c}") - F.col(f"true_{c}"))).alias(f"{c}_mae")
+    length = F.avg(F.abs((F.col("found_end") - F.col("found_start")) - (F.col("true_end") - F.col("true_start")))).alias("duration_mae")
+    hits = matched.groupBy(*keys).agg(F.count("*").alias("matched"), F.avg("iou").alias("mean_iou"), off("start"), off("peak"), off("end"), length)
+    out = true.groupBy(*keys).agg(F.count("*").alias("true_objects")).join(found.groupBy(*keys).agg(F.count("*").alias("found_objects")), list(keys), "left").join(hits, list(keys), "left")
+    out = out.fillna(0, ["found_objects", "matched"])
+    p, q = F.col("matched") / F.nullif("found_objects", F.lit(0)), F.col("matched") / F.col("true_objects")
+    out = out.withColumns({"precision": F.coalesce(p, F.lit(0.0)), "recall": q})
+    both = F.col("precision") + F.col("recall")
+    return out.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+
+
+def mean_interval(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """keys, n, mean, std (of the sample) and half the width of the 95 % interval, 1.96 std / sqrt(n)."""
+    rows = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return rows.withColumn("half_width", 1.96 * F.col("std") / F.sqrt("n"))
