@@ -20,7 +20,7 @@ from undula.llm import shared
 
 _WS = r"[\x20\x09-\x0D]+"
 #: Rates, in thousandths unless said otherwise, and the least slack of each.
-SLACK = {"symbol_rate": 200, "dup_line_rate": 300, "repeat_rate": 250, "word_length": 2000}
+SLACK = {"symbol_rate": 200, "dup_line_rate": 400, "repeat_rate": 250, "word_length": 2000}
 LOWER = ("word_length",)
 
 
