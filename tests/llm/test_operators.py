@@ -113,6 +113,15 @@ def test_language_learns_only_its_folds(labelled):
     assert b.languages == a.languages and (a.grams[3].values == b.grams[3].values).all() and a.slope == b.slope
 
 
+def test_long_texts_come_in_pieces(monkeypatch):
+    model = language.build({"a": np.unique(language.keys(["abra cadabra abba " * 9])[0], return_counts=True), "b": np.unique(language.keys(["zzyzx lyxz " * 9])[0], return_counts=True)})
+    texts = ["abra cadabra " * 50, None, "", "zzyzx " * 3, "..."]
+    whole = model.classify(texts)
+    monkeypatch.setattr(language, "PIECE", 40)
+    cut = model.classify(texts)
+    assert whole[0] == cut[0] == ["a", "und", "und", "b", "und"] and cut[2] == pytest.approx(whole[2], abs=0.2)
+
+
 def test_kneser_ney_sums_to_one():
     model = language.build({"a": np.unique(language.keys(["abra cadabra abba"])[0], return_counts=True), "b": np.unique(language.keys(["zzyzx"])[0], return_counts=True)})
     alphabet = sorted({int(k) & 0xFFFF for k in model_keys(model)})
