@@ -92,9 +92,10 @@ def _task_facts(cells: DataFrame, found: DataFrame) -> DataFrame:
     return facts.join(blocks, "task_id", "left").fillna(0, ["matched_blocks"])
 
 
-def fixed_layouts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """layout (task_id, block_row, block_column, operator) shared by a task's pairs, and status per task."""
-    found = evidence(cells)
+def fixed_layouts(cells: DataFrame, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """layout (task_id, block_row, block_column, operator) shared by a task's pairs, and status per task. found: the
+    evidence, where it has been gathered already."""
+    found = evidence(cells) if found is None else found
     facts = _task_facts(cells, found)
     votes = found.groupBy("task_id", "block_row", "block_column", "operator").agg(F.count("*").alias("votes"))
     shared = votes.join(facts.select("task_id", "pairs"), "task_id").where("votes = pairs")
@@ -106,9 +107,9 @@ def fixed_layouts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared.join(good, "task_id", "left_semi").select("task_id", "block_row", "block_column", "operator"), status
 
 
-def state_operators(cells: DataFrame, background: int = 0) -> tuple[DataFrame, DataFrame]:
+def state_operators(cells: DataFrame, background: int = 0, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The operator of background and of foreground cells (task_id, state, operator), and status per task."""
-    found = evidence(cells, background)
+    found = evidence(cells, background) if found is None else found
     facts = _task_facts(cells, found)
     state = F.when(F.col("color") == background, "background").otherwise("foreground")
     seen = cells.where("pair_type = 'train' AND grid_role = 'input'").groupBy("task_id", state.alias("state")).agg(F.count("*").alias("observed"))
@@ -143,10 +144,11 @@ def solve(cells: DataFrame, background: int = 0) -> tuple[DataFrame, DataFrame]:
 
     The fixed layout goes first; the state layout where it fails; the test inputs where both do (solver: fallback)."""
     tests = cells.where("pair_type = 'test' AND grid_role = 'input'")
-    layout, fixed_status = fixed_layouts(cells)
-    operators, state_status = state_operators(cells, background)
-    fixed = compose(tests, layout, background)
-    state = compose(tests, state_layouts(tests, operators, background), background)
+    found = evidence(cells, background).persist()  # both solvers read it, as they do each other's results below
+    layout, fixed_status = (x.persist() for x in fixed_layouts(cells, found))
+    operators, state_status = (x.persist() for x in state_operators(cells, background, found))
+    fixed = compose(tests, layout, background).persist()
+    state = compose(tests, state_layouts(tests, operators, background), background).persist()
     n_tests = tests.select("task_id", "pair_index").distinct().groupBy("task_id").agg(F.count("*").alias("tests"))
 
     def supported(made: DataFrame, status: DataFrame, name: str) -> DataFrame:
@@ -156,7 +158,7 @@ def solve(cells: DataFrame, background: int = 0) -> tuple[DataFrame, DataFrame]:
         return both.select("task_id", F.when(bad, "unsupported_operator").otherwise(F.coalesce("status", F.lit("no_training_pairs"))).alias(name))
 
     tasks = supported(fixed, fixed_status, "fixed_status").join(supported(state, state_status, "state_status"), "task_id")
-    tasks = tasks.withColumn("solver", F.when(F.col("fixed_status") == "ok", "fixed").when(F.col("state_status") == "ok", "state").otherwise("fallback"))
+    tasks = tasks.withColumn("solver", F.when(F.col("fixed_status") == "ok", "fixed").when(F.col("state_status") == "ok", "state").otherwise("fallback")).persist()
     as_is = tests.select("task_id", "pair_index", "row", "column", "color")
     out = None
     for name, made in (("fixed", fixed.drop("complete")), ("state", state.drop("complete")), ("fallback", as_is)):
