@@ -68,7 +68,8 @@ class Encoder:
         after_feed = [w for w in words if w[0] == "\n"]
         after_space = [" " + w for w in words if w[0] != "\n"]
         some = [x[at : at + 5000] for x in (after_feed, after_space) for at in range(0, len(x), 5000)]
-        for block, made in zip(some, self.library.encode_batch_fast(["".join(x) for x in some], add_special_tokens=False), strict=True):
+        for block in some:
+            made = self.library.encode_batch_fast(["".join(block)], add_special_tokens=False)[0]
             ids = np.array(made.ids, _ids)
             data = ids.tobytes()
             spaced = block[0][0] == " "
