@@ -157,3 +157,19 @@ def test_filter_on_group_is_pushed(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", F.col("value").alias("x"))
     plan = Oscillation("x", "event_id", "user_id").objects(events).table.where("user_id = 2")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,2)" in plan
+
+
+@pytest.mark.parametrize("options", [{"diff_lag": 1}, {"diff_lag": 3, "smooth_signal": True, "smooth_window": 4, "eps": 0.3}])
+def test_blocks_change_nothing(spark, options):
+    import random
+
+    rng = random.Random(1)
+    rows = [(g, i, float(rng.randint(0, 6))) for g, n in (("hot", 400), ("b", 37), ("c", 1), (None, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long, signal double")
+    for partial in (False, True):
+        whole = Oscillation("signal", "i", "g", index="i", **options).objects(df, include_partial=partial).query().collect().collect()
+        for block in (10, 64, 1000):
+            got = Oscillation("signal", "i", "g", index="i", block=block, **options).objects(df, include_partial=partial).query().collect().collect()
+            assert got == whole, block
+    with pytest.raises(ValueError):
+        Oscillation("signal", "i", "g", block=100)

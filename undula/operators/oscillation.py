@@ -16,7 +16,9 @@ PROPERTIES = (
 
 
 class Oscillation(Behavior):
-    def __init__(self, signals, order_by, group=None, smooth_signal: bool = False, smooth_window: int = 20, diff_lag: int = 10, eps: float = 0.0, index: str | None = None):
+    def __init__(self, signals, order_by, group=None, smooth_signal: bool = False, smooth_window: int = 20, diff_lag: int = 10, eps: float = 0.0, index: str | None = None, block: int | None = None):
+        """block: samples of a group that one task orders at most, for groups too large for one; needs an index that
+        numbers a group's samples without gaps."""
         self.signals = names(signals, "signals", False)
         self.group, self.order_by, self.index = names(group, "group"), names(order_by, "order_by", False), index
         if smooth_window < 1:
@@ -25,6 +27,10 @@ class Oscillation(Behavior):
             raise ValueError("diff_lag must be at least 1")
         if eps < 0:
             raise ValueError("eps must be non-negative")
+        self.reach = diff_lag + (smooth_window if smooth_signal else 1) + 1  # samples back that an event hangs on
+        if block is not None and (index is None or block <= self.reach):
+            raise ValueError(f"block needs an index, and more than {self.reach} samples")
+        self.block = block
         self.smooth_signal, self.smooth_window, self.diff_lag, self.eps = smooth_signal, smooth_window, diff_lag, eps
 
     def source(self, s: str) -> Column:
@@ -89,7 +95,31 @@ class Oscillation(Behavior):
         """The object table straight from df: one exchange by group, no sample-level statistics."""
         signal = signal or self.signals[0]
         self._configured(signal)
-        return self._summary(self.primitives(df), signal, include_partial)
+        return self._summary(self.blocked(df) if self.block else self.primitives(df), signal, include_partial)
+
+    def blocked(self, df: DataFrame) -> OrderedFrame:
+        """As primitives(), with blocks of a group's samples apart: each has along the samples before it that its events
+        hang on, and one after it. Numbers and landmarks are finished from a row per block."""
+        whole, c = self.frame(df), F.col
+        n, i = self.block, F.col(self.index)
+        own = F.floor(i / F.lit(n))
+        copies = F.array(own, F.when(i % n >= n - self.reach, own + 1), F.when(i % n == 0, own - 1))
+        spread = whole.df.withColumn("_block", F.explode(F.array_compact(copies)))
+        by_block = OrderedFrame(spread, whole.order_by, [*whole.group, "_block"], whole.index)
+        made = self.add_primitives(self.add_signal(by_block)).df.where(c("_block") == own)
+        made = self.add_ids(OrderedFrame(made, whole.order_by, by_block.group, whole.index)).df
+        aggregates = [F.max(f"{s}_wave_id").alias(f"_n_{s}") for s in self.signals]
+        aggregates += [F.max(F.when(c(f"{s}_{x}"), i)).alias(f"_{x}_{s}") for s in self.signals for x in ("peak", "trough")]
+        before = Window.partitionBy(*whole.group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = made.groupBy(*by_block.group).agg(*aggregates)
+        blocks = blocks.select(*by_block.group, *(F.coalesce(F.sum(f"_n_{s}").over(before), F.lit(0)).alias(f"_n_{s}") for s in self.signals), *(F.max(f"_{x}_{s}").over(before).alias(f"_{x}_{s}") for s in self.signals for x in ("peak", "trough")))
+        blocks = blocks.withColumnsRenamed({k: f"_of_{k}" for k in by_block.group})
+        same = [c(k).eqNullSafe(c(f"_of_{k}")) for k in by_block.group]
+        both = made.join(blocks, same).drop(*(f"_of_{k}" for k in by_block.group))
+        w = Window.partitionBy(*by_block.group).orderBy(*whole.order_by)
+        columns = {f"{s}_wave_id": c(f"{s}_wave_id") + c(f"_n_{s}") for s in self.signals}
+        columns |= {f"{s}_{x}_index": F.coalesce(events.landmark(c(f"{s}_{x}"), i, w), c(f"_{x}_{s}")) for s in self.signals for x in ("peak", "trough")}
+        return OrderedFrame(both.withColumns(columns), whole.order_by, whole.group, whole.index)
 
     def summarize(self, features: DataFrame, signal: str | None = None, include_partial: bool = False) -> BehaviorObjects:
         """The object table from fit_transform()'s result."""

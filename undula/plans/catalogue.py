@@ -213,6 +213,13 @@ query("osc_objects_partial", f"WITH {oracle.waves(2)}{oracle.objects(partial=Tru
 query("osc_objects_smoothed", f"WITH {oracle.waves(3, 0.5, 4)}{oracle.objects()} SELECT user_id, {OBJECT_COLUMNS} FROM obj")(lambda s, d: rounded(table(s, d, lag=3, eps=0.5, smooth_signal=True, smooth_window=4)))
 
 
+@query("osc_objects_blocked", f"WITH {oracle.waves(2)}{oracle.objects()} SELECT user_id, {OBJECT_COLUMNS} FROM obj")
+def osc_blocked(spark, sf_dir):
+    """As osc_objects, a group's samples ordered in blocks of 16."""
+    numbered = frame(spark, sf_dir).df
+    return rounded(oscillation(index="sample_index", block=16).objects(numbered).table)
+
+
 @query("osc_objects_orders", f"WITH {oracle.waves(1, base=ORDERS, g='o_custkey', o='o_orderdate, o_orderkey')}{oracle.objects('o_custkey')} SELECT o_custkey, {OBJECT_COLUMNS} FROM obj")
 def osc_orders(spark, sf_dir):
     return rounded(Oscillation("x", ["o_orderdate", "o_orderkey"], "o_custkey", diff_lag=1).objects(orders(spark, sf_dir)).table)
