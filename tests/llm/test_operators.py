@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -426,7 +427,6 @@ def test_warc(spark, tmp_path):
 
 def test_false_magic(tmp_path):
     import io
-    import os
 
     noise = os.urandom(5000) + warc.MAGIC + os.urandom(50) + zlib.compress(b"WARC/1.1 no header") + gzip.compress(b"WARC/1.1\r\nno: type\r\n\r\n")
     one = warc.record(1, "u", os.urandom(3000), "00" * 20, None, "d")
@@ -535,3 +535,26 @@ def test_sequences_hold_the_ids(spark):
 
 def test_nothing_to_pack(spark, none):
     assert packing.packed(spark, none).count() == 0 and packing.plan({}) == []
+
+
+# ---- scratch ----
+
+
+def test_scratch_follows_the_session(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.checkpoint.dir": "hdfs://shared/checkpoints/"}.get(key, default)
+
+    session = type("Session", (), {"conf": Conf()})()
+    assert shared.scratch(session, "x").startswith("hdfs://shared/checkpoints/undula/x-")
+    table, path = shared.stored_at(spark.range(3), "three")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    assert "://" in path and (not root or root in path) and table.count() == 3
+    shared.remove(spark, path)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_columns_with_clashing_names_come_back(spark):
+    d = spark.createDataFrame([(1, "t", "mine", "MINE")], "doc_id long, text string, score string, Rejected string")
+    out = shared.apart(d, ["score", "rejected"], lambda x: x.withColumns({"score": F.lit(1.0), "rejected": F.lit(True)}))
+    assert out.columns == d.columns and out.first() == d.first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,12 +19,17 @@ _local_root: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder stands in where that is unset (one machine, tests)."""
+    """A new path below spark.checkpoint.dir; a temporary folder stands in where that is unset (one machine, tests).
+
+    A folder without a scheme is one of Hadoop's default file system, and is named so for those who don't ask Hadoop."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not _local_root:
             _local_root.append("file://" + tempfile.mkdtemp(prefix="undula-"))
         root = _local_root[0]
+    if "://" not in root:
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = re.sub("^file:/(?!/)", "file:///", where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString())
     return f"{root.rstrip('/')}/undula/{name}-{uuid.uuid4().hex}"
 
 
@@ -49,6 +55,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all scratch tables and files below this session's folder; results that are still read need them."""
+    remove(spark, scratch(spark, "").rsplit("/", 1)[0])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
