@@ -26,28 +26,6 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Words(dict):
-    """Ids of words met in two batches or more; `young` has those met once, and starts anew when it is full."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.young[word]
-
-    def unknown(self, words: set[str]) -> list[str]:
-        """Of words those that must be encoded; the others are kept for good."""
-        missing = words - self.keys()
-        if not missing:
-            return []
-        if len(self.young) > ON_TRIAL:
-            self.young = {w: self.young[w] for w in missing & self.young.keys()}
-        again = missing & self.young.keys()
-        if len(self) < REMEMBERED:
-            self.update({w: self.young[w] for w in again})
-        return list(missing - again)
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores already
@@ -58,19 +36,19 @@ class Encoder:
         size = self.library.get_vocab_size()
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.feed = int(np.frombuffer(self._whole("\n"), _ids)[0])
-        self.words = Words()
+        self.known: dict[str, bytes] = {}  # words met in two calls or more
+        self.young: dict[str, bytes] = {}  # words met in one; starts anew when it is full
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, _ids).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Encodes words in a few joined texts, cut again at the tokens that open them."""
+        out: dict[str, bytes] = {}
         after_feed = [w for w in words if w[0] == "\n"]
         after_space = [" " + w for w in words if w[0] != "\n"]
-        some = [x[at : at + 5000] for x in (after_feed, after_space) for at in range(0, len(x), 5000)]
-        for block in some:
-            made = self.library.encode_batch_fast(["".join(block)], add_special_tokens=False)[0]
-            ids = np.array(made.ids, _ids)
+        for block in [x[at : at + 5000] for x in (after_feed, after_space) for at in range(0, len(x), 5000)]:
+            ids = np.array(self.library.encode_batch_fast(["".join(block)], add_special_tokens=False)[0].ids, _ids)
             data = ids.tobytes()
             spaced = block[0][0] == " "
             starts = np.flatnonzero(self.opens[ids] if spaced else ids == self.feed)
@@ -78,22 +56,46 @@ class Encoder:
                 raise AssertionError("a word was not cut where it should be")
             cuts = [*(4 * starts).tolist(), len(data)]
             keys = [w[1:] for w in block] if spaced else block
-            self.words.young.update(zip(keys, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            out.update(zip(keys, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        return out
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Each word's ids."""
+        out = list(map(self.known.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        again: dict[str, bytes] = {}
+        new: set[str] = set()
+        for k in missing:
+            word = words[k]
+            if (ids := self.young.get(word)) is None:
+                new.add(word)
+            else:
+                out[k] = again[word] = ids
+        learnt = self._learn(new)
+        for k in missing:
+            if out[k] is None:
+                out[k] = learnt[words[k]]
+        if len(self.known) < REMEMBERED:
+            self.known.update(again)
+        if len(self.young) > ON_TRIAL:
+            self.young = learnt
+        else:
+            self.young.update(learnt)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut: list[list[str] | None] = []
-        met: set[str] = set()
+        words: list[str] = []
+        cuts: list[int] = []  # where each text that is cut begins in words; -1: it isn't
         for text in texts:
             if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _TOUCHING) or any(x in text for x in _OTHER_SPACE):
-                cut.append(None)
-                continue
-            words = ("\n" + text.replace("\n", " \n")).split(" ")
-            met.update(words)
-            cut.append(words)
-        self._learn(self.words.unknown(met))
-        known = self.words.__getitem__
-        return [b"".join(map(known, words))[4:] if words else self._whole(text) if text else b"" for text, words in zip(texts, cut, strict=True)]
+                cuts.append(-1)
+            else:
+                cuts.append(len(words))
+                words += ("\n" + text.replace("\n", " \n")).split(" ")
+        ids = self._ids_of(words)
+        ends = iter([*(c for c in cuts if c >= 0), len(words)][1:])
+        return [b"".join(ids[c : next(ends)])[4:] if c >= 0 else self._whole(text) if text else b"" for text, c in zip(texts, cuts, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
