@@ -108,6 +108,22 @@ def test_language_held_out(spark, labelled):
     assert language.identify(junk, model).first().rejected
 
 
+def test_languages_keep_every_ngram(spark):
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]
+    rows = [(k, "".join(letters[i] for i in rng.integers(0, 4000, 60_000)), "many") for k in range(80)]
+    rows += [(100 + 10 * r + k, "".join(letters[50 * k + i] for i in range(r, 50, 3)), f"rare{r}") for r in range(3) for k in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(d)
+    assert model.languages == ["many", "rare0", "rare1", "rare2"]  # the rare ones have each n-gram once
+    counted = language.count(d.where(language.fold().isin(2, 3, 4)).select("lang", "text")).count()
+    assert counted > 2_000_000 and len(model.grams[3].values) == counted
+    single = language.build({"many": np.unique(language.keys([rows[0][1]])[0], return_counts=True)})
+    alike = language.build({"many": np.unique(language.keys([rows[0][1]])[0], return_counts=True), "rare": np.unique(language.keys([rows[0][1][:200]])[0], return_counts=True)})
+    key = language.keys([rows[1][1]])[0]
+    assert np.allclose(single.log_probability(key)[:, 0], alike.log_probability(key)[:, 0], atol=1e-4)
+
+
 def test_language_learns_only_its_folds(labelled):
     changed = labelled.withColumn("lang", F.when(language.fold() == 0, "other").otherwise(F.col("lang")))
     a, b = language.train(labelled), language.train(changed)

@@ -2,12 +2,12 @@
 
 Texts are put in lower case; letters stay, every run of other characters is one space. A 4-gram of characters is an
 exact 64-bit key of four 16-bit codes (code points beyond are folded), so every lower order, its continuation counts
-and its contexts follow from the counted 4-grams. Counts cover all training rows and are summed by Spark; n-grams
-under the count that lets `most_cells` values be stored are left out, and back off like unseen ones.
+and its contexts follow from the counted 4-grams. Counts cover all training rows and are summed by Spark; every counted
+n-gram is kept.
 
-The model holds one sorted array of hashed keys per order, with an index by leading bits, and beside it the
-interpolated log-probability under every language; and the same for contexts with their back-off weights. A text gets
-the language of the lowest cross-entropy per character. On a calibration fold that wasn't counted two things are
+The model holds one sorted array of hashed keys per order, with an index by leading bits, and beside it an entry for
+each language that has the n-gram: its interpolated log-probability; and the same for contexts with their back-off
+weights. So its size is that of the languages' n-grams, however many languages there are. A text gets the language of the lowest cross-entropy per character. On a calibration fold that wasn't counted two things are
 fitted: the score (probability that the answer is right) and, for each language and length class, the cross-entropy
 beyond which a text is rejected.
 """
@@ -87,13 +87,16 @@ def pieced(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
 
 
 class HashArray:
-    """Sorted hashes of keys with a row of values each; find() gives a row's place or -1."""
+    """Sorted hashes of keys; find() gives a key's place or -1, entries() the languages and values that it has."""
 
-    def __init__(self, keyed: np.ndarray, values: np.ndarray):
+    def __init__(self, keyed: np.ndarray, langs: np.ndarray, values: np.ndarray):
         hashed = mix(keyed)
-        order = np.argsort(hashed)
-        self.hashes, self.values = hashed[order], np.ascontiguousarray(values[order])
-        self.bits = max(1, int(len(keyed)).bit_length())
+        order = np.lexsort((langs, hashed))
+        hashed = hashed[order]
+        first = np.flatnonzero(np.diff(hashed, prepend=~hashed[:1]))
+        self.hashes, self.offsets = hashed[first], np.append(first, len(hashed)).astype(np.int64 if len(hashed) >> 31 else np.int32)
+        self.langs, self.values = langs[order].astype(np.uint16), values[order].astype(np.float32)
+        self.bits = max(1, int(len(first)).bit_length())
         heads = (self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         self.start = np.searchsorted(heads, np.arange((1 << self.bits) + 1)).astype(np.int32)
         self.longest = int(np.diff(self.start).max(initial=0))
@@ -115,6 +118,13 @@ class HashArray:
             left = left[at[left] < end[left]]
         return out
 
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each entry of the keys at these places: which of the places it belongs to, its language and its value."""
+        n = self.offsets[at + 1] - self.offsets[at]
+        owner = np.repeat(np.arange(len(at)), n)
+        place = np.arange(len(owner)) + np.repeat(self.offsets[at] - (np.cumsum(n) - n), n)
+        return owner, self.langs[place], self.values[place]
+
 
 @dataclass
 class Model:
@@ -129,21 +139,25 @@ class Model:
     def log_probability(self, key: np.ndarray) -> np.ndarray:
         """The log-probability of each 4-gram's last character, a column for each language."""
         out = np.zeros((len(key), len(self.languages)), np.float32)
-        left = np.arange(len(key))
+        open_ = np.ones(out.shape, bool)  # where the language hasn't had an n-gram yet
+
+        def add(array: HashArray, own: np.ndarray, rows: np.ndarray, closes: bool) -> None:
+            at = array.find(own)
+            owner, langs, values = array.entries(at[at >= 0])
+            rows = rows[at >= 0][owner]
+            still = open_[rows, langs]
+            rows, langs = rows[still], langs[still]
+            out[rows, langs] += values[still]
+            if closes:
+                open_[rows, langs] = False
+
         for n in range(ORDER, 0, -1):
+            left = np.flatnonzero(open_.any(axis=1))
             own = key[left] if n == ORDER else key[left] & np.uint64((1 << 16 * n) - 1)
-            at = self.grams[n - 1].find(own)
-            hit = at >= 0
-            out[left[hit]] += self.grams[n - 1].values[at[hit]]
-            left, own = left[~hit], own[~hit]
-            if not len(left):
-                return out
+            add(self.grams[n - 1], own, left, True)
             if n > 1:
-                at = self.contexts[n - 2].find(own >> np.uint64(16))
-                known = at >= 0
-                out[left[known]] += self.contexts[n - 2].values[at[known]]
-        out[left] += self.unseen
-        return out
+                add(self.contexts[n - 2], own >> np.uint64(16), left, False)
+        return np.where(open_, out + self.unseen, out)
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nats per character of each text under each language, and the texts' characters and letters."""
@@ -153,7 +167,9 @@ class Model:
             some = np.flatnonzero(counts)
             if len(some):
                 starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
-                np.add.at(sums, owner[some], np.add.reduceat(self.log_probability(key), starts[some], axis=0, dtype=np.float64))
+                distinct, back = np.unique(key, return_inverse=True)
+                for k, p in enumerate(np.ascontiguousarray(self.log_probability(distinct).T)):
+                    np.add.at(sums[:, k], owner[some], np.add.reduceat(p[back], starts[some], dtype=np.float64))
             np.add.at(chars, owner, counts)
             np.add.at(letters, owner, found)
         return -sums / np.maximum(chars, 1)[:, None], chars, letters
@@ -224,37 +240,36 @@ def build(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     model = Model(languages)
     if not languages:
         return model
-    n_lang = len(languages)
-    by_order: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER)]
-    for lang in languages:
-        gram, n = counted[lang]
-        by_order[ORDER - 1].append((gram, n.astype(np.float64)))
+    letters = np.unique(np.concatenate([g & np.uint64(0xFFFF) for g, _ in counted.values()]))
+    model.unseen = np.zeros(len(languages), np.float32)
+    grams: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(ORDER)]
+    contexts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(ORDER)]
+
+    def entry(keyed: np.ndarray, k: int, values: np.ndarray) -> tuple[np.ndarray, ...]:
+        return keyed, np.full(len(keyed), k, np.uint16), np.log(values).astype(np.float32)
+
+    for k, lang in enumerate(languages):
+        by_order = [counted[lang]]
         for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before
-            gram, n = np.unique(gram & np.uint64((1 << 16 * order) - 1), return_counts=True)
-            by_order[order - 1].append((gram, n.astype(np.float64)))
-    lower_keys, lower = np.empty(0, np.uint64), np.empty((0, n_lang))
-    for order in range(1, ORDER + 1):
-        union = np.unique(np.concatenate([g for g, _ in by_order[order - 1]]))
-        context = union >> np.uint64(16) if order > 1 else np.zeros(len(union), np.uint64)
-        contexts, of = np.unique(context, return_inverse=True)
-        value, weight = np.zeros((len(union), n_lang)), np.ones((len(contexts), n_lang))
-        for k, (gram, n) in enumerate(by_order[order - 1]):
-            at = np.searchsorted(union, gram)
+            by_order.append(np.unique(by_order[-1][0] & np.uint64((1 << 16 * order) - 1), return_counts=True))
+        lower_keys, lower = np.empty(0, np.uint64), np.empty(0)
+        for order, (gram, n) in enumerate(reversed(by_order), 1):
+            n = n.astype(np.float64)
+            context, of = np.unique(gram >> np.uint64(16) if order > 1 else np.zeros(len(gram), np.uint64), return_inverse=True)
             d = _discount(n)
-            total = np.bincount(of[at], n, len(contexts))
-            kinds = np.bincount(of[at], minlength=len(contexts))
-            value[at, k] = np.maximum(n - d, 0) / total[of[at]]
-            weight[:, k] = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        if order == 1:
-            base = weight / (len(union) + 1)
-            value += base[of]
-            model.unseen = np.log(base[0]).astype(np.float32)
-        else:
-            below = np.searchsorted(lower_keys, union & np.uint64((1 << 16 * (order - 1)) - 1))
-            value += weight[of] * lower[below]
-            model.contexts.append(HashArray(contexts, np.log(weight).astype(np.float32)))
-        model.grams.append(HashArray(union, np.log(value).astype(np.float32)))
-        lower_keys, lower = union, value
+            total = np.bincount(of, n, len(context))
+            value, weight = np.maximum(n - d, 0) / total[of], d * np.bincount(of, minlength=len(context)) / total
+            if order == 1:
+                base = weight[0] / (len(letters) + 1)
+                value += base
+                model.unseen[k] = np.log(base)
+            else:
+                value += weight[of] * lower[np.searchsorted(lower_keys, gram & np.uint64((1 << 16 * (order - 1)) - 1))]
+                contexts[order - 1].append(entry(context, k, weight))
+            grams[order - 1].append(entry(gram, k, value))
+            lower_keys, lower = gram, value
+    array = lambda parts: HashArray(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    model.grams, model.contexts = [array(x) for x in grams], [array(x) for x in contexts[1:]]
     return model
 
 
@@ -298,20 +313,20 @@ def fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 5
 
 
-def train(docs: DataFrame, most_cells: int = 8_000_000, calibration_rows: int = 20_000, false_rejections: float = 0.001, slack: float = 0.25) -> Model:
+def train(docs: DataFrame, calibration_rows: int = 20_000, false_rejections: float = 0.001, slack: float = 0.25) -> Model:
     """A model of documents(doc_id, text, lang): counted on folds 2 to 4, calibrated on a bounded sample of fold 1.
 
     Fold 0 is never read. Rows without doc_id, lang or text teach nothing. Without any the model has no language."""
     rows = shared.text_only(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     counted = shared.stored(count(rows.where(fold().isin(2, 3, 4)).select("lang", "text")), "ngrams")
-    sizes = counted.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("grams")).collect()
-    most = most_cells // max(1, len({r["lang"] for r in sizes}))
-    least = next((t for t in range(1, 1001) if sum(r["grams"] for r in sizes if r["n"] >= t) <= most), 1001)
-    kept = counted.where(F.col("n") >= least).toArrow()  # most_cells values at most
-    langs, key, n = kept["lang"].to_numpy(zero_copy_only=False), kept["key"].to_numpy().view(np.uint64), kept["n"].to_numpy()
-    order = np.lexsort((key, langs.astype(str)))
-    langs, key, n = langs[order], key[order], n[order]
-    model = build({str(lang): (key[langs == lang], n[langs == lang]) for lang in sorted(set(langs))})
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    model = build({})
+    if languages:
+        kept = counted.select(F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("short").alias("k"), "key", "n").toArrow()
+        k, key, n = kept["k"].to_numpy(), kept["key"].to_numpy().view(np.uint64), kept["n"].to_numpy()
+        order = np.lexsort((key, k))
+        ends = np.searchsorted(k[order], np.arange(1, len(languages) + 2))
+        model = build({lang: (key[own], n[own]) for lang, own in zip(languages, np.split(order, ends[1:-1]), strict=True)})
     if model.languages:
         folded = rows.where(fold() == 1)
         share = min(1.0, calibration_rows / max(1, folded.count()))
