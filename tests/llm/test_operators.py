@@ -124,6 +124,30 @@ def test_languages_keep_every_ngram(spark):
     assert np.allclose(single.log_probability(key)[:, 0], alike.log_probability(key)[:, 0], atol=1e-4)
 
 
+def test_every_class_has_a_limit(spark):
+    texts = {"aa": ["ba bo bi do da di " * 8] * 40 + ["ba bo"] * 5, "bb": ["kra kro skri tru " * 9] * 40, "cc": ["wen eno"] * 2}
+    model = language.build({k: np.unique(language.keys(v)[0], return_counts=True) for k, v in texts.items()})
+    parts = []
+    for half in (0, 1):  # sums of parts are those of the whole
+        rows = [(t, k) for k, v in texts.items() for t in v][half::2]
+        entropy, counts, _ = model.cross_entropy([t for t, _ in rows])
+        parts.append(language.observed(model, entropy, counts, [k for _, k in rows]))
+    language.calibrate(model, *(np.concatenate(x) for x in zip(*parts, strict=True)), 0.001, 0.25)
+    assert sorted(model.limits) == ["aa", "bb", "cc"] and all(np.isfinite(x).all() for x in model.limits.values())
+    short, long = language._classes(np.array([6, 140]))
+    assert model.limits["aa"][short] == model.limits["aa"][long]
+    assert not model.classify([texts["aa"][0], texts["bb"][0]])[3].any() and model.classify(["ba qjzvx wqyxk", "qqzjx"])[3].all()
+
+
+def test_calibration_is_of_the_whole_fold(spark, labelled, monkeypatch):
+    seen = []
+    fitted = language.calibrate
+    monkeypatch.setattr(language, "calibrate", lambda model, langs, classes, steps, n, *options: (seen.append(int(n[langs >= 0].sum())), fitted(model, langs, classes, steps, n, *options)))
+    many = labelled.where("doc_id < 900").crossJoin(spark.range(150).withColumnRenamed("id", "again")).select((F.col("doc_id") + 1000 * F.col("again")).alias("doc_id"), F.substring("text", 1, 20).alias("text"), "lang")
+    language.train(many)
+    assert seen == [many.where(language.fold() == 1).count()] and seen[0] > 20_000
+
+
 def test_language_learns_only_its_folds(labelled):
     changed = labelled.withColumn("lang", F.when(language.fold() == 0, "other").otherwise(F.col("lang")))
     a, b = language.train(labelled), language.train(changed)

@@ -7,9 +7,10 @@ n-gram is kept.
 
 The model holds one sorted array of hashed keys per order, with an index by leading bits, and beside it an entry for
 each language that has the n-gram: its interpolated log-probability; and the same for contexts with their back-off
-weights. So its size is that of the languages' n-grams, however many languages there are. A text gets the language of the lowest cross-entropy per character. On a calibration fold that wasn't counted two things are
-fitted: the score (probability that the answer is right) and, for each language and length class, the cross-entropy
-beyond which a text is rejected.
+weights. So its size is that of the languages' n-grams, however many languages there are. A text gets the language of
+the lowest cross-entropy per character. On all of a calibration fold that wasn't counted two things are fitted, from
+sums and histograms that Spark adds up: the score (probability that the answer is right) and, for each language and
+length class, the cross-entropy beyond which a text is rejected.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,8 +174,9 @@ class Model:
             np.add.at(letters, owner, found)
         return -sums / np.maximum(chars, 1)[:, None], chars, letters
 
-    def probabilities(self, entropy: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        logits = -self.slope * (entropy - entropy.min(axis=1, keepdims=True)) * (np.maximum(counts, 1) ** self.power)[:, None]
+    def probabilities(self, entropy: np.ndarray, counts: np.ndarray, power: float | None = None, slope: float | None = None) -> np.ndarray:
+        power, slope = self.power if power is None else power, self.slope if slope is None else slope
+        logits = -slope * (entropy - entropy.min(axis=1, keepdims=True)) * (np.maximum(counts, 1) ** power)[:, None]
         raised = np.exp(logits)
         return raised / raised.sum(axis=1, keepdims=True)
 
@@ -273,39 +274,78 @@ def build(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return model
 
 
-def calibrate(model: Model, entropy: np.ndarray, counts: np.ndarray, truth: list[str], false_rejections: float, slack: float) -> None:
-    """Fits the score by likelihood, and the limits as conformal quantiles of true texts by language and length class.
-    slack widens a limit by that share of the way to the entropy of equally likely characters. A class of which
-    nothing was seen has the limit of the next class of longer texts or, without one, none; longer texts have no
-    higher limit than they need."""
+#: Powers and slopes of the score that are tried.
+FITS = [(power, float(slope)) for power in (0.0, 0.25, 0.5, 0.75, 1.0) for slope in np.geomspace(0.02, 50, 40)]
+#: Steps of a histogram of cross-entropies to the nat, and of summed log-likelihoods (whole numbers, so that the order
+#: of adding doesn't matter).
+STEPS, LIKELIHOOD_STEPS = 1024, 1 << 20
+#: Rows that a class, or a language, must have for a limit of its own.
+LEAST_ROWS = 20
+
+
+def observed(model: Model, entropy: np.ndarray, counts: np.ndarray, truth: list[str]) -> tuple[np.ndarray, ...]:
+    """What calibrate() needs of these texts, as columns to be added up: language's place, length class, step of the
+    cross-entropy, and how many texts; language -1 has the summed log-likelihood of each of FITS, by its place."""
     place = {lang: k for k, lang in enumerate(model.languages)}
-    own = np.array([place.get(x, -1) for x in truth])
+    own = np.array([place.get(x, -1) for x in truth], np.int64)
     entropy, counts, own = entropy[own >= 0], counts[own >= 0], own[own >= 0]
-    if not len(own):
+    rows = np.arange(len(own))
+    cell = np.stack([own, _classes(counts), np.floor(entropy[rows, own] * STEPS).astype(np.int64)])
+    (langs, classes, steps), n = np.unique(cell, axis=1, return_counts=True)
+    likely = np.zeros(len(FITS), np.int64)
+    for k, (power, slope) in enumerate(FITS):
+        right = model.probabilities(entropy, counts, power, slope)[rows, own]
+        likely[k] = np.rint(np.log(np.maximum(right, 1e-9)) * LIKELIHOOD_STEPS).astype(np.int64).sum()
+    none = np.zeros(len(FITS), np.int64)
+    return np.append(langs, none - 1), np.append(classes, np.arange(len(FITS))), np.append(steps, none), np.append(n, likely)
+
+
+def calibrate(model: Model, langs: np.ndarray, classes: np.ndarray, steps: np.ndarray, n: np.ndarray, false_rejections: float, slack: float) -> None:
+    """Fits the score by likelihood, and the limits as conformal quantiles of true texts by language and length class,
+    from observed() added up. slack widens a limit by that share of the way to the entropy of equally likely characters.
+    A class of under LEAST_ROWS has the limit of the next class of longer texts or, without one, of the longest class
+    that has one; longer texts have no higher limit than they need. A language without such a class has one limit of all
+    its texts or, if they are under LEAST_ROWS, the limits of all languages' texts together. Without any text of known
+    language nothing is fitted."""
+    if not (langs >= 0).any():
         return
-    best = (-np.inf, model.power, model.slope)
-    for power in (0.0, 0.25, 0.5, 0.75, 1.0):
-        for slope in np.geomspace(0.02, 50, 40):
-            model.power, model.slope = power, float(slope)
-            right = model.probabilities(entropy, counts)[np.arange(len(own)), own]
-            best = max(best, (float(np.log(np.maximum(right, 1e-9)).mean()), power, float(slope)))
-    model.power, model.slope = best[1:]
+    fits = np.zeros(len(FITS), np.int64)
+    np.add.at(fits, classes[langs < 0], n[langs < 0])
+    model.power, model.slope = max(zip(fits.tolist(), FITS, strict=True))[1]
     ceiling = -float(model.unseen.min())
-    for lang, k in place.items():
-        mine = own == k
-        values, classes = entropy[mine, k], _classes(counts[mine])
+
+    def quantile(mine: np.ndarray) -> float:
+        order = np.argsort(steps[mine])
+        below = np.cumsum(n[mine][order])
+        rank = min(below[-1], int(np.ceil((1 - false_rejections) * (below[-1] + 1))))
+        value = (steps[mine][order][np.searchsorted(below, rank)] + 1) / STEPS
+        return value + slack * max(0.0, ceiling - value)
+
+    def by_class(mine: np.ndarray) -> np.ndarray | None:
         limits = np.full(32, np.inf)
         for c in range(31, -1, -1):
-            same = np.sort(values[classes == c])
-            if len(same) >= 20:
-                rank = min(len(same) - 1, int(np.ceil((1 - false_rejections) * (len(same) + 1))) - 1)
-                limits[c] = same[rank] + slack * max(0.0, ceiling - same[rank])
-                if c < 31 and np.isfinite(limits[c + 1]):
-                    limits[c] = max(limits[c], limits[c + 1])
+            longer = limits[c + 1] if c < 31 and np.isfinite(limits[c + 1]) else -np.inf
+            same = mine & (classes == c)
+            if n[same].sum() >= LEAST_ROWS:
+                limits[c] = max(quantile(same), longer)
+            elif np.isfinite(longer):
+                limits[c] = longer
         last = np.flatnonzero(np.isfinite(limits))
-        if len(last):
-            limits[last[-1] + 1 :] = limits[last[-1]]
-        model.limits[lang] = limits
+        if not len(last):
+            return None
+        limits[last[-1] + 1 :] = limits[last[-1]]
+        return limits
+
+    def limits(mine: np.ndarray) -> np.ndarray | None:
+        own = by_class(mine)
+        return np.full(32, quantile(mine)) if own is None and n[mine].sum() >= LEAST_ROWS else own
+
+    pooled = limits(langs >= 0)
+    if pooled is None:
+        pooled = np.full(32, quantile(langs >= 0))
+    for k, lang in enumerate(model.languages):
+        own = limits(langs == k)
+        model.limits[lang] = pooled if own is None else own
 
 
 def fold(column: str = "doc_id"):
@@ -313,8 +353,8 @@ def fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 5
 
 
-def train(docs: DataFrame, calibration_rows: int = 20_000, false_rejections: float = 0.001, slack: float = 0.25) -> Model:
-    """A model of documents(doc_id, text, lang): counted on folds 2 to 4, calibrated on a bounded sample of fold 1.
+def train(docs: DataFrame, false_rejections: float = 0.001, slack: float = 0.25) -> Model:
+    """A model of documents(doc_id, text, lang): counted on folds 2 to 4, calibrated on fold 1.
 
     Fold 0 is never read. Rows without doc_id, lang or text teach nothing. Without any the model has no language."""
     rows = shared.text_only(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
@@ -328,21 +368,19 @@ def train(docs: DataFrame, calibration_rows: int = 20_000, false_rejections: flo
         ends = np.searchsorted(k[order], np.arange(1, len(languages) + 2))
         model = build({lang: (key[own], n[own]) for lang, own in zip(languages, np.split(order, ends[1:-1]), strict=True)})
     if model.languages:
-        folded = rows.where(fold() == 1)
-        share = min(1.0, calibration_rows / max(1, folded.count()))
-        sample = folded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("text", "lang")
         sent = docs.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in shared.parts(batches, "text"):
                 entropy, counts, letters = sent.value.cross_entropy(batch.column("text").to_pylist())
-                made = pa.RecordBatch.from_arrays([pa.array(list(entropy), pa.list_(pa.float64())), pa.array(counts), batch.column("lang"), pa.array(letters)], names=["e", "n", "lang", "letters"])
-                yield made.filter(pa.compute.greater(made["letters"], 0)).drop_columns(["letters"])
-
-        found = sample.mapInArrow(run, "e array<double>, n long, lang string").toPandas()
-        if len(found):
-            found = found.sort_values(["lang", "n"], kind="stable")
-            calibrate(model, np.stack(found["e"].to_numpy()), found["n"].to_numpy(), found["lang"].tolist(), false_rejections, slack)
+                some = letters > 0
+                if some.any():
+                    truth = [x for x, y in zip(batch.column("lang").to_pylist(), some, strict=True) if y]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in observed(sent.value, entropy[some], counts[some], truth)], names=["lang", "class", "step", "n"])
+
+        cells = rows.where(fold() == 1).select("text", "lang").mapInArrow(run, "lang long, class long, step long, n long")
+        found = cells.groupBy("lang", "class", "step").agg(F.sum("n").alias("n")).toArrow()
+        calibrate(model, *(found[c].to_numpy() for c in ("lang", "class", "step", "n")), false_rejections, slack)
     return model
 
 
