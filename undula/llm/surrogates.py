@@ -61,7 +61,8 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 _ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _VALUE = re.compile(rf"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, KEYWORDS))})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?([^\s\"',;]{{6,}})")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
-_PAIR = re.compile(r"(?<!\w)[^\W\d_a-zß-öø-ÿ][^\W\d_]+ [^\W\d_a-zß-öø-ÿ][^\W\d_]+(?!\w)")
+#: A capitalised word that another follows; the second may begin a match of its own.
+_PAIR = re.compile(r"(?<!\w)([^\W\d_a-zß-öø-ÿ][^\W\d_]+)(?=( [^\W\d_a-zß-öø-ÿ][^\W\d_]+)(?!\w))")
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(t for x in TITLES.values() for t in x)})\.? (?=[^\W\d_a-zß-öø-ÿ])([^\W\d_]+(?: [^\W\d_a-zß-öø-ÿ][^\W\d_]+)?)")
 _DATE = re.compile(r"(?:\d{4}([.\-/])\d{1,2}\1\d{1,2}|\d{1,2}([.\-/])\d{1,2}\2\d{4})(?!\d)")
 _GENDER = {name: key for key, names in GIVEN.items() for name in names}
@@ -126,7 +127,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     titled = list(_TITLED.finditer(left))
     for gender in TITLES:
         take([m.span(2) for m in titled if _TITLE[m.group(1)] == gender], "name:" + gender)
-    take([m.span() for m in _PAIR.finditer(left) if m.group().split(" ")[0] in _GENDER], "name:any")
+    take([(m.start(), m.end(2)) for m in _PAIR.finditer(left) if m.group(1) in _GENDER and not m.group(2)[1].islower()], "name:any")
     return sorted(out)
 
 
