@@ -456,6 +456,16 @@ def test_collisions_get_another_attempt(spark):
     assert changed.where("made <> old").count() == 5
 
 
+def test_collisions_are_settled_or_told(spark):
+    names = [f"Mr {c.upper()}{v}" for c in surrogates.CONSONANTS["latin"] for v in surrogates.VOWELS["latin"]]  # all names of this shape
+    random.Random(1).shuffle(names)
+    some, every = (spark.createDataFrame([(1, ", ".join(x))], DOCS).coalesce(1) for x in (names[:45], names))
+    attempts = surrogates.settle(some, b"k")
+    assert surrogates.check(surrogates.pairs(some, b"k", attempts)).count() == 0 and max(attempts.values()) > 8
+    with pytest.raises(ValueError, match="still collide"):
+        surrogates.settle(every, b"k", 2)
+
+
 # ---- 8: WARC ----
 
 

@@ -16,7 +16,7 @@ layouts, or the same address in two cases, stays the same entity, each in its ow
                letter, vowels by vowels and consonants by consonants of the script
 
 check() counts surrogates that two entities share or that equal some other entity's original. Those found get another
-attempt, all others stay as they are.
+attempt, all others stay as they are, until none is left; where that can't be it is an error.
 """
 
 from __future__ import annotations
@@ -340,17 +340,23 @@ def check(found: DataFrame) -> DataFrame:
 
 
 def settle(docs: DataFrame, key: bytes, rounds: int = 8) -> dict[bytes, int]:
-    """The attempt of each entity whose first surrogate collides; empty as a rule."""
+    """The attempt of each entity whose first surrogate collides; empty as a rule. Goes on until none collides; where
+    `rounds` rounds on end leave no fewer than were left before, a shape has too few free values: ValueError."""
     attempts: dict[bytes, int] = {}
-    for _ in range(rounds):
-        found = shared.stored(pairs(docs, key, attempts), "entities")
+    fewest, idle = MOST_AGAIN + 1, 0
+    while True:
+        found, path = shared.stored_at(pairs(docs, key, attempts), "entities")
         again = check(found).limit(MOST_AGAIN + 1).collect()
+        shared.remove(docs.sparkSession, path)
         if not again:
-            break
+            return attempts
         if len(again) > MOST_AGAIN:
             raise ValueError(f"over {MOST_AGAIN} surrogates collide: this corpus has more entities of a shape than the shape has values for")
+        idle = 0 if len(again) < fewest else idle + 1
+        fewest = min(fewest, len(again))
+        if idle >= rounds:
+            raise ValueError(f"{len(again)} surrogates ({', '.join(sorted({r['kind'] for r in again}))}) still collide: too few values of a shape are free")
         attempts = attempts | {bytes(r["token"]): r["attempt"] + 1 for r in again}
-    return attempts
 
 
 def anonymise(docs: DataFrame, key: bytes = b"undula", checked: bool = True) -> DataFrame:
