@@ -33,6 +33,12 @@ def test_query_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
 
+def test_lists_are_of_all_users(spark):
+    sf = "/root/testdata/sf0.01"
+    users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    assert users > 20 and catalogue.QUERIES["collected_types"](spark, sf).count() == users
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["user_id", "oscillation_id", "duration", "amplitude"] and entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -506,6 +506,13 @@ def lists(spark, sf_dir):
     return e.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("u")), ",").alias("users"), F.count("*").alias("n"))
 
 
+@query("collected_types", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(DISTINCT event_type) AS n FROM events GROUP BY 1")
+def types(spark, sf_dir):
+    """The event types of each user: lists of all events, bounded by the number of types."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(G, "event_type").distinct()
+    return e.groupBy(G).agg(F.array_join(F.array_sort(F.collect_list("event_type")), ",").alias("types"), F.count("event_type").alias("n"))
+
+
 @query("boolean_cooccurrence", f"WITH s AS (SELECT x > 10000 AS a, x > 20000 AS b, event_id % 2 = 0 AS c FROM ({EVENTS})) " + " UNION ALL ".join(f"SELECT '{p}' AS first, '{q}' AS second, count(*) FILTER ({p} AND {q}) AS both, count(*) FILTER ({p} OR {q}) AS either FROM s" for p in "abc" for q in "abc"))
 def cooccurrence(spark, sf_dir):
     e = events(spark, sf_dir).select((F.col("x") > 10000).alias("a"), (F.col("x") > 20000).alias("b"), (F.col(O) % 2 == 0).alias("c"))
