@@ -95,6 +95,24 @@ def test_matching(spark):
     assert [(r.found_id, r.true_id) for r in intervals.match(found, true, ["g"]).collect()] == [(2, 1)]
 
 
+def test_matching_of_long_chains(spark):
+    # each interval overlaps the next of the other side, more so further on: one more pair is matched a round
+    ends, edges = [0], []
+    for k in range(14):
+        ends.append(ends[-1] + 20 - k)
+    edges = [(s, s + 60) for s in ends]
+    true = [("s", k, a, (a + b) // 2, b) for k, (a, b) in enumerate(edges) if k % 2]
+    found = [("s", k, a, (a + b) // 2, b) for k, (a, b) in enumerate(edges) if k % 2 == 0]
+    columns = "g string, {0}_id long, {0}_start long, {0}_peak long, {0}_end long"
+    iou = lambda a, b: max(0, min(a[4], b[4]) - max(a[2], b[2]) + 1) / (max(a[4], b[4]) - min(a[2], b[2]) + 1)
+    want: list = []
+    for _, f, t in sorted((-iou(f, t), f[1], t[1]) for f in found for t in true if iou(f, t) >= 0.1):
+        if f not in {x for x, _ in want} and t not in {y for _, y in want}:
+            want.append((f, t))
+    got = intervals.match(spark.createDataFrame(found, columns.format("found")), spark.createDataFrame(true, columns.format("true")), ["g"], 1000, 0.1)
+    assert len(want) > 4 and sorted((r.found_id, r.true_id) for r in got.collect()) == sorted(want)
+
+
 def test_episodes(spark):
     d = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate([5, 5, 0, 7, 0, 8, 9])], "g string, i long, x double")
     f = OrderedFrame.of(d, "i", "g", None, ["x"])
