@@ -52,6 +52,17 @@ def test_encoder_is_the_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder().encode(texts)] == [ids_of(t) for t in texts]
 
 
+def test_special_tokens_in_texts_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    from undula.llm.tokens import vocabulary_path
+
+    plain = Tokenizer.from_file(vocabulary_path())
+    texts = ["<|endoftext|>", "a b <|endoftext|> c", "a<|endoftext|>b c", "one\n<|endoftext|>", "<|endoftext", "a b c"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder().encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [50256]
+
+
 @pytest.mark.parametrize("n", [1, 127, 128, 129, 5000])
 @pytest.mark.parametrize("percentile", [0.0, 0.5, 0.9, 1.0])
 def test_segments_round_trip(n, percentile):

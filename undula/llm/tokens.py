@@ -2,8 +2,8 @@
 
 A pre-token of this vocabulary holds a space or a line feed only at its start or alone. So where no two white
 spaces touch and there are no others, a text may be cut before each space and each line feed, and its parts encoded
-apart; a word at a text's start is encoded as after a line feed. Other texts are encoded whole. Either way the ids
-are the library's.
+apart; a word at a text's start is encoded as after a line feed. Other texts, and those that hold an added token of the
+vocabulary (<|endoftext|>), are encoded whole. Either way the ids are the library's.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.feed = int(np.frombuffer(self._whole("\n"), _ids)[0])
@@ -88,7 +88,7 @@ class Encoder:
         words: list[str] = []
         cuts: list[int] = []  # where each text that is cut begins in words; -1: it isn't
         for text in texts:
-            if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _TOUCHING) or any(x in text for x in _OTHER_SPACE):
+            if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _TOUCHING) or any(x in text for x in _OTHER_SPACE) or any(x in text for x in self.added):
                 cuts.append(-1)
             else:
                 cuts.append(len(words))
