@@ -39,6 +39,13 @@ def test_lists_are_of_all_users(spark):
     assert users > 20 and catalogue.QUERIES["collected_types"](spark, sf).count() == users
 
 
+def test_every_fault_is_evaluated(spark, monkeypatch):
+    # fits stand aside: what is asked for is counted
+    monkeypatch.setattr(catalogue.classify, "evaluate_fault", lambda examples, control, **options: (examples.groupBy("fault_number").count(), examples))
+    got = catalogue.QUERIES["fault_evaluation"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.fault_number for r in got) == [1, 2, 3, 4, 5, 6] and all(r["count"] > 0 for r in got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["user_id", "oscillation_id", "duration", "amplitude"] and entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -595,7 +595,7 @@ def fault_evaluation(spark, sf_dir):
     examples = study(spark, sf_dir)
     raw = analytics.segment_statistics(oscillation().primitives(events(spark, sf_dir)), "x", "x_wave_id").select(F.col(G).alias("simulation_run"), F.col("x_wave_id").alias("oscillation_id"), *analytics.RAW_FEATURES)
     both = examples.join(raw, ["simulation_run", "oscillation_id"]).withColumn("simulation_run", (F.expr("simulation_run div 7") % 5) + 1)
-    return classify.evaluate_fault(both.where("fault_number = 1"), both.where("fault_number = 0"), fault_start=20)[0]
+    return classify.run_comparison(both, range(1, 7), fault_start=20)[0]
 
 
 query("simulated_cartpole")(lambda s, d: simulate.cartpole(s, 3, 120))
