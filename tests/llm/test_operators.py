@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from undula.llm import chat, components, decontaminate, language, packing, quality, shared, simhash, substrings, surrogates, token_blocks, warc, words
+from undula.llm import chat, components, decontaminate, language, packing, quality, shared, simhash, substrings, surrogates, token_blocks, tokens, warc, words
 from undula.llm.tokens import encoder
 
 DOCS = "doc_id long, text string"
@@ -43,13 +43,41 @@ def ids_of(text):
     return encoder().library.encode(text or "", add_special_tokens=False).ids
 
 
+def encoded(own, texts):
+    ids, ends = own.encode(texts)
+    return [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
+
+
 # ---- 1: token blocks ----
 
 
 def test_encoder_is_the_library():
     texts = [t for _, t in ODD] + [" a", "a ", "it's 's", "a\tb", "\n", "a \n b", "x\x1cy", "<|endoftext|> z", "\r\n", "a b", "A\nB C\nD"]
     for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder().encode(texts)] == [ids_of(t) for t in texts]
+        assert encoded(encoder(), texts) == [ids_of(t) for t in texts]
+
+
+@pytest.mark.parametrize("remembered", [1, 40, 10_000])
+def test_encoder_forgets_words(monkeypatch, remembered):
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    own = tokens.Encoder(tokens.vocabulary_path())
+    rng = np.random.default_rng(remembered)
+    runs = ["the", "The", "über", "señor", "Łódź", "мир", "漢字", "ab12", "don't", "x's", "ªº", "ʰa", "e\u0301", "12", "I'll", "\u0130n", "ß", "a_b", "well-known"]
+    signs = ["", ".", ",", "...", "!?", "%%%", "'", "'s", ".'", "—", "$", ")", "'."]
+    for _ in range(30):
+        texts = []
+        for _ in range(int(rng.integers(0, 6))):
+            words = [rng.choice(["", "(", "\n"], p=[0.8, 0.1, 0.1]) + rng.choice(runs) + rng.choice(signs) for _ in range(int(rng.integers(1, 12)))]
+            texts.append(" ".join(words).replace(" \n", "\n").strip())
+        assert encoded(own, texts) == [ids_of(t) for t in texts]
+        ids, ends = own.encode(texts, 7)
+        assert ids.tolist() == [x for t in texts for x in [*ids_of(t), 7]] and ends.tolist() == np.cumsum([len(ids_of(t)) + 1 for t in texts]).tolist()
+
+
+def test_other_vocabularies_encode_whole_texts():
+    own = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"))
+    texts = ["The cat, the mat.", "one\ntwo", "", None]
+    assert encoded(own, texts) == [own.library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_special_tokens_in_texts_are_the_library_s():
@@ -59,7 +87,7 @@ def test_special_tokens_in_texts_are_the_library_s():
 
     plain = Tokenizer.from_file(vocabulary_path())
     texts = ["<|endoftext|>", "a b <|endoftext|> c", "a<|endoftext|>b c", "one\n<|endoftext|>", "<|endoftext", "a b c"]
-    got = [np.frombuffer(x, "<u4").tolist() for x in encoder().encode(texts)]
+    got = encoded(encoder(), texts)
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [50256]
 
 
@@ -77,7 +105,8 @@ def test_shards(spark, odd, tmp_path):
     manifest = token_blocks.write(odd, f"file://{tmp_path}/shards")
     got = [tuple(r)[:4] for r in token_blocks.read(spark, manifest).orderBy("start").collect()]
     start, want = 0, []
-    for doc_id, text in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    hashed = {r.text: r.h for r in odd.select("text", F.xxhash64("text").alias("h")).collect()}
+    for doc_id, text in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]])):
         ids = [*ids_of(text), 2]
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

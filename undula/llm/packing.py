@@ -40,19 +40,18 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: s
     """Token pieces of documents(doc_id, text). A document longer than capacity is cut into pieces of capacity, of
     which the first may be shorter. Null text is empty, and so one piece of end_id alone."""
     shared.bounded_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.parts(batches, "text"):
+        for batch in shared.parts(batches, "text", 4 << 20):
             columns: list[list] = [[] for _ in range(6)]
-            made = encoder(vocabulary).encode(batch.column("text").to_pylist())
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), made, strict=True):
-                ids += end
-                n, at = len(ids) // 4, 0
+            ids, ends = encoder(vocabulary).encode(batch.column("text"), end_id)
+            data = memoryview(ids.astype("<u4").tobytes())
+            for doc_id, first, end in zip(batch.column("doc_id").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                n, at = end - first, 0
                 size = n % capacity or min(n, capacity)
                 for piece in range(-(-n // capacity)):
-                    part = ids[4 * at : 4 * (at + size)]
-                    for column, value in zip(columns, (doc_id, piece, at, size, zlib.crc32(part), part if with_ids else None), strict=True):
+                    part = data[4 * (first + at) : 4 * (first + at + size)]
+                    for column, value in zip(columns, (doc_id, piece, at, size, zlib.crc32(part), bytes(part) if with_ids else None), strict=True):
                         column.append(value)
                     at, size = at + size, capacity
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())

@@ -217,14 +217,13 @@ def write(docs: DataFrame, folder: str, end_id: int = 2, percentile: float = 0.9
     """Encodes documents(doc_id, text) into shards below folder, in ascending doc_id order, each with end_id after it.
 
     Returns the manifest (part, path, n_docs, n_ids), stored. Null text is empty; a null doc_id comes first; rows of
-    one doc_id are ordered by text, and repeated rows are all written. An empty table gives an empty manifest.
+    one doc_id are ordered by their text's hash, and repeated rows are all written. An empty table gives an empty manifest.
     """
     shared.bounded_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = sink = None
-        for batch in shared.parts(batches, "text"):
+        for batch in shared.parts(batches, "text", 4 << 20):
             if writer is None:
                 files, base = pa.fs.FileSystem.from_uri(folder)
                 files.create_dir(base)
@@ -232,16 +231,17 @@ def write(docs: DataFrame, folder: str, end_id: int = 2, percentile: float = 0.9
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.pfor"
                 sink = files.open_output_stream(f"{base}/{name}")
                 writer = ShardWriter(sink, percentile)
-            made = encoder(vocabulary).encode(batch.column("text").to_pylist())
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), made, strict=True):
-                writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            ids, ends = encoder(vocabulary).encode(batch.column("text"), end_id)
+            for doc_id, at, end in zip(batch.column("doc_id").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                writer.add(doc_id, ids[at:end])
         if writer is not None:
             writer.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [len(writer.docs)], "n_ids": [writer.done]})
 
     rows = shared.text_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]  # hashes, so that the sample that finds the ranges holds no texts
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return shared.stored(ordered.mapInArrow(shard, MANIFEST), "token-manifest")
 
 
