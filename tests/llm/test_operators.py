@@ -194,13 +194,79 @@ def test_language_learns_only_its_folds(labelled):
     assert b.languages == a.languages and (a.grams[3].values == b.grams[3].values).all() and a.slope == b.slope
 
 
-def test_long_texts_come_in_pieces(monkeypatch):
+@pytest.mark.parametrize("piece", [1, 2, 7, 40])
+def test_long_texts_come_in_pieces(spark, monkeypatch, piece):
     model = language.build({"a": np.unique(language.keys(["abra cadabra abba " * 9])[0], return_counts=True), "b": np.unique(language.keys(["zzyzx lyxz " * 9])[0], return_counts=True)})
-    texts = ["abra cadabra " * 50, None, "", "zzyzx " * 3, "..."]
+    texts = ["abra cadabra " * 50, None, "", "zzyzx " * 3, "...", "a  1 - 2 b" * 30, "ΟΔΟΣ İ " * 9, "1 2 3 " * 20]
+    rows = spark.createDataFrame([("a" if k % 2 else "b", t) for k, t in enumerate(texts)], "lang string, text string")
     whole = model.classify(texts)
-    monkeypatch.setattr(language, "PIECE", 40)
+    sums = model.cross_entropy(texts)
+    counted = sorted(map(tuple, language.count(rows).collect()))
+    monkeypatch.setattr(language, "PIECE", piece)
     cut = model.classify(texts)
-    assert whole[0] == cut[0] == ["a", "und", "und", "b", "und"] and cut[2] == pytest.approx(whole[2], abs=0.2)
+    assert whole[0] == cut[0] and cut[0][:5] == ["a", "und", "und", "b", "und"] and cut[2] == pytest.approx(whole[2], abs=1e-9)
+    assert all(np.allclose(x, y) for x, y in zip(model.cross_entropy(texts), sums, strict=True))
+    held: dict[tuple[str, int], int] = {}
+    for k, t in enumerate(texts):
+        if any(c.isalpha() for c in t or ""):
+            key = np.concatenate([x[1] for x in language.pieced([t])])
+            for x in key.view(np.int64).tolist():
+                held["a" if k % 2 else "b", x] = held.get(("a" if k % 2 else "b", x), 0) + 1
+    assert counted == sorted((*k, n) for k, n in held.items())
+
+
+def brute_kneser_ney(corpora, order=4):
+    """p(c | the three characters before) of each language, from strings and dictionaries."""
+
+    def plain(text):
+        return "   " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in " " + text.lower()))
+
+    grams = {}
+    for lang, texts in corpora.items():
+        top = {}
+        for t in texts:
+            t = plain(t)
+            for k in range(len(t) - order + 1):
+                top[t[k : k + order]] = top.get(t[k : k + order], 0) + 1
+        by = {order: top}
+        for n in range(order - 1, 0, -1):
+            by[n] = {}
+            for g in by[n + 1]:
+                by[n][g[1:]] = by[n].get(g[1:], 0) + 1
+        grams[lang] = by
+    letters = {g[-1] for by in grams.values() for g in by[order]}
+
+    def p(lang, context, c):
+        if len(context) == 0:
+            lower = 1 / (len(letters) + 1)
+        else:
+            lower = p(lang, context[1:], c)
+        counts = grams[lang][len(context) + 1]
+        one, two = sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values())
+        d = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+        own = {g: v for g, v in counts.items() if g[:-1] == context}
+        total = sum(own.values())
+        return lower if not total else max(own.get(context + c, 0) - d, 0) / total + d * len(own) / total * lower
+
+    return plain, p
+
+
+def test_kneser_ney_is_brute_force():
+    rng = random.Random(11)
+    corpora = {lang: ["".join(rng.choice(parts) for _ in range(30)) for _ in range(4)] for lang, parts in {"a": ["ba", "bo", " ", "d", "é"], "b": ["kr", "o", " ", "ba", "—"]}.items()}
+    model = language.build({k: np.unique(np.concatenate([x[1] for x in language.pieced(v)]), return_counts=True) for k, v in corpora.items()})
+    plain, p = brute_kneser_ney(corpora)
+    texts = [corpora["a"][0], corpora["b"][1], "xyz bo", "ba q ba", "q"]
+    entropy, counts, _ = model.cross_entropy(texts)
+    for t, row, n in zip(texts, entropy, counts, strict=True):
+        t = plain(t)
+        want = [-np.mean([np.log(p(lang, t[k - 3 : k], t[k])) for k in range(3, len(t))]) for lang in ("a", "b")]
+        assert n == len(t) - 3 and row == pytest.approx(want, rel=1e-4)
+
+
+def test_columns_that_are_added_must_not_be_there(spark, labelled):
+    with pytest.raises(ValueError, match="lang_pred"):
+        language.identify(labelled.withColumn("Lang_Pred", F.lit(1)), language.build({}))
 
 
 def test_kneser_ney_sums_to_one():

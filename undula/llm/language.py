@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts are put in lower case; letters stay, every run of other characters is one space. A 4-gram of characters is an
-exact 64-bit key of four 16-bit codes (code points beyond are folded), so every lower order, its continuation counts
+64-bit key of four 16-bit codes (exact up to U+FFFF; letters beyond share codes with others), so every lower order, its continuation counts
 and its contexts follow from the counted 4-grams. Counts cover all training rows and are summed by Spark; every counted
 n-gram is kept.
 
@@ -45,45 +45,58 @@ def _codes() -> np.ndarray:
     return _table[0]
 
 
-def keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """4-gram keys of all texts end to end, how many each text has, and how many letters."""
-    lower = [" " + (t or "").lower() for t in texts]
-    sizes = np.array([len(t) for t in lower], np.int64)
-    raw = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), "<u4")
+def keys(texts: list[str], carry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """4-gram keys of all texts (in lower case) end to end, how many each text has, and how many letters; and the codes
+    that a piece which goes on with the last text needs. carry: those of the piece that the first text goes on with."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     codes = _codes()[raw]
     owner = np.repeat(np.arange(len(texts)), sizes)
     space = codes == _SPACE
     keep = np.ones(len(codes), bool)
     keep[1:] = ~(space[1:] & space[:-1] & (owner[1:] == owner[:-1]))
+    if carry is not None and sizes[0] and space[0] and carry[-1] == _SPACE:
+        keep[0] = False
     letters = np.bincount(owner[~space], minlength=len(texts))
     codes, owner = codes[keep].astype(np.uint64), owner[keep]
     counts = np.bincount(owner, minlength=len(texts))
     padded = np.full(len(codes) + 3 * len(texts), _SPACE, np.uint64)
     at = np.arange(len(codes)) + 3 * (owner + 1)
     padded[at] = codes
+    if carry is not None:
+        padded[:3] = carry
     key = np.zeros(len(padded), np.uint64)
     for k in range(ORDER):
         key[3:] |= padded[3 - k : len(padded) - k] << np.uint64(16 * k)
-    return key[at], counts, letters
+    return key[at], counts, letters, padded[-3:]
 
 
-def pieced(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """The texts in groups of about PIECE characters, with each piece's text; a longer text comes in pieces, each of
-    which begins as a text does."""
+def pieced(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts' keys in groups of about PIECE characters: which text each piece is of, and keys() of the pieces. A
+    longer text comes in pieces, each of which goes on where the one before it ended, so keys are those of whole texts."""
     held: list[str] = []
     owner: list[int] = []
     size = 0
+    carry = None
+
+    def made(goes_on: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal carry
+        key, counts, letters, last = keys(held, carry)
+        carry = last if goes_on else None
+        return np.array(owner), key, counts, letters
+
     for k, text in enumerate(texts):
-        for at in range(0, max(1, len(text or "")), PIECE):
-            piece = (text or "")[at : at + PIECE]
+        text = " " + (text or "").lower()
+        for at in range(0, len(text), PIECE):
+            piece = text[at : at + PIECE]
             if held and size + len(piece) > PIECE:
-                yield held, np.array(owner)
+                yield made(at > 0)
                 held, owner, size = [], [], 0
             held.append(piece)
             owner.append(k)
             size += len(piece)
     if held:
-        yield held, np.array(owner)
+        yield made(False)
 
 
 class HashArray:
@@ -162,8 +175,7 @@ class Model:
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nats per character of each text under each language, and the texts' characters and letters."""
         sums, chars, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for pieces, owner in pieced(texts):
-            key, counts, found = keys(pieces)
+        for owner, key, counts, found in pieced(texts):
             some = np.flatnonzero(counts)
             if len(some):
                 starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
@@ -210,13 +222,13 @@ def count(rows: DataFrame) -> DataFrame:
             return found, np.bincount(back, np.concatenate([n for _, n in parts]), len(found)).astype(np.int64)
 
         for batch in shared.parts(batches, "text"):
-            langs = batch.column("lang").to_pylist()
-            for pieces, owner in pieced(batch.column("text").to_pylist()):
-                key, counts, letters = keys(pieces)
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            lettered = np.array([any(map(str.isalpha, t or "")) for t in texts])
+            for owner, key, counts, _ in pieced(texts):
                 own = [langs[k] for k in owner]
                 of = np.repeat(np.arange(len(own)), counts)
                 for lang in sorted(set(own)):
-                    mine = np.array([x == lang for x in own]) & (letters > 0)
+                    mine = np.array([x == lang for x in own]) & lettered[owner]
                     parts = held.setdefault(lang, [])
                     parts.append(np.unique(key[mine[of]], return_counts=True))
                     if sum(len(k) for k, _ in parts[1:]) > max(500_000, len(parts[0][0])):
@@ -380,6 +392,7 @@ def train(docs: DataFrame, false_rejections: float = 0.001, slack: float = 0.25)
 
         cells = rows.where(fold() == 1).select("text", "lang").mapInArrow(run, "lang long, class long, step long, n long")
         found = cells.groupBy("lang", "class", "step").agg(F.sum("n").alias("n")).toArrow()
+        sent.destroy()
         calibrate(model, *(found[c].to_numpy() for c in ("lang", "class", "step", "n")), false_rejections, slack)
     return model
 
@@ -387,18 +400,19 @@ def train(docs: DataFrame, false_rejections: float = 0.001, slack: float = 0.25)
 ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (any columns, with text) and: lang_pred, score, cross_entropy, rejected.
+def identify(docs: DataFrame, model: Model, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs (any columns, with text; those named in `without` are left out) and: lang_pred, score, cross_entropy, rejected.
 
     Null text and text without a letter is `und`, score 0, rejected. Equal entropies give the first language by name.
-    Repeated rows are judged alike; an empty table stays empty. docs must not have columns of the names added.
+    Repeated rows are judged alike; an empty table stays empty. Columns of the names added are an error: ValueError.
     """
     shared.bounded_batches(docs.sparkSession)
+    fields = shared.kept_fields(docs, without, ADDED)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.parts(batches, "text"):
             names, score, entropy, rejected = sent.value.classify(batch.column("text").to_pylist())
-            yield shared.with_columns(batch, {"lang_pred": pa.array(names), "score": pa.array(score), "cross_entropy": pa.array(entropy), "rejected": pa.array(rejected)})
+            yield shared.with_columns(batch.drop_columns(list(without)), {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "cross_entropy": pa.array(entropy), "rejected": pa.array(rejected)})
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *ADDED]))
+    return docs.mapInArrow(run, T.StructType([*fields, *ADDED]))

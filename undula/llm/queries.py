@@ -15,14 +15,14 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
-    found = language.identify(shared.text_only(docs, "doc_id", "text"), language.train(docs))
+    found = language.identify(shared.text_only(docs, "doc_id", "text"), language.train(docs), without=("text",))
     held_out = F.coalesce(language.fold() == 0, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op3_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.text_only(shared.documents(spark, sf_dir), "doc_id", "text")
-    found = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), without=("text",))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

@@ -13,17 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python hold at most this much, so that long texts don't pile up in a worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _local_root: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder stands in where that is unset (one machine, tests).
+    """A new path below spark.checkpoint.dir, a folder that all executors share. Where that is unset a temporary folder
+    stands in on one machine (local masters, as in tests); on a cluster it is an error.
 
     A folder without a scheme is one of Hadoop's default file system, and is named so for those who don't ask Hadoop."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _local_root:
             _local_root.append("file://" + tempfile.mkdtemp(prefix="undula-"))
         root = _local_root[0]
@@ -51,6 +54,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Sets the size of Arrow batches, which Spark reads when a plan runs, so it holds for the session from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -114,6 +118,14 @@ def per_batch(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def kept_fields(docs: DataFrame, without: Iterable[str], added: Iterable) -> list:
+    """The fields of docs but those of `without`; ValueError if one has a name that is to be added."""
+    clash = {c.lower() for c in docs.columns} & {f.name.lower() for f in added}
+    if clash:
+        raise ValueError(f"columns {', '.join(sorted(clash))} are added here and must not be there; see shared.apart")
+    return [f for f in docs.schema.fields if f.name not in without]
+
+
 def text_only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns, whatever their names, don't matter."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
@@ -127,3 +139,20 @@ def apart(docs: DataFrame, added: Iterable[str], apply) -> DataFrame:
     other = {c: fresh(taken, f"{c}_of_documents") for c in docs.columns if c.lower() in added}
     result = apply(docs.withColumnsRenamed(other))
     return result.select(*(F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns))
+
+
+#: A key is hot if it has more than this share of a table's rows, so there are fewer than 1 / HOT such keys.
+HOT = 0.001
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """big joined (inner or left) with small, whose rows have distinct keys and in column n the number of big's rows with
+    them; n is dropped. Rows of hot keys, however many, stay where they are: of small only those fewer than 1 / HOT keys
+    are broadcast. The other rows are shuffled. Both tables are read twice, so they should be stored ones."""
+    total = small.agg(F.sum(n).alias("n")).first()["n"] or 0
+    hot = small.where(F.col(n) > total * HOT)
+    if hot.isEmpty():
+        return big.join(small.drop(n), keys, how)
+    here = big.join(F.broadcast(hot.drop(n)), keys)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(n) <= total * HOT).drop(n), keys, how)
+    return here.unionByName(rest)
