@@ -1,9 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the benchmark's word windows.
 
 Texts are normalised byte by byte: A-Z in lower case, every other ASCII byte but 0-9 and a-z a separator, bytes of
-other characters kept; words are then joined by single spaces, with a space at either end. Patterns are the item's
-windows of `window` words in the same form, so a match in the joined text is a match of whole words. A text is
-scanned once; where there are matches, the words' places are mapped back to offsets in the original text.
+other characters kept. Each word that the benchmark has is one symbol of the automaton, all others are another, so a
+window of `window` words is a path of so many nodes, and a match is one of whole words. A text is scanned once; where
+there are matches, the words' places are mapped back to offsets in the original text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,9 @@ from undula.llm import shared
 
 _KEEP = re.compile(rb"[0-9a-z\x80-\xff]+")
 NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-#: Words of the benchmark in one automaton, about 250 MB of a worker's memory; a larger benchmark takes several passes.
-MOST_WORDS = 60_000
+#: Words of the benchmark that are broadcast at once (they and their automaton take some 250 MB of a worker's memory at
+#: most). A benchmark beyond that size is matched a part at a time, with the same results.
+MOST_WORDS = 400_000
 RESULT = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -65,14 +66,17 @@ class Matcher:
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         import ahocorasick
 
-        found: dict[bytes, set[str]] = {}
+        self.symbols: dict[bytes, str] = {}
+        found: dict[str, set[str]] = {}
         for item_id, own in items:
+            line = "".join([self.symbols.setdefault(w, chr(len(self.symbols) + 1)) for w in own])
             for k in range(max(1, len(own) - window + 1)):
-                found.setdefault(b" ".join([b"", *own[k : k + window], b""]), set()).add(item_id)
+                found.setdefault(line[k : k + window], set()).add(item_id)
+        found.pop("", None)
         self.items = list(found.values())
         self.automaton = ahocorasick.Automaton()
         for k, pattern in enumerate(found):
-            self.automaton.add_word(pattern.decode("latin-1"), (k, len(pattern)))
+            self.automaton.add_word(pattern, (k, len(pattern)))
         if self.items:
             self.automaton.make_automaton()
 
@@ -80,14 +84,12 @@ class Matcher:
         """Runs of words (first, end) that windows cover, and the items whose windows occur."""
         if not own or not self.items:
             return [], set()
-        line = b" ".join([b"", *own, b""])
-        found = [(end + 1 - size, end, k) for end, (k, size) in self.automaton.iter(line.decode("latin-1"))]
+        found = [(last + 1 - size, last + 1, k) for last, (k, size) in self.automaton.iter("".join(map(self.symbols.get, own, repeat("\0"))))]
         if not found:
             return [], set()
-        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
         edge = np.zeros(len(own) + 1, np.int64)
-        np.add.at(edge, np.searchsorted(spaces, [m[0] for m in found]), 1)
-        np.add.at(edge, np.searchsorted(spaces, [m[1] for m in found]), -1)
+        np.add.at(edge, [m[0] for m in found], 1)
+        np.add.at(edge, [m[1] for m in found], -1)
         return runs(np.cumsum(edge)[:-1] > 0), set().union(*(self.items[k] for k in {m[2] for m in found}))
 
 
@@ -127,31 +129,36 @@ def characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(int(before[a]), int(before[b])) for a, b in spans]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, num: int = 1, den: int = 20, most: int = MOST_WORDS) -> DataFrame:
-    """docs (any columns, with text) and: n_words, n_hit, n_items, items_sha256, contaminated, spans.
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, num: int = 1, den: int = 20, most: int = MOST_WORDS, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs (any columns, with text; those named in `without` are left out) and: n_words, n_hit, n_items, items_sha256,
+    contaminated, spans.
 
     A document is contaminated if words are hit and den * n_hit >= num * n_words. spans are code point offsets of runs
     of hit words in the original text. Null or empty text has no words, and isn't contaminated. Items are told apart by
     item_id (null: one item named "null"); items without words match nothing; an empty benchmark hits nothing.
-    Repeated rows are judged alike. docs must not have columns of the names added.
+    Repeated rows are judged alike. Columns of the names added are an error: ValueError.
 
     A benchmark of up to `most` words goes to the workers and texts are read once. A larger one is matched a part at a
     time; what a part hits is kept by the text's hashes, and joined to the documents at the end.
     """
     shared.bounded_batches(docs.sparkSession)
+    fields = shared.kept_fields(docs, without, RESULT)
     parts = item_parts(benchmark, window, most)
     first, second = next(parts, []), next(parts, None)
     if second is None:
-        return _judged(docs, _sent(docs, first), window, num, den)
+        return _judged(docs, _sent(docs, first), window, num, den, without, fields)
     keys = [F.xxhash64("text").alias("r"), F.hash("text").alias("s")]
     found = None
     for k, part in enumerate(chain((first, second), parts)):
-        hits = shared.stored(_hits(docs.select("text", *keys), _sent(docs, part), window).dropDuplicates(["r", "s"]), f"hits-{k}")
+        hits = _hits(docs.select("text", *keys), _sent(docs, part), window).groupBy("r", "s").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("covered", "items")))
+        hits = shared.stored(hits, f"hits-{k}")
         found = hits if found is None else found.union(hits)
-    merged = found.groupBy("r", "s").agg(F.flatten(F.collect_list("covered")).alias("covered"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    r, s, covered, items = (shared.fresh(docs.columns, x) for x in ("r", "s", "covered", "items"))
+    r, s, covered, items, n = (shared.fresh(docs.columns, x) for x in ("r", "s", "covered", "items", "n"))
+    merged = found.groupBy(F.col("r").alias(r), F.col("s").alias(s)).agg(
+        F.max("n").alias(n), F.flatten(F.collect_list("covered")).alias(covered), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items)
+    )
     keyed = docs.withColumns({r: F.xxhash64("text"), s: F.hash("text")})
-    both = keyed.join(merged.withColumnsRenamed({"r": r, "s": s, "covered": covered, "items": items}), [r, s], "left").drop(r, s)
+    both = shared.join_hot(keyed, shared.stored(merged, "hits"), [r, s], n, "left").select(*docs.columns, covered, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,9 +169,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, num: int = 1,
                 for x in spans or ():
                     hit[x["start"] : x["end"]] = True
                 rows.append(verdict(text, own, runs(hit), set(names or ()), num, den))
-            yield _with_result(batch.drop_columns([covered, items]), rows)
+            yield _with_result(batch.drop_columns([covered, items, *without]), rows)
 
-    return both.mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT]))
+    return both.mapInArrow(run, T.StructType([*fields, *RESULT]))
 
 
 def _sent(docs: DataFrame, items: list[tuple[str, list[bytes]]]):
@@ -175,7 +182,7 @@ def _with_result(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
     return shared.with_columns(batch, {f.name: pa.array([r[k] for r in rows], kind) for k, (f, kind) in enumerate(zip(RESULT, _KINDS, strict=True))})
 
 
-def _judged(docs: DataFrame, sent, window: int, num: int, den: int) -> DataFrame:
+def _judged(docs: DataFrame, sent, window: int, num: int, den: int, without: tuple[str, ...], fields: list) -> DataFrame:
     key = int(sent._jbroadcast.id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +192,9 @@ def _judged(docs: DataFrame, sent, window: int, num: int, den: int) -> DataFrame
             for text in shared.raw(batch.column("text")):
                 own = words(text)
                 rows.append(verdict(text, own, *matcher.matches(own), num, den))
-            yield _with_result(batch, rows)
+            yield _with_result(batch.drop_columns(list(without)), rows)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT]))
+    return docs.mapInArrow(run, T.StructType([*fields, *RESULT]))
 
 
 def _hits(keyed: DataFrame, sent, window: int) -> DataFrame:
