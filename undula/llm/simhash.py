@@ -176,11 +176,13 @@ def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
 
 
 def named(marked: DataFrame, bits: int = BITS) -> DataFrame:
-    """marked(doc_id, fp, ...) -> fp, root (one fingerprint of its component), component_id (its least doc_id)."""
-    nodes = shared.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    """marked(doc_id, fp, ...) -> fp, root (one fingerprint of its component), component_id (its least doc_id), n (rows
+    with that fingerprint), stored."""
+    nodes = shared.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, bits))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "root", "component_id")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+    return shared.stored(shared.join_hot(shared.stored(rooted, "rooted"), shared.stored(least, "roots"), ["root"], "members").select("fp", "root", "component_id", "n"), "named")
 
 
 def groups(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> DataFrame:
@@ -192,7 +194,7 @@ def groups(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> DataFrame:
     rows = shared.text_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = shared.stored(fingerprints(rows, "fp", shingle), "fingerprints")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marked.join(named(marked, bits), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return shared.join_hot(marked, named(marked, bits), ["fp"], "n").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> DataFrame:
@@ -201,8 +203,8 @@ def representatives(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> Data
     keys = [F.xxhash64("doc_id", "text"), F.hash("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", keys[0].alias("r"), keys[1].alias("s"))
     marked = shared.stored(fingerprints(rows, "fp", shingle), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r", "s"))
-    kept = marked.join(named(marked, bits), "fp").groupBy("root").agg(first.alias("x")).select("x.r", "x.s")
+    first = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r", "s")).alias("x"))
+    kept = first.join(named(marked, bits), "fp").groupBy("root").agg(F.min("x").alias("x")).select("x.r", "x.s")
     r, s = shared.fresh(docs.columns, "r"), shared.fresh(docs.columns, "s")
     keyed = docs.withColumns({r: keys[0], s: keys[1]})
     return keyed.join(kept.withColumnsRenamed({"r": r, "s": s}), [r, s], "left_semi").dropDuplicates([r, s]).select(*(F.col(f"`{c}`") for c in docs.columns))
