@@ -470,6 +470,29 @@ def test_repeated_passages(spark, window):
     assert order(tuple(r) for r in got) == order(brute_strip(rows, window))
 
 
+def test_repeats_of_copies_and_long_windows(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(400))
+    rows = [(k, long) for k in range(30)] + [(None, long)] * 30 + [(100 + k, f"own {k} " + " ".join(f"x{k}{j}" for j in range(90))) for k in range(20)]
+    rows += [(200, long[:500] + " new " + long[600:1500]), (201, "p q " * 200), (202, None)]
+    for window in (20, 70, 150):
+        assert substrings.levels(window) == {20: [20, 10], 70: [70, 35, 18, 9], 150: [150, 75, 38, 19, 10]}[window]
+        assert order(tuple(r) for r in substrings.strip(spark.createDataFrame(rows, DOCS), window).collect()) == order(brute_strip(rows, window))
+
+
+def test_the_loop_ends_without_candidates(spark, monkeypatch):
+    seen = []
+    counted = substrings.repeated
+    monkeypatch.setattr(substrings, "repeated", lambda docs, lengths, level, passed: (seen.append(lengths[level]), counted(docs, lengths, level, passed))[1])
+    rows = [(k, " ".join(f"x{k}{j}" for j in range(90))) for k in range(20)]
+    twelve = " ".join(f"y{j}" for j in range(12))
+    substrings.strip(spark.createDataFrame(rows, DOCS)).collect()
+    assert seen == [9]  # nothing is repeated at 9 words
+    seen.clear()
+    got = substrings.strip(spark.createDataFrame([*rows, *((100 + k, " ".join([*(f"z{k}{j}" for j in range(30)), twelve, *(f"v{k}{j}" for j in range(30))])) for k in range(90))], DOCS)).collect()
+    assert seen == [9, 18] and sum(r.n_removed for r in got) == 0  # twelve words are, at 9 and not at 18
+
+
 def test_no_repeats(spark, none):
     assert substrings.strip(none).count() == 0
     assert substrings.strip(spark.createDataFrame([(1, "one text alone")], DOCS)).first().n_removed == 0

@@ -52,20 +52,21 @@ def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, stops, np.searchsorted(starts, ends)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, made for some `most` bytes of words at a time."""
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 1 << 20, base: int = _BASE) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, made for some `most` bytes of words at a time; base (odd) decides which."""
     out = np.empty(len(starts), np.uint64)
+    codes = _CODES if base == _BASE else mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
     k = 0
     while k < len(starts):
-        base = starts[k]
-        end = max(k + 1, int(np.searchsorted(stops, base + most, "right")))
-        part = data[base : stops[end - 1]]
-        up, down = powers(_BASE, len(part) + 1)
+        origin = starts[k]
+        end = max(k + 1, int(np.searchsorted(stops, origin + most, "right")))
+        part = data[origin : stops[end - 1]]
+        up, down = powers(base, len(part) + 1)
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_CODES[part] * up[: len(part)], out=total[1:])
-        first, last = starts[k:end] - base, stops[k:end] - base
+        np.cumsum(codes[part] * up[: len(part)], out=total[1:])
+        first, last = starts[k:end] - origin, stops[k:end] - origin
         value = (total[last] - total[first]) * down[first]
-        out[k:end] = mix(value + (last - first).astype(np.uint64) * np.uint64(_BASE))
+        out[k:end] = mix(value + (last - first).astype(np.uint64) * np.uint64(base))
         k = end
     return out
 
