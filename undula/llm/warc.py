@@ -5,7 +5,9 @@ page_id is the response; the others are revisits without payload, whose HTTP hea
 
 Reader: a split scans its bytes for the gzip magic, takes the first candidate whose data starts with a whole WARC
 header, and from there follows member after member. A split owns the records that start inside it, and reads past its
-end for the last of them, so no record is read twice or missed however the bytes are cut.
+end for the last of them, so no record is read twice or missed however the bytes are cut. A header may be of any length.
+Bytes that are no whole member with a WARC header (a corrupt or truncated one) are passed over, and the reader goes on
+at the next member; who has a manifest compares the number of records with it, as archive_and_read() does.
 
 Files have names that no other attempt uses and count only through the manifest that Spark commits.
 """
@@ -31,8 +33,8 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:undula:page:"
 BUFFER = 1 << 20
-#: A WARC header longer than this isn't taken for one.
-MOST_HEADER = 1 << 20
+#: Tasks that read at most; with more splits than that, a task reads several.
+MOST_TASKS = 100_000
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, leader: int | None, date: str) -> bytes:
@@ -72,7 +74,8 @@ def write(pages: DataFrame, folder: str, least: int = 1000, date: str = "1970-01
     rows = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html"))
     alike = rows.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("leader"), F.count("*").alias("copies"))
-    rows = rows.join(alike.where("copies > 1").drop("copies"), ["digest", "n"], "left")
+    alike = shared.stored(alike.where("copies > 1"), "copies")
+    rows = shared.join_hot(rows, alike, ["digest", "n"], "copies", "left")
     rows = rows.withColumn("leader", F.when(~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader"))).select("page_id", "url", "html", "digest", "leader")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,29 +123,31 @@ class _Bytes:
         return self.data[place - self.start :][:n]
 
 
-def member(source: _Bytes, start: int, header_only: bool = False) -> tuple[bytes, int] | None:
-    """The data of the gzip member at start and the place after it; None if there is no member with a WARC header."""
+def member(source: _Bytes, start: int) -> tuple[bytes, int] | None:
+    """The data of the gzip member at start and the place after it; None if there is no whole member with a WARC header.
+    What doesn't begin like a WARC header is given up after its first bytes."""
     decoder, out, place = zlib.decompressobj(31), bytearray(), start
-    checked = False
+    ended = searched = 0  # where the header ends, and how far it was looked for
     try:
         while not decoder.eof:
-            data = source.at(place, 4096 if not checked else BUFFER)
+            data = source.at(place, BUFFER if ended else 4096)
             if not data:
                 return None
             out += decoder.decompress(data)
             place += len(data)
-            if not checked and (b"\r\n\r\n" in out or len(out) > MOST_HEADER or decoder.eof):
-                head = bytes(out[: out.find(b"\r\n\r\n")])
-                if not (out.startswith(b"WARC/1.") and b"\r\n\r\n" in out and re.search(rb"(?i)\r\nWARC-Type:", head) and re.search(rb"(?i)\r\nContent-Length:\s*\d+", head)):
-                    return None
-                checked = True
-                if header_only:
-                    return bytes(out), place
-            elif not checked and not b"WARC/1.".startswith(out[:7]) and not out.startswith(b"WARC/1."):
+            if ended:
+                continue
+            if not b"WARC/1.".startswith(out[:7]) and not out.startswith(b"WARC/1."):
                 return None
+            found = out.find(b"\r\n\r\n", max(0, searched - 3))
+            searched = len(out)
+            if found >= 0:
+                ended, head = found + 4, bytes(out[:found])
+                if not (re.search(rb"(?i)\r\nWARC-Type:", head) and re.search(rb"(?i)\r\nContent-Length:\s*\d+", head)):
+                    return None
     except zlib.error:
         return None
-    return bytes(out), place - len(decoder.unused_data)
+    return (bytes(out), place - len(decoder.unused_data)) if ended else None
 
 
 def members(source: _Bytes, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -186,7 +191,8 @@ def read(files: DataFrame, split: int = 64 << 20, with_payload: bool = False) ->
 
     payload_digest is computed from a response's payload, and read from a revisit's header."""
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    count = files.agg(F.sum(F.ceil(F.col("size") / F.lit(split))).alias("n")).first()["n"] or 1
+    ranges = ranges.repartition(int(max(1, min(count, MOST_TASKS))))  # dealt in turn: a split a task
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
@@ -226,5 +232,17 @@ def read(files: DataFrame, split: int = 64 << 20, with_payload: bool = False) ->
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = 1000, split: int = 64 << 20) -> DataFrame:
+    """What read() finds in the archives that write() makes; ValueError if an archive has other than its number of records."""
     folder = folder or shared.scratch(spark, "warc")
-    return read(write(pages, folder, least), split)
+    manifest = write(pages, folder, least)
+    found = shared.stored(read(manifest, split), "records")
+    wrong = checked(manifest, found).limit(3).collect()
+    if wrong:
+        raise ValueError(f"records lost or made up: {', '.join(f'{r.path} has {r.found} of {r.n}' for r in wrong)}")
+    return found
+
+
+def checked(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """path, n, found of the archives whose number of records isn't that of the manifest."""
+    counted = found.groupBy("path").agg(F.count("*").alias("found"))
+    return manifest.select("path", "n").join(counted, "path", "left").select("path", "n", F.coalesce("found", F.lit(0)).alias("found")).where("n <> found")
