@@ -59,7 +59,7 @@ def op8_split_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(shared.documents(spark, sf_dir)).drop("lang", "source", *quality.SLACK)
+    return quality.judge(shared.documents(spark, sf_dir)).drop("lang", "source", *quality.RATES)
 
 
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,28 +83,31 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _SPACE = "[\\x20\\x09-\\x0D]"
-_RATES = list(quality.SLACK)
+_RATES = quality.RATES
 
 
 def _quality_sql() -> str:
     bins = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {r} AS v FROM rated WHERE NOT base_failed AND {r} IS NOT NULL" for r in _RATES)
     e = "greatest(length(bin(v)) - 6, 0)"
-    top = "greatest(bin // 32 - 1, 0)"
+    up = "greatest(bin // 32 - 1, 0)"
+    tail = quality.TAIL
 
-    def quartiles(name: str, keys: str) -> str:
+    def quantiles(name: str, keys: str) -> str:
         return f"""
         {name} AS (
-            SELECT {keys} rate, max(total) AS rows, min(CASE WHEN upto * 4 >= total THEN top END) AS q1,
-                   min(CASE WHEN upto * 4 >= 3 * total THEN top END) AS q3
+            SELECT {keys} rate, max(total) AS rows, min(CASE WHEN upto * 1000 >= 250 * total THEN top END) AS q1,
+                   min(CASE WHEN upto * 1000 >= 750 * total THEN top END) AS q3,
+                   min(CASE WHEN upto * 1000 >= {1000 - tail} * total THEN top END) AS high, min(CASE WHEN upto * 1000 > {tail} * total THEN bottom END) AS low
             FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} rate ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys} rate) AS total,
-                         ((bin - 32 * {top} + 1) << {top}) - 1 AS top
+                         ((bin - 32 * {up} + 1) << {up}) - 1 AS top, (bin - 32 * {up}) << {up} AS bottom
                   FROM (SELECT {keys} rate, bin, sum(n) AS n FROM binned GROUP BY ALL))
             GROUP BY ALL),"""
 
-    slack = "CASE o.rate " + " ".join(f"WHEN '{r}' THEN {s}" for r, s in quality.SLACK.items()) + " END"
-    pick = lambda q: f"CASE WHEN o.rows >= 100 THEN o.{q} WHEN l.rows >= 100 THEN l.{q} ELSE a.{q} END"
+    pick = lambda q: f"CASE WHEN o.rows >= {quality.LEAST_ROWS} THEN o.{q} WHEN l.rows >= {quality.LEAST_ROWS} THEN l.{q} ELSE a.{q} END AS {q}"
     good = " AND ".join([f"{r} <= most_{r}" for r in _RATES] + ["word_length >= least_word_length"])
-    limits = ", ".join([f"max(CASE WHEN rate = '{r}' THEN q3 + width END) AS most_{r}" for r in _RATES] + ["max(CASE WHEN rate = 'word_length' THEN q1 - width END) AS least_word_length"])
+    width = f"{quality.FENCE} * (q3 - q1)"
+    most, least = f"CASE WHEN q3 > q1 THEN least(high, q3 + {width}) ELSE high END", f"CASE WHEN q3 > q1 THEN greatest(low, q1 - {width}) ELSE low END"
+    limits = ", ".join([f"max(CASE WHEN rate = '{r}' THEN {most} END) AS most_{r}" for r in _RATES] + [f"max(CASE WHEN rate = 'word_length' THEN {least} END) AS least_word_length"])
     return rf"""
         WITH docs AS (
             SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
@@ -127,11 +130,11 @@ def _quality_sql() -> str:
                    CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words END AS word_length
             FROM counted),
         binned AS (SELECT lang, source, rate, 32 * {e} + (v >> {e}) AS bin, count(*) AS n FROM ({bins}) GROUP BY ALL),
-        {quartiles("own", "lang, source,")}{quartiles("by_lang", "lang,")}{quartiles("every", "")}
-        widths AS (
-            SELECT o.lang, o.source, o.rate, {pick("q1")} AS q1, {pick("q3")} AS q3, greatest(3 * ({pick("q3")} - {pick("q1")}), {slack}) AS width
+        {quantiles("own", "lang, source,")}{quantiles("by_lang", "lang,")}{quantiles("every", "")}
+        picked AS (
+            SELECT o.lang, o.source, o.rate, {", ".join(map(pick, ("q1", "q3", "high", "low")))}
             FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN every a ON o.rate = a.rate),
-        limits AS (SELECT lang, source, {limits} FROM widths GROUP BY ALL)
+        limits AS (SELECT lang, source, {limits} FROM picked GROUP BY ALL)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({good}, true) AS kept
         FROM rated t LEFT JOIN limits m ON t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source"""
 
