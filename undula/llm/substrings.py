@@ -63,7 +63,7 @@ class _Windows:
         if n < window:
             return
         chosen = self.owner[: n - window + 1] == self.owner[window - 1 :]  # windows of the level in hand that count
-        gram = words.grams(hashed, window)
+        gram = words.grams(hashed, window) if not level else None
         for upper, lower in zip(lengths, lengths[1:], strict=False):
             width = upper - lower + 1  # lower windows in an upper one
             under = words.grams(hashed, lower)

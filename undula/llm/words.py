@@ -23,7 +23,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**k and base**-k modulo 2**64 for k below n or more; base is odd."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(17, int(n - 1).bit_length())
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             table = np.ones(size, np.uint64)
@@ -52,7 +52,7 @@ def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, stops, np.searchsorted(starts, ends)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 1 << 20, base: int = _BASE) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, most: int = 1 << 17, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of each word's bytes, made for some `most` bytes of words at a time; base (odd) decides which."""
     out = np.empty(len(starts), np.uint64)
     codes = _CODES if base == _BASE else mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
