@@ -49,7 +49,7 @@ def op6_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = surrogates.anonymise(shared.text_only(shared.documents(spark, sf_dir), "doc_id", "text"))
+    found = surrogates.anonymise(shared.text_only(shared.documents(spark, sf_dir), "doc_id", "text"), surrogates.session_key(spark))
     return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "text", "entities")
 
 

@@ -15,8 +15,15 @@ layouts, or the same address in two cases, stays the same entity, each in its ow
     name       given names of the lists by a permutation of the list of that gender and script; other names letter by
                letter, vowels by vowels and consonants by consonants of the script
 
-check() counts surrogates that two entities share or that equal some other entity's original. Those found get another
-attempt, all others stay as they are, until none is left; where that can't be it is an error.
+Every surrogate has its original's shape (shape()), and a permutation of a shape's values keeps entities distinct. Two
+things can still go wrong, and are looked for: a surrogate may equal some other entity's original, and entities that had
+different attempts may get one surrogate. Those found get another attempt, all others stay as they are, until none is
+left. A shape that is so full that this has no end is closed: all of its entities keep their first surrogates, which are
+distinct, though some equal another's original; settle() tells how many. A last check makes sure that no two entities
+share a surrogate.
+
+The entities (without repeats) are found once and kept in a scratch table, in the clear as in the documents, while they
+are settled; then it is removed. Attempts other than the first go to the workers if they are few, else they are joined.
 """
 
 from __future__ import annotations
@@ -24,10 +31,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,6 +232,17 @@ def canonical(value: str, kind: str) -> str:
     return value.lower() if kind == "email" else value
 
 
+def shape(value: str, kind: str) -> str:
+    """What a surrogate has in common with its original: a surrogate has the same shape, and equals no surrogate of
+    another shape of its kind but by chance."""
+    value = canonical(value, kind)
+    if kind == "ip":
+        return "%d" % _network(int.from_bytes(bytes(map(int, value.split("."))), "big"))[0]
+    if kind == "card":
+        return f"{value[:1]}{len(value)}{(int(value[-1]) - luhn(value[:-1])) % 10}"
+    return re.sub(r"[^\W\d_]", lambda m: _BY_SOUND.get(m.group().lower(), "?")[0], re.sub(r"\d", "0", value))
+
+
 def surrogate(cipher: Cipher, value: str, kind: str, attempt: int = 0) -> str:
     tweak = f"{kind.split(':')[0]}|{attempt}".encode()
     if kind == "email":
@@ -237,7 +256,7 @@ def surrogate(cipher: Cipher, value: str, kind: str, attempt: int = 0) -> str:
         code = re.match(r"\+\d{1,3}(?=[ .\-(])|\+1(?=\d{10}$)", value)
         skip = sum(c.isdigit() for c in code.group()) if code else 0
         digits = "".join(c for c in value if c.isdigit())
-        free = {k: "23456789" for k in (0, 3) if len(digits) - skip == 10 and digits[skip + k] in "23456789"}
+        free = {k: "23456789" if digits[skip + k] in "23456789" else "01" for k in (0, 3) if len(digits) - skip == 10}
         return _laid_out(digits[:skip] + shaped(cipher, digits[skip:], _DIGITS, tweak, free), value)
     if kind == "card":
         digits = "".join(c for c in value if c.isdigit())
@@ -306,77 +325,152 @@ def replace(text: str, cipher: Cipher, attempts: dict[bytes, int]) -> tuple[str,
 
 ENTITIES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-#: Entities that may need another attempt at once; they go to every worker.
-MOST_AGAIN = 1_000_000
+#: Attempts that go to every worker at most (some 20 MB); more of them are joined to the texts that need them.
+FEW = 100_000
+#: Rounds that leave no fewer collisions than there were before, after which shapes are closed.
+IDLE = 8
 
 
-def pairs(docs: DataFrame, key: bytes, attempts: dict[bytes, int]) -> DataFrame:
-    """kind, token of the original, surrogate's token, attempt, of all entities of docs(text), without repeats in a batch."""
+def entities(docs: DataFrame, key: bytes) -> DataFrame:
+    """token, kind, value (one of an entity's spellings), shape, of all entities of docs(text), each once."""
     shared.bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(attempts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cipher = Cipher(key)
         for batch in batches:
-            rows: dict[bytes, tuple[str, bytes, int]] = {}
+            rows: dict[bytes, tuple[str, str, str]] = {}
             for text in batch.column("text").to_pylist():
                 for start, end, kind in detect(text) if text else ():
                     name = token(key, text[start:end], kind)
                     if name not in rows:
-                        n = sent.value.get(name, 0)
-                        rows[name] = (kind.split(":")[0], token(key, surrogate(cipher, text[start:end], kind, n), kind), n)
-            columns = [[v[k] for v in rows.values()] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(list(rows), pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32())], names=["kind", "token", "made", "attempt"])
+                        rows[name] = (kind, text[start:end], shape(text[start:end], kind.split(":")[0]))
+            columns = [pa.array([v[k] for v in rows.values()], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), *columns], names=["token", "kind", "value", "shape"])
 
-    return shared.text_only(docs, "text").mapInArrow(run, "kind string, token binary, made binary, attempt int").distinct()
+    found = shared.text_only(docs, "text").mapInArrow(run, "token binary, kind string, value string, shape string")
+    least = F.min(F.struct("kind", "value", "shape")).alias("x")
+    return found.groupBy("token").agg(least).select("token", "x.*")
+
+
+def made(settled: DataFrame, key: bytes) -> DataFrame:
+    """settled(token, kind, value, shape, attempt) and made, the token of each entity's surrogate."""
+    shared.bounded_batches(settled.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cipher = Cipher(key)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")), strict=True)
+            new = [token(key, surrogate(cipher, value, kind, attempt), kind) for kind, value, attempt in rows]
+            yield shared.with_columns(batch, {"made": pa.array(new, pa.binary())})
+
+    return settled.mapInArrow(run, T.StructType([*settled.schema.fields, T.StructField("made", T.BinaryType())]))
 
 
 def check(found: DataFrame) -> DataFrame:
-    """Of pairs() those whose surrogate another entity has too (all but one of them), or is another entity's original."""
-    least = found.groupBy("kind", "made").agg(F.min("token").alias("first"), F.count("*").alias("n")).where("n > 1")
-    twice = found.join(least, ["kind", "made"]).where("token <> first").select("kind", "token", "attempt")
-    originals = found.select("kind", F.col("token").alias("made"))
-    return twice.union(found.join(originals, ["kind", "made"]).select("kind", "token", "attempt")).distinct()
-
-
-def settle(docs: DataFrame, key: bytes, rounds: int = 8) -> dict[bytes, int]:
-    """The attempt of each entity whose first surrogate collides; empty as a rule. Goes on until none collides; where
-    `rounds` rounds on end leave no fewer than were left before, a shape has too few free values: ValueError."""
-    attempts: dict[bytes, int] = {}
-    fewest, idle = MOST_AGAIN + 1, 0
+    """Of found(token, made) the tokens whose surrogate another entity has too (all but one of them: twice), or is
+    another entity's original. Tokens tell kinds apart."""
+    least = found.groupBy("made").agg(F.min("token").alias("first"), F.count("*").alias("n")).where("n > 1")
+    twice = found.join(least, "made").where("token <> first").select("token", F.lit(True).alias("twice"))
+    originals = found.join(found.select(F.col("token").alias("made")), "made", "left_semi").select("token", F.lit(False).alias("twice"))
+    return twice.union(originals).groupBy("token").agg(F.max("twice").alias("twice"))
+
+
+def settle(docs: DataFrame, key: bytes, idle: int = IDLE) -> tuple[DataFrame, int]:
+    """The entities whose first surrogate won't do (token, attempt from 1 on), stored, and how many entities of closed
+    shapes have a surrogate that is another's original. Empty and 0 as a rule."""
+    spark = docs.sparkSession
+    state, path = shared.stored_at(entities(docs, key).withColumns({"attempt": F.lit(0), "closed": F.lit(False)}), "entities")
+    used = [path]
+    fewest, since, closings = None, 0, 0
     while True:
-        found, path = shared.stored_at(pairs(docs, key, attempts), "entities")
-        again = check(found).limit(MOST_AGAIN + 1).collect()
-        shared.remove(docs.sparkSession, path)
-        if not again:
-            return attempts
-        if len(again) > MOST_AGAIN:
-            raise ValueError(f"over {MOST_AGAIN} surrogates collide: this corpus has more entities of a shape than the shape has values for")
-        idle = 0 if len(again) < fewest else idle + 1
-        fewest = min(fewest, len(again))
-        if idle >= rounds:
-            raise ValueError(f"{len(again)} surrogates ({', '.join(sorted({r['kind'] for r in again}))}) still collide: too few values of a shape are free")
-        attempts = attempts | {bytes(r["token"]): r["attempt"] + 1 for r in again}
-
-
-def anonymise(docs: DataFrame, key: bytes = b"undula", checked: bool = True) -> DataFrame:
+        found, path = shared.stored_at(made(state, key), "surrogates")
+        again, again_path = shared.stored_at(check(found), "collisions")
+        used += [path, again_path]
+        pending = found.join(again, "token").where("twice OR NOT closed")
+        n = pending.count()
+        if not n:
+            break
+        since = 0 if fewest is None or n < fewest else since + 1
+        fewest = n if fewest is None else min(fewest, n)
+        if closings == 3 and since == idle:
+            raise ValueError(f"{n} entities share a surrogate with another: their shapes leave no other values")
+        marked = found.drop("made").join(again, "token", "left").withColumn("k", F.regexp_extract("kind", "^[^:]*", 0))
+        attempt = F.when(F.col("twice") | (F.col("twice").isNotNull() & ~F.col("closed")), F.col("attempt") + 1).otherwise(F.col("attempt"))
+        closed = F.col("closed")
+        if since == idle:  # the shapes of what is left have too few free values
+            full = pending.select(F.regexp_extract("kind", "^[^:]*", 0).alias("k"), "shape").distinct().withColumn("full", F.lit(True))
+            marked = marked.join(full, ["k", "shape"], "left")
+            newly = F.coalesce("full", F.lit(False)) & ~closed
+            attempt, closed = F.when(newly, F.lit(0)).otherwise(attempt), closed | newly
+            fewest, since, closings = None, 0, closings + 1
+        state, path = shared.stored_at(marked.select("token", "kind", "value", "shape", attempt.cast("int").alias("attempt"), closed.alias("closed")), "entities")
+        used.append(path)
+    left = again.where("NOT twice").count()
+    attempts = shared.stored(state.where("attempt > 0").select("token", "attempt"), "attempts")
+    for path in used:
+        shared.remove(spark, path)
+    return attempts, left
+
+
+_keys: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's setting spark.undula.surrogates.key; where there is none, one drawn anew for each
+    application, so that its surrogates can't be undone by anyone, and no other application makes the same."""
+    given = spark.conf.get("spark.undula.surrogates.key", None)
+    return given.encode() if given else _keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def anonymise(docs: DataFrame, key: bytes, checked: bool = True, few: int = FEW) -> DataFrame:
     """docs (any columns) with surrogates in text, and a column entities (kind, start, end in the new text).
 
-    Null and empty text stays as it is and has none. Repeated rows change alike; an empty table stays empty. docs must
-    not have a column entities. The key decides all surrogates; who lacks it can't go back.
+    Null and empty text stays as it is and has none. Repeated rows change alike; an empty table stays empty. A column
+    named entities is an error: ValueError. The key decides all surrogates; who lacks it can't go back.
     """
-    attempts = settle(docs, key) if checked else {}
-    sent = docs.sparkSession.sparkContext.broadcast(attempts)
+    fields = shared.kept_fields(docs, (), [T.StructField("entities", ENTITIES)])
+    if not key:
+        raise ValueError("surrogates need a key")
     shared.bounded_batches(docs.sparkSession)
+    attempts = settle(docs, key)[0] if checked else None
+    n = attempts.count() if checked else 0
+    own = shared.fresh(docs.columns, "attempts")
+    if n > few:
+        docs = _with_attempts(docs, attempts, key, own)
+        sent = docs.sparkSession.sparkContext.broadcast({})
+    else:
+        sent = docs.sparkSession.sparkContext.broadcast({bytes(r["token"]): r["attempt"] for r in attempts.collect()} if n else {})  # `few` at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cipher = Cipher(key)
         for batch in batches:
-            if batch.num_rows:
-                done = [replace(t, cipher, sent.value) if t else (t, []) for t in batch.column("text").to_pylist()]
-                at = batch.schema.get_field_index("text")
-                kind = batch.schema.field("text").type
-                changed = batch.set_column(at, "text", pa.array([t for t, _ in done], kind))
-                yield shared.with_columns(changed, {"entities": pa.array([e for _, e in done], _ARROW)})
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("entities", ENTITIES)]))
+            if not batch.num_rows:
+                continue
+            joined = own in batch.schema.names
+            rows = batch.column(own).to_pylist() if joined else [None] * batch.num_rows
+            batch = batch.drop_columns([own]) if joined else batch
+            done = [replace(t, cipher, {x["token"]: x["attempt"] for x in mine} if mine else sent.value) if t else (t, []) for t, mine in zip(batch.column("text").to_pylist(), rows, strict=True)]
+            at = batch.schema.get_field_index("text")
+            changed = batch.set_column(at, "text", pa.array([t for t, _ in done], batch.schema.field("text").type))
+            yield shared.with_columns(changed, {"entities": pa.array([e for _, e in done], _ARROW)})
+
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("entities", ENTITIES)]))
+
+
+def _with_attempts(docs: DataFrame, attempts: DataFrame, key: bytes, own: str) -> DataFrame:
+    """docs with a column `own` of the attempts (token, attempt) of the entities in their text, joined by the text's hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [{token(key, t[a:b], kind) for a, b, kind in detect(t)} if t else set() for t in batch.column("text").to_pylist()]
+            row = pa.array([k for k, x in enumerate(names) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("r").take(row), batch.column("s").take(row), pa.array([t for x in names for t in x], pa.binary())], names=["r", "s", "token"])
+
+    hashes = {"r": F.xxhash64("text"), "s": F.hash("text")}
+    held = docs.select("text").withColumns(hashes).mapInArrow(run, "r long, s int, token binary")
+    held = shared.stored(held.groupBy("r", "s", "token").agg(F.count("*").alias("texts")), "held")
+    often = held.groupBy("token").agg(F.count("*").alias("n"))
+    found = shared.join_hot(held, shared.stored(attempts.join(often, "token"), "attempts"), ["token"], "n")
+    r, s, n = (shared.fresh([*docs.columns, own], x) for x in ("r", "s", "n"))
+    by_text = found.groupBy(F.col("r").alias(r), F.col("s").alias(s)).agg(F.collect_list(F.struct("token", "attempt")).alias(own), F.max("texts").alias(n))
+    keyed = docs.withColumns({r: hashes["r"], s: hashes["s"]})
+    return shared.join_hot(keyed, shared.stored(by_text, "attempts"), [r, s], n, "left").select(*(F.col(f"`{c}`") for c in docs.columns), own)
