@@ -406,6 +406,19 @@ def test_links_connect_what_brute_force_does(spark, tile):
     assert groups([roots.get(x, x) for x in signed]) == groups(want)
 
 
+def test_pivots_discard_pairs():
+    rng = np.random.default_rng(8)
+    near = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 63, 1500, dtype=np.uint64), near, near ^ np.uint64(5), near ^ np.uint64(1 << 40)]))
+    group = np.zeros(len(fps), np.int64)
+    found, without = {}, {}
+    u, v = simhash.forest(group, fps, None, tally=found)
+    x, y = simhash.forest(group, fps, None, table=np.zeros(1, np.uint64), tally=without)  # one pivot alone
+    assert {frozenset(p) for p in zip(u.tolist(), v.tolist(), strict=True)} == {frozenset(p) for p in zip(x.tolist(), y.tolist(), strict=True)} and len(u) == 80
+    pairs = len(fps) * (len(fps) - 1) // 2
+    assert found["formed"] < 0.6 * pairs and found["verified"] < 0.001 * pairs < without["verified"]  # the other pivots leave one in a thousand
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (5, 5), (200, None), (101, 100)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}

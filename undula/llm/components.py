@@ -16,7 +16,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """links(u long, v long) -> (node, root): for every node with a link the least node that it reaches.
 
     Each round hangs every neighbourhood on its least member, so paths shorten by half or better; a round's edges are
-    written to the scratch folder. Only two numbers a round reach the driver. Loops, repeated and reversed links and
+    written to the scratch folder. A large group's root has very many edges: its part of a join is split by adaptive
+    execution, which may, as what follows each join is shuffled anew anyway. Only two numbers a round reach the driver. Loops, repeated and reversed links and
     links with a null don't matter; no links give no rows.
     """
     edges = shared.stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")

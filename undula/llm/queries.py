@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +76,6 @@ QUERIES = {
     "op8_split_reader": op8_split_reader,
     "op9_quantile_sketches": op9_quantile_sketches,
     "op10_linear_grouping": op10_linear_grouping,
-    "pipeline": corpus_pipeline.run,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -92,10 +92,11 @@ def _find(label: np.ndarray) -> np.ndarray:
         label = up
 
 
-def forest(group: np.ndarray, fps: np.ndarray, side: np.ndarray | None, bits: int = BITS, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(group: np.ndarray, fps: np.ndarray, side: np.ndarray | None, bits: int = BITS, table: np.ndarray | None = None, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges (places of rows) that connect what links of at most `bits` connect, within each group.
 
-    side: where given, only rows of different sides (or of side -1) are compared.
+    side: where given, only rows of different sides (or of side -1) are compared. tally: gets how many pairs the first
+    pivot's order has let through (formed), how many the other pivots have (verified), and how many link (linked).
     """
     table = pivots() if table is None else table
     distance = np.bitwise_count(fps[:, None] ^ table[None, :]).astype(np.int8)
@@ -117,11 +118,16 @@ def forest(group: np.ndarray, fps: np.ndarray, side: np.ndarray | None, bits: in
         a = alive[label[alive] != label[alive + lag]]
         if side is not None:
             a = a[(side[a] != side[a + lag]) | (side[a] < 0)]
+        formed = len(a)
         for k in range(1, distance.shape[1]):
             if not len(a):
                 break
             a = a[np.abs(distance[a, k] - distance[a + lag, k]) <= bits]
+        verified = len(a)
         a = a[np.bitwise_count(fps[a] ^ fps[a + lag]) <= bits]
+        if tally is not None:
+            for name, pairs in (("formed", formed), ("verified", verified), ("linked", len(a))):
+                tally[name] = tally.get(name, 0) + pairs
         while len(a):
             x, y = label[a], label[a + lag]
             apart = x != y
