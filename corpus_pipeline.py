@@ -1,7 +1,10 @@
 """A corpus pipeline: raw documents to packed training sequences, a stage at a time.
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next
-one's docs. All but the last return the columns that they are given.
+one's docs. All but the last return the columns that they are given, whatever others there are and however they are
+called. Null and empty texts have no language, so the first stage drops them; later stages take them all the same.
+Repeated rows are near copies, of which one stays. Rows without doc_id stay and are never the first of their group. Ties
+go to the least doc_id. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -11,9 +14,6 @@ from pyspark.sql import functions as F
 
 from undula.llm import decontaminate, language, packing, shared, simhash, surrogates
 
-#: Decides the surrogates; a real run gives its own.
-KEY = b"undula"
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those rejected go. A null lang becomes the language found."""
@@ -41,7 +41,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents with surrogates for personal data; n_chars follows where a text changed."""
 
     def apply(d: DataFrame) -> DataFrame:
-        found = surrogates.anonymise(d, KEY)
+        found = surrogates.anonymise(d, surrogates.session_key(spark))
         if "n_chars" in d.columns:
             changed = F.coalesce(F.size("entities") > 0, F.lit(False))
             found = found.withColumn("n_chars", F.when(changed, F.length("text").cast(d.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
