@@ -1,9 +1,14 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's word windows.
+"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's words.
 
 Texts are normalised byte by byte: A-Z in lower case, every other ASCII byte but 0-9 and a-z a separator, bytes of
-other characters kept. Each word that the benchmark has is one symbol of the automaton, all others are another, so a
-window of `window` words is a path of so many nodes, and a match is one of whole words. A text is scanned once; where
-there are matches, the words' places are mapped back to offsets in the original text.
+other characters kept. Each word that the benchmark has becomes a few symbols of a small alphabet, another one for each
+place, so that matches are of whole words and no node has many branches.
+
+The automaton's patterns are an item's blocks of half a window (7 words of 13), one after another. Every window holds a
+whole block, so where a block is found, the words around it in the text and in the item are compared, and the windows
+that occur are known exactly, at three nodes of the automaton for each word of the benchmark. Items shorter than a
+window are patterns of their own. A text is scanned once; where there are matches, the words' places are mapped back to
+offsets in the original text.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,9 @@ _KEEP = re.compile(rb"[0-9a-z\x80-\xff]+")
 NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 #: Words of the benchmark that are broadcast at once (they and their automaton take some 250 MB of a worker's memory at
 #: most). A benchmark beyond that size is matched a part at a time, with the same results.
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
+#: Symbols for each place of a word's symbols.
+ALPHABET = 64
 RESULT = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -60,37 +67,70 @@ def item_parts(benchmark: DataFrame, window: int, most: int = MOST_WORDS) -> Ite
         yield held
 
 
+def symbols(vocabulary: int) -> Iterator[str]:
+    """Different symbols for as many words."""
+    places = 1
+    while ALPHABET**places < vocabulary:
+        places += 1
+    digits = [[chr(1 + k * ALPHABET + d) for d in range(ALPHABET)] for k in range(places)]
+    return map("".join, product(*digits))
+
+
 class Matcher:
-    """The automaton of some items' windows, and the items of each."""
+    """The automaton of some items, and what it takes to tell windows from blocks."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         import ahocorasick
 
-        self.symbols: dict[bytes, str] = {}
-        found: dict[str, set[str]] = {}
-        for item_id, own in items:
-            line = "".join([self.symbols.setdefault(w, chr(len(self.symbols) + 1)) for w in own])
-            for k in range(max(1, len(own) - window + 1)):
-                found.setdefault(line[k : k + window], set()).add(item_id)
-        found.pop("", None)
-        self.items = list(found.values())
+        self.window, self.block = window, (window + 1) // 2
+        self.items = [(item_id, own) for item_id, own in items if own]
+        vocabulary = dict.fromkeys(w for _, own in self.items for w in own)
+        self.symbols = dict(zip(vocabulary, symbols(len(vocabulary)), strict=False))
+        self.places = len(next(iter(self.symbols.values()), ""))
+        found: dict[str, list[tuple[int, int]]] = {}
         self.automaton = ahocorasick.Automaton()
-        for k, pattern in enumerate(found):
-            self.automaton.add_word(pattern, (k, len(pattern)))
-        if self.items:
+        for k, (_, own) in enumerate(self.items):
+            size = self.block if len(own) >= window else len(own)
+            for at in range(0, len(own) - size + 1, size):
+                pattern = "".join([self.symbols[w] for w in own[at : at + size]])
+                if pattern not in found:
+                    self.automaton.add_word(pattern, (size, found.setdefault(pattern, [])))
+                found[pattern].append((k, at))
+        if found:
             self.automaton.make_automaton()
 
     def matches(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Runs of words (first, end) that windows cover, and the items whose windows occur."""
         if not own or not self.items:
             return [], set()
-        found = [(last + 1 - size, last + 1, k) for last, (k, size) in self.automaton.iter("".join(map(self.symbols.get, own, repeat("\0"))))]
+        line = "".join(map(self.symbols.get, own, repeat("\0")))
+        found = list(self.automaton.iter(line))
         if not found:
             return [], set()
+        # a word of the benchmark is `places` characters of the line, another one
+        ends = np.cumsum([self.places if w in self.symbols else 1 for w in own]) - 1
         edge = np.zeros(len(own) + 1, np.int64)
-        np.add.at(edge, [m[0] for m in found], 1)
-        np.add.at(edge, [m[1] for m in found], -1)
-        return runs(np.cumsum(edge)[:-1] > 0), set().union(*(self.items[k] for k in {m[2] for m in found}))
+        names: set[str] = set()
+        for last, (size, at) in found:
+            end = int(np.searchsorted(ends, last)) + 1
+            for k, place in at:
+                item_id, item = self.items[k]
+                left, right = self._around(own, end - size, end, item, place, place + size)
+                if right - left >= min(self.window, len(item)):
+                    edge[left] += 1
+                    edge[right] -= 1
+                    names.add(item_id)
+        return runs(np.cumsum(edge)[:-1] > 0), names
+
+    def _around(self, own: list[bytes], start: int, end: int, item: list[bytes], first: int, last: int) -> tuple[int, int]:
+        """How far own[start:end], which is item[first:last], goes on alike within a window that holds it."""
+        most = self.window - (end - start)
+        left, right = start, end
+        while left and start - left < most and first - (start - left) and own[left - 1] == item[first - (start - left) - 1]:
+            left -= 1
+        while right < len(own) and right - end < most and last + (right - end) < len(item) and own[right] == item[last + (right - end)]:
+            right += 1
+        return left, right
 
 
 def runs(hit: np.ndarray) -> list[tuple[int, int]]:
