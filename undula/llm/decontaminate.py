@@ -211,7 +211,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, num: int = 1,
                 rows.append(verdict(text, own, runs(hit), set(names or ()), num, den))
             yield _with_result(batch.drop_columns([covered, items, *without]), rows)
 
-    return both.mapInArrow(run, T.StructType([*fields, *RESULT]))
+    return both.mapInArrow(shared.released(run), T.StructType([*fields, *RESULT]))
 
 
 def _sent(docs: DataFrame, items: list[tuple[str, list[bytes]]]):
@@ -234,7 +234,7 @@ def _judged(docs: DataFrame, sent, window: int, num: int, den: int, without: tup
                 rows.append(verdict(text, own, *matcher.matches(own), num, den))
             yield _with_result(batch.drop_columns(list(without)), rows)
 
-    return docs.mapInArrow(run, T.StructType([*fields, *RESULT]))
+    return docs.mapInArrow(shared.released(run), T.StructType([*fields, *RESULT]))
 
 
 def _hits(keyed: DataFrame, sent, window: int) -> DataFrame:
@@ -250,4 +250,4 @@ def _hits(keyed: DataFrame, sent, window: int) -> DataFrame:
             covered = pa.array([[{"start": a, "end": b} for a, b in m[1]] for m in made], _KINDS[-1])
             yield pa.RecordBatch.from_arrays([batch.column("r").take(places), batch.column("s").take(places), covered, pa.array([sorted(m[2]) for m in made], pa.list_(pa.string()))], names=["r", "s", "covered", "items"])
 
-    return keyed.mapInArrow(run, "r long, s int, covered array<struct<start:long,end:long>>, items array<string>")
+    return keyed.mapInArrow(shared.released(run), "r long, s int, covered array<struct<start:long,end:long>>, items array<string>")

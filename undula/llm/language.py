@@ -239,7 +239,7 @@ def count(rows: DataFrame) -> DataFrame:
                 size = len(found[at : at + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array(found[at : at + size].view(np.int64)), pa.array(n[at : at + size])], names=["lang", "key", "n"])
 
-    return rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(shared.released(run), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -390,7 +390,7 @@ def train(docs: DataFrame, false_rejections: float = 0.001, slack: float = 0.25)
                     truth = [x for x, y in zip(batch.column("lang").to_pylist(), some, strict=True) if y]
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in observed(sent.value, entropy[some], counts[some], truth)], names=["lang", "class", "step", "n"])
 
-        cells = rows.where(fold() == 1).select("text", "lang").mapInArrow(run, "lang long, class long, step long, n long")
+        cells = rows.where(fold() == 1).select("text", "lang").mapInArrow(shared.released(run), "lang long, class long, step long, n long")
         found = cells.groupBy("lang", "class", "step").agg(F.sum("n").alias("n")).toArrow()
         sent.destroy()
         calibrate(model, *(found[c].to_numpy() for c in ("lang", "class", "step", "n")), false_rejections, slack)
@@ -415,4 +415,4 @@ def identify(docs: DataFrame, model: Model, without: tuple[str, ...] = ()) -> Da
             names, score, entropy, rejected = sent.value.classify(batch.column("text").to_pylist())
             yield shared.with_columns(batch.drop_columns(list(without)), {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "cross_entropy": pa.array(entropy), "rejected": pa.array(rejected)})
 
-    return docs.mapInArrow(run, T.StructType([*fields, *ADDED]))
+    return docs.mapInArrow(shared.released(run), T.StructType([*fields, *ADDED]))

@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: s
             yield pa.RecordBatch.from_arrays(arrays[:n], names=names[:n])
 
     rows = shared.text_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(shared.released(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 # ---- the plan ----
@@ -291,7 +291,7 @@ def pack(spark: SparkSession, cut: DataFrame, capacity: int = 2048, groups: int
     from pyspark.sql import types as T
 
     fields = [f for f in ranked.schema.fields if f.name != rank]
-    return ranked.mapInArrow(run, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return ranked.mapInArrow(shared.released(run), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def packed(spark: SparkSession, docs: DataFrame, capacity: int = 2048, end_id: int = 0, **options) -> DataFrame:

@@ -102,20 +102,20 @@ def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -
             at = end
 
 
-def with_columns(batch: pa.RecordBatch, more: dict[str, pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
+def released(run):
+    """run (of batches), after which the memory that Arrow keeps for later goes back: workers outlive their tasks."""
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
 
-def per_batch(df: DataFrame, function, schema) -> DataFrame:
-    """function(RecordBatch) -> RecordBatch over every batch of df."""
-    bounded_batches(df.sparkSession)
+    return whole
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
 
-    return df.mapInArrow(run, schema)
+def with_columns(batch: pa.RecordBatch, more: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
 
 def kept_fields(docs: DataFrame, without: Iterable[str], added: Iterable) -> list:

@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, column: str, shingle: int = 3) -> DataFrame:
             yield shared.with_columns(batch.drop_columns(["text"]), {column: pa.array(made)})
 
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(column, T.LongType())]))
+    return docs.mapInArrow(shared.released(run), T.StructType([*kept, T.StructField(column, T.LongType())]))
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -178,7 +178,7 @@ def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
         if held and held[0].shape[1]:
             yield made(held[0])
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(shared.released(run), "u long, v long").distinct()
 
 
 def named(marked: DataFrame, bits: int = BITS) -> DataFrame:

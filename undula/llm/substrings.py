@@ -103,7 +103,7 @@ def repeated(docs: DataFrame, lengths: list[int], level: int, passed=None) -> Da
             found, n = np.unique(made.hash if passed is None else made.hash[_in(passed.value, made.below)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    counted = shared.text_only(docs, "text").mapInArrow(run, "h long, n long")
+    counted = shared.text_only(docs, "text").mapInArrow(shared.released(run), "h long, n long")
     return counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
@@ -126,7 +126,7 @@ def bitmap(hashes: DataFrame, n: int) -> np.ndarray:
 
     placed = hashes.select(place.alias("place")).repartition(slices, (F.col("place") / F.lit(each)).cast("long"))
     out = np.zeros(bits // 8, np.uint8)
-    for row in placed.mapInArrow(run, "k long, b binary").toLocalIterator():  # together MOST_BITS at most
+    for row in placed.mapInArrow(shared.released(run), "k long, b binary").toLocalIterator():  # together MOST_BITS at most
         out[row.k * (each // 8) :][: each // 8] |= np.frombuffer(row.b, np.uint8)
     return out
 
@@ -163,7 +163,7 @@ def candidate_runs(docs: DataFrame, lengths: list[int], passed) -> DataFrame:
                 names=[*_TEXT, "first", "seg", "seg2", "windows"],
             )
 
-    return docs.mapInArrow(run, "r long, s int, first long, seg long, seg2 int, windows binary")
+    return docs.mapInArrow(shared.released(run), "r long, s int, first long, seg long, seg2 int, windows binary")
 
 
 def _windows_of(runs: DataFrame, placed: bool) -> DataFrame:
@@ -183,7 +183,7 @@ def _windows_of(runs: DataFrame, placed: bool) -> DataFrame:
                 k = np.arange(len(row)) - np.repeat(ends[:-1] // pairs.itemsize, size)
                 yield pa.RecordBatch.from_arrays([*hashes, *(pa.array(np.asarray(batch.column(c))[row]) for c in ("seg", "seg2")), pa.array(k.astype(np.int8))], names=["h", "g", "seg", "seg2", "k"])
 
-    return runs.mapInArrow(run, "h long, g int, seg long, seg2 int, k byte" if placed else "h long, g int")
+    return runs.mapInArrow(shared.released(run), "h long, g int, seg long, seg2 int, k byte" if placed else "h long, g int")
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame | None:
@@ -270,7 +270,7 @@ def strip(docs: DataFrame, window: int = 35) -> DataFrame:
                 yield _stripped(batch, batch.column("found"), window)
 
     if found is None:
-        return keyed.mapInArrow(whole, _RESULT)
+        return keyed.mapInArrow(shared.released(whole), _RESULT)
     # a text without a repeat may be among these too: the join finds nothing for it
-    some = keyed.mapInArrow(touched, "doc_id long, text string, r long, s int")
-    return keyed.mapInArrow(whole, _RESULT).union(shared.join_hot(some, found, _TEXT, "n", "left").select("doc_id", "text", "found").mapInArrow(cut, _RESULT))
+    some = keyed.mapInArrow(shared.released(touched), "doc_id long, text string, r long, s int")
+    return keyed.mapInArrow(shared.released(whole), _RESULT).union(shared.join_hot(some, found, _TEXT, "n", "left").select("doc_id", "text", "found").mapInArrow(shared.released(cut), _RESULT))

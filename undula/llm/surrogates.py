@@ -346,7 +346,7 @@ def entities(docs: DataFrame, key: bytes) -> DataFrame:
             columns = [pa.array([v[k] for v in rows.values()], pa.string()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), *columns], names=["token", "kind", "value", "shape"])
 
-    found = shared.text_only(docs, "text").mapInArrow(run, "token binary, kind string, value string, shape string")
+    found = shared.text_only(docs, "text").mapInArrow(shared.released(run), "token binary, kind string, value string, shape string")
     least = F.min(F.struct("kind", "value", "shape")).alias("x")
     return found.groupBy("token").agg(least).select("token", "x.*")
 
@@ -362,7 +362,7 @@ def made(settled: DataFrame, key: bytes) -> DataFrame:
             new = [token(key, surrogate(cipher, value, kind, attempt), kind) for kind, value, attempt in rows]
             yield shared.with_columns(batch, {"made": pa.array(new, pa.binary())})
 
-    return settled.mapInArrow(run, T.StructType([*settled.schema.fields, T.StructField("made", T.BinaryType())]))
+    return settled.mapInArrow(shared.released(run), T.StructType([*settled.schema.fields, T.StructField("made", T.BinaryType())]))
 
 
 def check(found: DataFrame) -> DataFrame:
@@ -453,7 +453,7 @@ def anonymise(docs: DataFrame, key: bytes, checked: bool = True, few: int = FEW)
             changed = batch.set_column(at, "text", pa.array([t for t, _ in done], batch.schema.field("text").type))
             yield shared.with_columns(changed, {"entities": pa.array([e for _, e in done], _ARROW)})
 
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("entities", ENTITIES)]))
+    return docs.mapInArrow(shared.released(run), T.StructType([*fields, T.StructField("entities", ENTITIES)]))
 
 
 def _with_attempts(docs: DataFrame, attempts: DataFrame, key: bytes, own: str) -> DataFrame:
@@ -466,7 +466,7 @@ def _with_attempts(docs: DataFrame, attempts: DataFrame, key: bytes, own: str) -
             yield pa.RecordBatch.from_arrays([batch.column("r").take(row), batch.column("s").take(row), pa.array([t for x in names for t in x], pa.binary())], names=["r", "s", "token"])
 
     hashes = {"r": F.xxhash64("text"), "s": F.hash("text")}
-    held = docs.select("text").withColumns(hashes).mapInArrow(run, "r long, s int, token binary")
+    held = docs.select("text").withColumns(hashes).mapInArrow(shared.released(run), "r long, s int, token binary")
     held = shared.stored(held.groupBy("r", "s", "token").agg(F.count("*").alias("texts")), "held")
     often = held.groupBy("token").agg(F.count("*").alias("n"))
     found = shared.join_hot(held, shared.stored(attempts.join(often, "token"), "attempts"), ["token"], "n")

@@ -242,7 +242,7 @@ def write(docs: DataFrame, folder: str, end_id: int = 2, percentile: float = 0.9
     rows = shared.text_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = ["doc_id", F.xxhash64("text")]  # hashes, so that the sample that finds the ranges holds no texts
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return shared.stored(ordered.mapInArrow(shard, MANIFEST), "token-manifest")
+    return shared.stored(ordered.mapInArrow(shared.released(shard), MANIFEST), "token-manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([path] * len(found))], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     table = spark.createDataFrame(shards, "path string, before long")
-    return table.repartition(max(1, len(shards))).mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return table.repartition(max(1, len(shards))).mapInArrow(shared.released(scan), "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, folder: str | None = None, **options) -> DataFrame:

@@ -103,7 +103,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000, date: str = "1970-01
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "size": [size], "n": [n]})
 
-    return shared.stored(rows.mapInArrow(archive, "path string, size long, n long"), "warc-manifest")
+    return shared.stored(rows.mapInArrow(shared.released(archive), "path string, size long, n long"), "warc-manifest")
 
 
 class _Bytes:
@@ -228,7 +228,7 @@ def read(files: DataFrame, split: int = 64 << 20, with_payload: bool = False) ->
         if rows:
             yield made()
 
-    return ranges.mapInArrow(scan, COLUMNS + (", payload binary" if with_payload else ""))
+    return ranges.mapInArrow(shared.released(scan), COLUMNS + (", payload binary" if with_payload else ""))
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = 1000, split: int = 64 << 20) -> DataFrame:
