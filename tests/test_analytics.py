@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,11 +154,11 @@ def test_evaluation(spark):
     examples = spark.createDataFrame(rows, schema)
     examples = examples.withColumns(an.regime_labels(600, 1200)).cache()
     control = examples.limit(4).withColumn("fault_number", F.lit(0))
-    with pytest.raises(ValueError, match="overlap"):
+    with pytest.raises(ValueError, match="either side"):
         classify.evaluate_fault(examples, control, (1, 2), (2, 3))
-    with pytest.raises(ValueError, match="required"):
+    with pytest.raises(ValueError, match="nothing to test on"):
         classify.evaluate_fault(examples, control, (1,), (9,))
-    with pytest.raises(ValueError, match="classes"):
+    with pytest.raises(ValueError, match="nothing to learn from"):
         classify.evaluate_fault(examples.where("post_injection = 1"), control)
     evaluation, predictions = classify.evaluate_fault(examples, control)
     got = {(r.target, r.representation): r for r in evaluation.collect()}
@@ -165,6 +166,44 @@ def test_evaluation(spark):
     assert got["post_injection", "raw_context"].median_detection_delay_samples == 50 and predictions.count() == 2 * 4 * 6
 
 
+def test_filling_and_scaling_are_exact(spark):
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random(40) < 0.2, np.nan, rng.normal(3, 2, 40))
+    y = rng.normal(size=40)
+    rows = spark.createDataFrame([(int(k % 2), float(a), float(b), 5.0, None) for k, (a, b) in enumerate(zip(x, y, strict=True))], "t int, x double, y double, same double, none double")
+    model = classify.fit(rows, "t", ["x", "y", "same", "none"])
+    median = np.nanmedian(x)
+    filled = np.where(np.isnan(x), median, x)
+    assert model.medians == pytest.approx((median, np.median(y), 5, 0)) and model.means == pytest.approx((filled.mean(), y.mean(), 5, 0))
+    assert model.deviations == pytest.approx((filled.std(), y.std(), 1, 1))
+    # the optimum of the balanced, penalised likelihood: its gradient is zero
+    z = np.stack([(filled - filled.mean()) / filled.std(), (y - y.mean()) / y.std()], axis=1)
+    w = np.array(model.regression.coefficients.toArray())[:2]
+    p = 1 / (1 + np.exp(-(z @ w + model.regression.intercept)))
+    assert z.T @ (p - np.arange(40) % 2) + w == pytest.approx([0, 0], abs=1e-3)
+    got = classify.predict(model, rows.withColumn("probability", F.lit("old")))
+    assert got.columns == ["t", "x", "y", "same", "none", "probability", "prediction"] and sorted(r.probability for r in got.collect()) == pytest.approx(sorted(p))
+
+
+def test_long_chains_are_matched(spark):
+    # each found span overlaps the next true one better than its own, so one pair is settled a round
+    spans = [(0, 40)]
+    for k in range(12):
+        a, b = spans[-1]
+        spans.append((a + 5 + k // 4, b + 5 + k // 4))
+    rows = lambda name, own: spark.createDataFrame([("s", k, a, (a + b) // 2, b) for k, (a, b) in own], f"g string, {name}_id long, {name}_start long, {name}_peak long, {name}_end long")
+    found, true = list(enumerate(spans[::2])), list(enumerate(spans[1::2]))
+    overlap = lambda x, y: max(0, min(x[1], y[1]) - max(x[0], y[0]) + 1) / (max(x[1], y[1]) - min(x[0], y[0]) + 1)
+    pairs = sorted(((-overlap(f, t), i, j) for i, f in found for j, t in true if overlap(f, t) >= 0.3 and abs(sum(f) // 2 - sum(t) // 2) <= 30))
+    want, used = set(), set()
+    for _, i, j in pairs:
+        if ("f", i) not in used and ("t", j) not in used:
+            want.add((i, j))
+            used |= {("f", i), ("t", j)}
+    got = {(r.found_id, r.true_id) for r in intervals.match(rows("found", found), rows("true", true), ["g"], 30, 0.3).collect()}
+    assert got == want and len(want) >= 6
+
+
 def test_recovery(spark):
     true = spark.createDataFrame([("s", k, k * 20, k * 20 + 10, k * 20 + 20) for k in range(4)], "g string, true_id long, true_start long, true_peak long, true_end long")
     found = spark.createDataFrame([("s", 1, 1, 11, 21), ("s", 2, 40, 50, 60), ("s", 3, 200, 210, 220)], "g string, found_id long, found_start long, found_peak long, found_end long")

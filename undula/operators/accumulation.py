@@ -12,6 +12,7 @@ from undula.functions import events, states
 from undula.operators.frame import OrderedFrame, names
 from undula.operators.objects import Behavior, BehaviorObjects
 
+# The columns of the object table.
 PROPERTIES = (
     "accumulation_id", "is_complete", "start_index", "end_index", "duration", "baseline", "total_auc", "auc_at_peak", "accumulation_before_peak",
     "accumulation_from_peak", "accumulation_rate", "accumulation_symmetry", "centroid_time", "half_accumulation_time",

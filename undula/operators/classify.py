@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,47 +42,68 @@ def detection_delay(predicted: DataFrame, keys: Sequence[str], fault_start: int
     return runs.groupBy(*keys).agg(F.median("_delay").alias("median_detection_delay_samples"))
 
 
-def fit(train: DataFrame, target: str, features: Sequence[str], c: float = 1.0):
-    """Medians for missing values, scaling to unit variance, and an L2 logistic regression with balanced classes."""
-    from pyspark.ml import Pipeline
+@dataclass(frozen=True)
+class Fitted:
+    """What is learnt of training rows: for each feature its median, mean and deviation, and the regression."""
+
+    features: tuple[str, ...]
+    medians: tuple[float, ...]
+    means: tuple[float, ...]
+    deviations: tuple[float, ...]
+    regression: object
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """df with _features: missing values filled, then scaled."""
+        from pyspark.ml.functions import array_to_vector
+
+        parts = zip(self.features, self.medians, self.means, self.deviations, strict=True)
+        return df.withColumn("_features", array_to_vector(F.array(*((_filled(f, m) - F.lit(mean)) / F.lit(s) for f, m, mean, s in parts))))
+
+
+def _filled(feature: str, median: float):
+    return F.coalesce(F.nanvl(F.col(feature).cast("double"), F.lit(None)), F.lit(median))
+
+
+def fit(train: DataFrame, target: str, features: Sequence[str], c: float = 1.0) -> Fitted:
+    """Exact medians for missing values (0 where a feature has none), scaling by the population's deviation (1 where it
+    is 0), and an L2 logistic regression with balanced classes."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-
-    n = train.agg(F.count("*").alias("n"), F.sum(target).alias("p")).first()
-    if not n["n"] or not 0 < n["p"] < n["n"]:
-        raise ValueError(f"target {target!r} needs both classes")
-    weighted = train.withColumn("_weight", F.when(F.col(target) == 1, n["n"] / (2 * n["p"])).otherwise(n["n"] / (2 * (n["n"] - n["p"])))).withColumn("_label", F.col(target).cast("double"))
-    filled = [f"_{f}" for f in features]
-    stages = [
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="_raw"),
-        StandardScaler(withMean=True, inputCol="_raw", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", standardization=False, regParam=1.0 / (c * n["n"]), maxIter=2000),
-    ]
-    cast = weighted.withColumns({f: F.col(f).cast("double") for f in features})
-    return Pipeline(stages=stages).fit(cast)
-
-
-def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+
+    features = tuple(features)
+    first = train.agg(F.count("*").alias("_n"), F.sum(target).alias("_p"), *(F.median(F.nanvl(F.col(f).cast("double"), F.lit(None))).alias(f) for f in features)).first()
+    n, p = first["_n"], first["_p"] or 0
+    if p in (0, n):
+        raise ValueError(f"{target}: rows of either class are needed to fit a model, here {p} of {n} are positive")
+    medians = tuple(0.0 if first[f] is None else float(first[f]) for f in features)
+    filled = [_filled(f, m) for f, m in zip(features, medians, strict=True)]
+    second = train.agg(*(F.avg(x).alias(f"m{k}") for k, x in enumerate(filled)), *(F.stddev_pop(x).alias(f"s{k}") for k, x in enumerate(filled))).first()
+    made = Fitted(features, medians, tuple(second[f"m{k}"] for k in range(len(features))), tuple(second[f"s{k}"] or 1.0 for k in range(len(features))), None)
+    weight = F.when(F.col(target) == 1, F.lit(n / (2 * p))).otherwise(F.lit(n / (2 * (n - p))))
+    rows = made.vectors(train).select("_features", F.col(target).cast("double").alias("_label"), weight.alias("_weight"))
+    learner = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", standardization=False, regParam=1.0 / (c * n), maxIter=2000)
+    return replace(made, regression=learner.fit(rows))
+
+
+def predict(model: Fitted, df: DataFrame, features: Sequence[str] = ()) -> DataFrame:
+    """df with probability and prediction (at 0.5)."""
     from pyspark.ml.functions import vector_to_array
 
-    made = model.transform(df.withColumns({f: F.col(f).cast("double") for f in features}))
-    p = vector_to_array("probability")[1]
-    return made.withColumn("_p", p).drop("probability", "prediction", "rawPrediction", "_raw", "_features", *(f"_{f}" for f in features)).withColumnRenamed("_p", "probability").withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
+    kept = df.drop("probability", "prediction")
+    made = model.regression.transform(model.vectors(kept)).withColumn("_p", vector_to_array("probability")[1])
+    return made.select(*kept.columns, F.col("_p").alias("probability"), (F.col("_p") >= 0.5).cast("int").alias("prediction"))
 
 
 def evaluate_fault(examples: DataFrame, control: DataFrame, train_runs: Iterable[int] = (1, 2, 3), test_runs: Iterable[int] = (4, 5), fault_start: int = 600) -> tuple[DataFrame, DataFrame]:
     """Evaluation (a row per target and representation) and predictions on held-out runs of one fault's examples."""
     train_runs, test_runs = tuple(train_runs), tuple(test_runs)
-    if overlap := set(train_runs) & set(test_runs):
-        raise ValueError(f"train and test runs overlap: {sorted(overlap)}")
+    if not set(train_runs).isdisjoint(test_runs):
+        raise ValueError(f"runs {sorted(set(train_runs).intersection(test_runs))} are asked for on either side of the split")
     train, test, control = (x.persist() for x in (examples.where(F.col(RUN).isin(*train_runs)), examples.where(F.col(RUN).isin(*test_runs)), control))  # read for every model
     sizes = [x.agg(F.count("*").alias("n"), *(F.sum(t).alias(t) for t in TARGETS)).first() for x in (train, test)]
-    if not all(s["n"] for s in sizes):
-        raise ValueError("both training and testing examples are required")
-    for t in TARGETS:
-        if not all(0 < s[t] < s["n"] for s in sizes):
-            raise ValueError(f"target {t!r} requires both classes in train and test")
+    for side, size in zip(("learn from", "test on"), sizes, strict=True):
+        lacking = [t for t in TARGETS if (size[t] or 0) in (0, size["n"])]
+        if lacking:
+            raise ValueError(f"nothing to {side}: of {size['n']} objects all or none are {' and '.join(lacking)}")
     predicted = controls = None
     for t in TARGETS:
         for name, features in REPRESENTATIONS.items():

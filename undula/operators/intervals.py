@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from undula.functions import events
 from undula.operators.frame import OrderedFrame
+from undula.sources import scratch
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], bucket: int = 64) -> DataFrame:
@@ -44,19 +45,18 @@ def iou(a: tuple[str, str], b: tuple[str, str]) -> Column:
 def match(found: DataFrame, true: DataFrame, on: Sequence[str], peak_tolerance: int = 10, least_iou: float = 0.5, bucket: int = 64) -> DataFrame:
     """One-to-one matches of found(found_id, found_start, found_peak, found_end) and true(true_...): peaks at most
     peak_tolerance apart and IoU at least least_iou. Best pairs first, by IoU, then ids: each round keeps the pairs that
-    are the best of both their sides, until none is left. Rounds run when this is called; each cuts the lineage of the
-    pairs left (a checkpoint, or a local one where there is no folder for them)."""
-    cut = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    are the best of both their sides, until none is left. Rounds run when this is called; each stores what it takes and
+    the pairs left in scratch tables, so plans don't grow."""
     pairs = overlap_join(found, true, on, ("found_start", "found_end"), ("true_start", "true_end"), bucket)
     pairs = pairs.withColumn("iou", iou(("found_start", "found_end"), ("true_start", "true_end")))
-    pairs = cut(pairs.where((F.abs(F.col("found_peak") - F.col("true_peak")) <= peak_tolerance) & (F.col("iou") >= least_iou)))
+    pairs = scratch.stored(pairs.where((F.abs(F.col("found_peak") - F.col("true_peak")) <= peak_tolerance) & (F.col("iou") >= least_iou)), "pairs")
     order = [F.col("iou").desc(), "found_id", "true_id"]
     done = None
     while True:  # the best pair of all is the best of both its sides, so each round takes one or more
         best = pairs.withColumn("_f", F.row_number().over(Window.partitionBy(*on, "found_id").orderBy(*order))).withColumn("_t", F.row_number().over(Window.partitionBy(*on, "true_id").orderBy(*order)))
-        taken = best.where("_f = 1 AND _t = 1").drop("_f", "_t")
+        taken = scratch.stored(best.where("_f = 1 AND _t = 1").drop("_f", "_t"), "taken")
         done = taken if done is None else done.unionByName(taken)
-        pairs = cut(pairs.join(taken.select(*on, "found_id"), [*on, "found_id"], "left_anti").join(taken.select(*on, "true_id"), [*on, "true_id"], "left_anti"))
+        pairs = scratch.stored(pairs.join(taken.select(*on, "found_id"), [*on, "found_id"], "left_anti").join(taken.select(*on, "true_id"), [*on, "true_id"], "left_anti"), "pairs")
         if pairs.isEmpty():
             return done
 

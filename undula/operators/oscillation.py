@@ -9,6 +9,7 @@ from undula.functions import events, states
 from undula.operators.frame import OrderedFrame, names
 from undula.operators.objects import Behavior, BehaviorObjects
 
+# The columns of the object table.
 PROPERTIES = (
     "oscillation_id", "is_complete", "start_index", "peak_index", "end_index", "rise_duration", "fall_duration", "duration", "period",
     "amplitude", "rising_mean_rate", "falling_mean_rate", "peak_rise_rate", "peak_fall_rate", "temporal_symmetry",

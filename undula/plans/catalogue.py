@@ -19,6 +19,8 @@ from undula.plans import eventql, oracle
 from undula.plans.oracle import ACC_COLUMNS, CHARACTERIZED, EVENTS, EXACT, OBJECT_COLUMNS, ORDERS, REP_COLUMNS, REPRODUCED, STUDY, r
 from undula.sources import simulate
 from undula.streaming import causal
+from undula.functions import text
+from undula.sources import scratch
 
 G, O = "user_id", "event_id"
 QUERIES: dict = {}
@@ -418,10 +420,20 @@ def paired(spark, sf_dir):
     return rounded(analytics.paired_differences(analytics.curve_areas(curves(spark, sf_dir), ["representation", "seed"]), []).select("seed", "difference"), 4)
 
 
-@query("bootstrap_interval")
+_PRIME = (1 << 31) - 1
+_DRAWS = f"""{_AREAS}, p AS (SELECT b.representation, b.area - a.area AS d FROM a JOIN a b USING (seed) WHERE a.representation = 'raw' AND b.representation <> 'raw'),
+    l AS (SELECT representation, list_sort(list(d)) AS v, count(*) AS pairs, avg(d) AS mean_difference, median(d) AS median_difference FROM p GROUP BY 1),
+    z0 AS (SELECT representation, v, b, k, (b * 48271 + k * 69621 + 1729 * 39373) % {_PRIME} AS z FROM l, range(1, 1001) t(b), range(1, 100000) u(k) WHERE k <= len(v)),
+    z1 AS (SELECT *, (z * z + k * 16807) % {_PRIME} AS y FROM z0),
+    m AS (SELECT representation, b, avg(v[((y * y + b * 630360) % {_PRIME} % len(v) + 1)::INT]) AS mean FROM z1 GROUP BY ALL)
+    SELECT representation, any_value(pairs) AS pairs, round(any_value(mean_difference), 3) + 0.0 AS mean_difference, round(any_value(median_difference), 3) + 0.0 AS median_difference,
+           round(quantile_cont(mean, 0.025), 3) + 0.0 AS ci_low, round(quantile_cont(mean, 0.975), 3) + 0.0 AS ci_high FROM m JOIN l USING (representation) GROUP BY 1"""
+
+
+@query("bootstrap_interval", _DRAWS)
 def bootstrap(spark, sf_dir):
     areas = analytics.curve_areas(curves(spark, sf_dir), ["representation", "seed"])
-    return analytics.bootstrap(analytics.paired_differences(areas, []), ["representation"], 1000)
+    return rounded(analytics.bootstrap(analytics.paired_differences(areas, []), ["representation"], 1000), 3)
 
 
 # ---- causal features ----
@@ -449,15 +461,18 @@ def causal_batch(spark, sf_dir):
     return d.select(G, O, *((F.col(c).cast("double") + F.lit(0.0)).alias(c) if c in real else F.col(c).cast("long").alias(c) for c in causal.FEATURES))
 
 
-@query("causal_features_stream")
+@query("causal_features_stream", f"SELECT user_id::VARCHAR AS user_id, * EXCLUDE (user_id) FROM ({_CAUSAL})")
 def causal_stream(spark, sf_dir):
+    """The stream's features, written to files by as many tasks as there are partitions, and read again."""
     source = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(source).parquet(f"{sf_dir}/events.parque[t]")
     rows = stream.select(F.col(G).cast("string").alias(G), O, F.round(F.col("value") * 100).cast("double").alias("x"))
-    name = f"causal_{abs(hash(sf_dir)) % 10**8}"
-    made = causal.stream_features(rows, G, O, "x").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    folder = scratch.scratch(spark, "causal")
+    made = causal.stream_features(rows, G, O, "x").writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     made.awaitTermination()
-    return spark.table(name)
+    real = ("displacement_from_extremum", "running_amplitude", "running_signed_area", "previous_phase_amplitude", "previous_cycle_amplitude")
+    found = spark.read.schema(f"{G} string, {O} long, " + ", ".join(f"{f} double" for f in causal.FEATURES)).parquet(f"{folder}/rows")
+    return found.select(G, O, *((F.col(c) + F.lit(0.0)).alias(c) if c in real else F.col(c).cast("long").alias(c) for c in causal.FEATURES))
 
 
 query("raw_history", f"SELECT user_id, event_id, coalesce(lag(x) OVER {_W}, x) AS previous FROM ({EVENTS})")(lambda s, d: causal.history(events(s, d), "x", O, G).select(G, O, "previous"))
@@ -480,10 +495,9 @@ def eventql_expr(spark, sf_dir):
     return f.having({"mask": mask.build(f.w), "rises": count.build(f.w)}).df.select(G, O, "mask", "rises")
 
 
-@query("failure_categories", "SELECT CASE WHEN contains(props, 'error') THEN 'error' WHEN contains(props, 'a') THEN 'with a' WHEN contains(props, '1') THEN 'with 1' WHEN props IS NULL THEN 'missing' ELSE 'other' END AS category, count(*) AS n FROM events GROUP BY 1")
+@query("failure_categories", "SELECT CASE WHEN contains(props, 'error') THEN 'error' WHEN contains(props, 'a') THEN 'with a' WHEN contains(props, '1') THEN 'with 1' WHEN props IS NOT NULL THEN 'other' END AS category, count(*) AS n FROM events GROUP BY 1")
 def categories(spark, sf_dir):
-    p = F.col("props")
-    category = F.when(p.contains("error"), "error").when(p.contains("a"), "with a").when(p.contains("1"), "with 1").when(p.isNull(), "missing").otherwise("other")
+    category = text.category(F.col("props"), {"error": "error", "a": "with a", "1": "with 1"})
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(category.alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -500,9 +514,9 @@ def pivot(spark, sf_dir):
     return study(spark, sf_dir).groupBy("fault_number").pivot("regime", names).count().na.fill(0, names)
 
 
-@query("collected_lists", "SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users, count(DISTINCT user_id) AS n FROM events WHERE user_id < 20 GROUP BY 1")
+@query("collected_lists", "SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
 def lists(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id < 20").select("event_type", F.col(G).cast("string").alias("u")).distinct()
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col(G).cast("string").alias("u")).distinct()
     return e.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("u")), ",").alias("users"), F.count("*").alias("n"))
 
 
@@ -583,7 +597,11 @@ def grid_cells(spark: SparkSession) -> DataFrame:
     return cells(rows.select("task_id", F.from_json("j", TASK).alias("task")))
 
 
-@query("grid_solver")
+#: What the three tasks of grid_cells() have for answers: each is made so that one solver fits, or none.
+_SOLVED = "SELECT task_id, pair_index::INT AS pair_index, exact, fixed_status, state_status, solver FROM (VALUES ('00000001', 0, true, 'ok', 'state_shape_mismatch', 'fixed'), ('00000002', 0, true, 'none_shared', 'ok', 'state'), ('00000003', 0, false, 'no_operator', 'state_shape_mismatch', 'fallback')) t(task_id, pair_index, exact, fixed_status, state_status, solver)"
+
+
+@query("grid_solver", _SOLVED)
 def grid_solver(spark, sf_dir):
     made = grid_cells(spark)
     predictions, tasks = grid.solve(made)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import platform
+import re
 from collections.abc import Mapping
 
 import pyspark
@@ -49,5 +51,26 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def write_manifest(spark: SparkSession, folder: str, path: str, parameters: Mapping[str, object] | None = None) -> str:
+    """One JSON object at path: the files below folder (name below it, size, SHA-256) and the environment."""
+    names = F.regexp_replace("path", "^.*?" + re.escape(folder.rstrip("/").split("://")[-1].lstrip("/")) + "/", "")
+    files = file_hashes(spark, folder).select(F.struct(names.alias("name"), "size", "sha256").alias("file"))
+    one = files.agg(F.sort_array(F.collect_list("file")).alias("files"))  # a row per file
+    about = F.lit(json.dumps(environment(spark, parameters), sort_keys=True))
+    text = F.concat(F.lit('{"environment":'), about, F.lit(',"files":'), F.to_json("files"), F.lit("}"))
+    one.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def verify_manifest(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """name and problem (missing, unexpected or changed) of the files below folder that aren't those of a manifest."""
+    listed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.files"), "array<struct<name:string,size:long,sha256:string>>")).alias("f"))
+    listed = listed.select("f.name", F.col("f.sha256").alias("listed"))
+    names = F.regexp_replace("path", "^.*?" + re.escape(folder.rstrip("/").split("://")[-1].lstrip("/")) + "/", "")
+    there = file_hashes(spark, folder).select(names.alias("name"), F.col("sha256").alias("found"))
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("listed").isNull(), "unexpected").when(F.col("found") != F.col("listed"), "changed")
+    return listed.join(there, "name", "full").select("name", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def environment(spark: SparkSession, parameters: Mapping[str, object] | None = None) -> dict[str, object]:
     return {"platform": platform.platform(), "python": platform.python_version(), "pyspark": pyspark.__version__, "master": spark.sparkContext.master, "parameters": dict(parameters or {})}

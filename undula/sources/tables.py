@@ -1,13 +1,16 @@
-"""Readers of measured data and of grid tasks, and their names. All read paths that Spark reads; none downloads."""
+"""Readers of measured data and of grid tasks, and their names. All read paths that Spark reads, remote ones too; none
+downloads to this machine."""
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undula.sources.names import PROCESS, RESPIRATION
 
@@ -23,17 +26,23 @@ class SourceInfo:
 
 # ---- respiration records ----
 
-KINDS = ("Signals", "Numerics", "Breaths", "Fix")
+# The published records' numbers and kinds, and how the signals are measured.
+SUBJECTS = range(1, 54)
+KINDS = {"Signals": "csv", "Numerics": "csv", "Breaths": "csv", "Fix": "txt"}
+
+
+def _one_of(what: str, value: object, allowed) -> object:
+    """value, if it is one of those allowed; numbers must be integers."""
+    if isinstance(allowed, range) and (isinstance(value, bool) or not isinstance(value, int)):
+        raise TypeError(f"{what}: an integer is needed, not {value!r}")
+    if value not in allowed:
+        raise ValueError(f"{what}: {value!r} isn't one of {allowed}")
+    return value
 
 
 def respiration_filename(subject: int, kind: str = "Signals") -> str:
-    if isinstance(subject, bool) or not isinstance(subject, int):
-        raise TypeError("subject must be an integer")
-    if not 1 <= subject <= 53:
-        raise ValueError("subject must be from 1 to 53")
-    if kind not in KINDS:
-        raise ValueError(f"kind must be one of {KINDS}")
-    return f"bidmc_{subject:02d}_{kind}.{'txt' if kind == 'Fix' else 'csv'}"
+    ending = KINDS[_one_of("kind of record", kind, tuple(KINDS))]
+    return f"bidmc_{_one_of('subject', subject, SUBJECTS):02d}_{kind}.{ending}"
 
 
 def stripped(df: DataFrame) -> DataFrame:
@@ -42,50 +51,94 @@ def stripped(df: DataFrame) -> DataFrame:
 
 def respiration_raw(spark: SparkSession, folder: str, subject: int, kind: str = "Signals") -> DataFrame:
     """A subject's CSV with its own column names and a column subject."""
+    return _records(spark, folder, (subject,), kind)
+
+
+def _records(spark: SparkSession, folder: str, subjects: Sequence[int], kind: str) -> DataFrame:
+    """CSVs of one kind, whose headers must be alike, read at once: the first line of one file gives the names, and all
+    values are numbers."""
     if kind == "Fix":
         raise ValueError("Fix is a text file, not a table")
-    df = spark.read.csv(f"{folder}/{respiration_filename(subject, kind)}", header=True, inferSchema=True, ignoreLeadingWhiteSpace=True)
-    return stripped(df).withColumn("subject", F.lit(subject))
+    paths = [f"{folder}/{respiration_filename(s, kind)}" for s in subjects]
+    header = spark.read.text(paths[0]).first()
+    if header is None:
+        raise ValueError(f"{paths[0]} is empty")
+    names = [c.strip() for c in header[0].split(",")]
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in names])
+    df = spark.read.csv(paths, header=True, schema=schema, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
+    return df.withColumn("subject", F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)_", 1).cast("int"))
 
 
 def respiration(spark: SparkSession, folder: str, subjects: Sequence[int] = (1,)) -> DataFrame:
-    """Signals of some subjects under plain names."""
-    tables = [respiration_raw(spark, folder, s).withColumnsRenamed(RESPIRATION) for s in subjects]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t, allowMissingColumns=True)
+    """Signals of some subjects under plain names, in one read. Files whose header differs from the first one's are read
+    apart, and their other columns are null elsewhere."""
+    by_header: dict[str, list[int]] = {}
+    for s in subjects:
+        first = spark.read.text(f"{folder}/{respiration_filename(s)}").first()
+        by_header.setdefault(re.sub(r"\s*,\s*", ",", first[0].strip()) if first else "", []).append(s)
+    out = None
+    for own in by_header.values():
+        part = _records(spark, folder, own, "Signals").withColumnsRenamed(RESPIRATION)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no subject is asked for")
     return out
 
 
 # ---- process runs ----
 
-DATASETS = {"faulty_training": "faulty_training", "fault_free_training": "faultfree_training", "faultfree_training": "faultfree_training"}
+# The published data sets, their other spellings, numbers of modes, faults and runs, and the files' names.
+FAULTY, FAULT_FREE = "faulty_training", "faultfree_training"
+SPELLINGS = {FAULTY: FAULTY, FAULT_FREE: FAULT_FREE, "fault_free_training": FAULT_FREE}
+MODES, FAULTS, RUNS = range(1, 7), range(1, 22), range(1, 11)
+FAULTY_FILE, FAULT_FREE_FILE = "mode{mode}_{fault}_{run}.{suffix}", "mode{mode}_normal_50.{suffix}"
+FAULTY_FOLDER, FAULT_FREE_FOLDER = "simulations/mode_{mode}/faults", "simulations/mode_{mode}"
+# How an XLSX file begins, and how a file that only points to one in large-file storage does.
+XLSX_START, POINTER_START = b"PK\x03\x04", b"version https://git-lfs.github.com/spec/"
 
 
 def dataset_name(name: str) -> str:
+    """The plain name of a data set, whatever its case, with dashes or underscores."""
     if not isinstance(name, str):
-        raise TypeError("a data set's name must be a string")
-    found = DATASETS.get(name.strip().lower().replace("-", "_"))
-    if found is None:
-        raise ValueError(f"unknown data set {name!r}: {sorted(set(DATASETS.values()))}")
-    return found
+        raise TypeError(f"data set: a string is needed, not {name!r}")
+    return SPELLINGS[_one_of("data set", re.sub("-", "_", name.strip().lower()), tuple(SPELLINGS))]
+
 
+def run_filename(fault: int, run: int, mode: int = 1, dataset: str = FAULTY, suffix: str = "xlsx") -> str:
+    form = FAULT_FREE_FILE if dataset_name(dataset) == FAULT_FREE else FAULTY_FILE
+    numbers = {"mode": _one_of("mode", mode, MODES)}
+    if form is FAULTY_FILE:
+        numbers |= {"fault": _one_of("fault", fault, FAULTS), "run": _one_of("run", run, RUNS)}
+    return form.format(**numbers, suffix=suffix)
 
-def run_filename(fault: int, run: int, mode: int = 1, dataset: str = "faulty_training", suffix: str = "xlsx") -> str:
-    if not 1 <= mode <= 6:
-        raise ValueError("mode must be from 1 to 6")
-    if dataset_name(dataset) == "faultfree_training":
-        return f"mode{mode}_normal_50.{suffix}"
-    if not 1 <= fault <= 21 or not 1 <= run <= 10:
-        raise ValueError("fault must be from 1 to 21 and run from 1 to 10")
-    return f"mode{mode}_{fault}_{run}.{suffix}"
 
+def run_url(base: str, fault: int, run: int, mode: int = 1, dataset: str = FAULTY) -> str:
+    """Where a run lies below the address of a published copy."""
+    folder = FAULT_FREE_FOLDER if dataset_name(dataset) == FAULT_FREE else FAULTY_FOLDER
+    return "/".join((base.rstrip("/"), folder.format(mode=mode), run_filename(fault, run, mode, dataset)))
 
-def run_catalogue(spark: SparkSession, mode: int = 1, base: str = "", faults: Sequence[int] = range(1, 22), runs: Sequence[int] = range(1, 11)) -> DataFrame:
-    """fault_number, simulation_run, filename and path of every run."""
-    rows = spark.createDataFrame([(f,) for f in faults], "fault_number long").withColumn("simulation_run", F.explode(F.array(*(F.lit(r).cast("long") for r in runs))))
-    name = F.format_string(f"mode{mode}_%d_%d.xlsx", "fault_number", "simulation_run")
-    return rows.withColumn("filename", name).withColumn("path", F.concat(F.lit(base), F.lit(f"/simulations/mode_{mode}/faults/"), name))
+
+def run_catalogue(spark: SparkSession, mode: int = 1, base: str = "", faults: Sequence[int] = FAULTS, runs: Sequence[int] = RUNS, fault_free: bool = False) -> DataFrame:
+    """dataset, mode, fault_number, simulation_run, filename and path of every run; fault_free: with the run without
+    fault (fault 0, run 1)."""
+    numbers = [F.explode(F.array(*(F.lit(x).cast("long") for x in values))) for values in (faults, runs)]
+    rows = spark.range(1).select(F.lit(FAULTY).alias("dataset"), F.lit(_one_of("mode", mode, MODES)).alias("mode"), numbers[0].alias("fault_number"))
+    rows = rows.select("*", numbers[1].alias("simulation_run"))
+    name = F.format_string(FAULTY_FILE.format(mode=mode, fault="%d", run="%d", suffix="xlsx"), "fault_number", "simulation_run")
+    rows = rows.withColumn("filename", name).withColumn("path", F.concat(F.lit(f"{base}/{FAULTY_FOLDER.format(mode=mode)}/"), name))
+    if fault_free:
+        free = run_filename(0, 1, mode, FAULT_FREE)
+        one = (FAULT_FREE, mode, 0, 1, free, f"{base}/{FAULT_FREE_FOLDER.format(mode=mode)}/{free}")
+        rows = rows.unionByName(spark.createDataFrame([one], rows.schema))
+    return rows
+
+
+def checked_workbook(start: bytes, path: str) -> None:
+    """ValueError unless a file that begins so is a workbook."""
+    if start.startswith(POINTER_START):
+        raise ValueError(f"{path} is a pointer to a file in large-file storage, not the workbook itself")
+    if not start.startswith(XLSX_START):
+        raise ValueError(f"{path} is {'empty' if not start else 'no XLSX workbook'}")
 
 
 def snake(name: str) -> str:
@@ -103,7 +156,7 @@ def repaired_headers(df: DataFrame) -> DataFrame:
     return df.toDF("time", *(f"xmeas_{k}" for k in range(1, 42)))
 
 
-def process_run(spark: SparkSession, path: str, fault: int, run: int, dataset: str = "faulty_training") -> DataFrame:
+def process_run(spark: SparkSession, path: str, fault: int, run: int, dataset: str = FAULTY) -> DataFrame:
     """One run from CSV or Parquet, or from XLSX where pandas can read it, under plain names with its keys."""
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
@@ -113,10 +166,12 @@ def process_run(spark: SparkSession, path: str, fault: int, run: int, dataset: s
             import pandas as pd
         except ImportError as missing:
             raise RuntimeError("reading XLSX needs openpyxl; give CSV or Parquet") from missing
-        df = spark.createDataFrame(pd.read_excel(path))  # a run has a few thousand rows
+        content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])  # from any store; some MB
+        checked_workbook(content[:256], path)
+        df = spark.createDataFrame(pd.read_excel(io.BytesIO(content)))  # a run has a few thousand rows
     else:
         df = spark.read.csv(path, header=True, inferSchema=True)
-    free = dataset_name(dataset) == "faultfree_training"
+    free = dataset_name(dataset) == FAULT_FREE
     df = standard_columns(repaired_headers(stripped(df)) if free else stripped(df)).withColumnsRenamed(PROCESS)
     return df.withColumns({"fault_number": F.lit(0 if free else fault).cast("long"), "simulation_run": F.lit(run).cast("long")})
 
@@ -127,11 +182,15 @@ def save(df: DataFrame, path: str, overwrite: bool = False) -> str:
 
 
 def cached(spark: SparkSession, path: str, make, refresh: bool = False) -> DataFrame:
-    """The table at path, made first where it isn't there."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    if refresh or not there:
-        make().write.mode("overwrite").parquet(path)
+    """The table at path, made first where it isn't there: below another name, which becomes path once it is whole, so
+    that no reader meets a part of it."""
+    where, part = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.part"))
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if refresh or not files.exists(where):
+        make().write.mode("overwrite").parquet(part.toString())
+        files.delete(where, True)
+        if not files.rename(part, where):
+            raise OSError(f"{part} could not be renamed")
     return spark.read.parquet(path)
 
 

@@ -140,7 +140,7 @@ def stream_features(stream: DataFrame, key: str, order: str, signal: str, eps: f
         state.update((*s[:11], *flat(s[11]), *flat(s[12]), *flat(s[13])))
         yield pd.DataFrame(made, columns=names)
 
-    out = f"{key} string, {order} long, " + ", ".join(f"{f} float" for f in FEATURES)
+    out = f"{key} string, {order} long, " + ", ".join(f"{f} double" for f in FEATURES)
     kept = "t long, last double, direction int, begin long, begin_value double, area double, phases long, pt double, ps double, ct double, cs double, e1 long, v1 double, e2 long, v2 double, e3 long, v3 double"
     rows = stream.select(F.col(key).cast("string").alias(key), F.col(order).cast("long").alias(order), F.col(signal).cast("double").alias(signal))
     return rows.groupBy(key).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.NoTimeout)
