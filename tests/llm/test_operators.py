@@ -362,6 +362,15 @@ def test_chat_layouts(spark):
     assert got == {1: ("instruction_input", [("user", "a"), ("assistant", "c")]), 2: ("messages", [("user", "x")]), 3: (None, None), 4: (None, None), 5: (None, None)}
 
 
+def test_long_conversations(spark):
+    turns = [("user" if k % 2 else "assistant", f"turn {k} </s>") for k in range(3 * chat.BLOCK + 7)]
+    rows = [(1, k, role, said) for k, (role, said) in enumerate(turns)] + [(2, 5 * chat.BLOCK, "user", None), (2, 2, "assistant", "a")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.canonical(d))).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == turns and "".join(got[1].loss) == "".join(said for role, said in turns if role == "assistant")
+    assert [(t.role, t.text) for t in got[2].turns] == [("assistant", "a"), ("user", "")]
+
+
 def test_chat_is_native(spark):
     d = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.read_back(chat.formatted(chat.canonical(d)))._jdf.queryExecution().executedPlan().toString()
@@ -862,6 +871,14 @@ def test_scratch_follows_the_session(spark):
 
     session = type("Session", (), {"conf": Conf()})()
     assert shared.scratch(session, "x").startswith("hdfs://shared/checkpoints/undula/x-")
+    nothing = {"get": lambda self, key, default=None: default}
+    for master, alone in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("yarn", False), ("spark://h:7077", False)):
+        session = type("Session", (), {"conf": type("Conf", (), nothing)(), "sparkContext": type("Context", (), {"master": master})()})()
+        if alone:
+            assert shared.scratch(session, "x").startswith("file:///")
+        else:
+            with pytest.raises(ValueError, match="checkpoint"):
+                shared.scratch(session, "x")
     table, path = shared.stored_at(spark.range(3), "three")
     root = spark.conf.get("spark.checkpoint.dir", None)
     assert "://" in path and (not root or root in path) and table.count() == 3

@@ -1,4 +1,7 @@
-"""One query per operator, over whole tables, and the SQL of those that SQL can state."""
+"""One query per operator, over whole tables, and the SQL of those that SQL can state.
+
+What each does with nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns is what the
+operator that it calls says of itself: a query reads its table whole, picks the operator's columns and adds nothing."""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is in no fold, and so not held out."""
     docs = shared.documents(spark, sf_dir)
     found = language.identify(shared.text_only(docs, "doc_id", "text"), language.train(docs), without=("text",))
     held_out = F.coalesce(language.fold() == 0, F.lit(False)).alias("held_out")
@@ -26,6 +30,7 @@ def op3_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty table leaves conversation -1."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     text = F.lit("</s>[INST] ok [/INST]")
     extra = [spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), text.alias("text")) for k, role in enumerate(("user", "assistant"))]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,46 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undula.sources.scratch import clear, remove, scratch, stored, stored_at  # noqa: F401
+
 #: Arrow batches handed to Python hold at most this much, so that long texts don't pile up in a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
-_local_root: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, a folder that all executors share. Where that is unset a temporary folder
-    stands in on one machine (local masters, as in tests); on a cluster it is an error.
-
-    A folder without a scheme is one of Hadoop's default file system, and is named so for those who don't ask Hadoop."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _local_root:
-            _local_root.append("file://" + tempfile.mkdtemp(prefix="undula-"))
-        root = _local_root[0]
-    if "://" not in root:
-        where = spark._jvm.org.apache.hadoop.fs.Path(root)
-        root = re.sub("^file:/(?!/)", "file:///", where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString())
-    return f"{root.rstrip('/')}/undula/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to a scratch table and read again: lineage ends there and lost executors cost nothing."""
-    return stored_at(df, name)[0]
-
-
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As stored(), and the table's path, for remove() once what was made of it is stored too."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
 
 def bounded_batches(spark: SparkSession) -> None:
     """Sets the size of Arrow batches, which Spark reads when a plan runs, so it holds for the session from here on."""
@@ -59,11 +21,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes all scratch tables and files below this session's folder; results that are still read need them."""
-    remove(spark, scratch(spark, "").rsplit("/", 1)[0])
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
