@@ -188,7 +188,7 @@ def _windows_of(runs: DataFrame, placed: bool) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame | None:
     """r, s, found: of each text the places (first word of a run, bits of its windows) of its repeated windows; n: how
-    many documents have the text, or more. None: no candidates survived."""
+    many documents have the text, or more; stored. None: no candidates survived."""
     session = docs.sparkSession
     lengths = levels(window)
     passed = None
@@ -201,8 +201,8 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame | None:
         shared.remove(session, path)
     wide, path = shared.stored_at(candidate_runs(docs, lengths, passed), "runs")
     run = ["seg", "seg2"]
-    segments = shared.stored(wide.groupBy(*run).agg(F.count("*").alias("n"), F.min("windows").alias("windows")), "segments")
-    runs = shared.stored(wide.groupBy(*_TEXT, "first", *run).agg(F.count("*").alias("texts")), "places")  # copies are one
+    segments, *paths = shared.stored_at(wide.groupBy(*run).agg(F.count("*").alias("n"), F.min("windows").alias("windows")), "segments")
+    runs, places = shared.stored_at(wide.groupBy(*_TEXT, "first", *run).agg(F.count("*").alias("texts")), "places")  # copies are one
     shared.remove(session, path)
     many, once = segments.where("n > 1"), segments.where("n = 1")
     single = _windows_of(once, True)
@@ -210,8 +210,12 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame | None:
     twice = number.groupBy("h", "g").agg(F.sum("n").alias("total")).where("total > 1").select("h", "g")
     marks = single.join(twice, ["h", "g"]).groupBy(*run).agg(F.bit_or(F.expr("shiftleft(1L, CAST(k AS int))")).alias("bits"))
     marks = marks.withColumn("n", F.lit(1).cast("long")).union(many.select(*run, F.expr("shiftleft(1L, CAST(octet_length(windows) div 12 AS int)) - 1"), "n"))
-    found = shared.join_hot(runs, shared.stored(marks, "marks"), run, "n")
-    return found.groupBy(*_TEXT).agg(F.collect_list(F.struct("first", "bits")).alias("found"), F.max("texts").alias("n"))
+    marks, marked = shared.stored_at(marks, "marks")
+    by_text = shared.join_hot(runs, marks, run, "n").groupBy(*_TEXT).agg(F.collect_list(F.struct("first", "bits")).alias("found"), F.max("texts").alias("n"))
+    found = shared.stored(by_text, "found")
+    for path in (*paths, places, marked):
+        shared.remove(session, path)
+    return found
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
@@ -251,7 +255,6 @@ def strip(docs: DataFrame, window: int = 35) -> DataFrame:
     keyed = rows.withColumns({"r": F.xxhash64("text"), "s": F.hash("text")})
     found, passed = repeated_windows(keyed, window), None
     if found is not None:
-        found = shared.stored(found, "found")
         passed = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(F.col("r").alias("h")), found.count()))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
