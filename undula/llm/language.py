@@ -370,14 +370,15 @@ def train(docs: DataFrame, false_rejections: float = 0.001, slack: float = 0.25)
 
     Fold 0 is never read. Rows without doc_id, lang or text teach nothing. Without any the model has no language."""
     rows = shared.text_only(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    counted = shared.stored(count(rows.where(fold().isin(2, 3, 4)).select("lang", "text")), "ngrams")
-    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    counted = count(rows.where(fold().isin(2, 3, 4)).select("lang", "text")).toArrow()  # the model's own n-grams
+    langs = counted["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(langs.dictionary.to_pylist())
     model = build({})
     if languages:
-        kept = counted.select(F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("short").alias("k"), "key", "n").toArrow()
-        k, key, n = kept["k"].to_numpy(), kept["key"].to_numpy().view(np.uint64), kept["n"].to_numpy()
+        place = np.array([languages.index(x) for x in langs.dictionary.to_pylist()])
+        k, key, n = place[langs.indices.to_numpy()], counted["key"].to_numpy().view(np.uint64), counted["n"].to_numpy()
         order = np.lexsort((key, k))
-        ends = np.searchsorted(k[order], np.arange(1, len(languages) + 2))
+        ends = np.searchsorted(k[order], np.arange(len(languages) + 1))
         model = build({lang: (key[own], n[own]) for lang, own in zip(languages, np.split(order, ends[1:-1]), strict=True)})
     if model.languages:
         sent = docs.sparkSession.sparkContext.broadcast(model)

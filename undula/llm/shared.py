@@ -13,10 +13,14 @@ from undula.sources.scratch import clear, remove, scratch, stored, stored_at  #
 
 #: Arrow batches handed to Python hold at most this much, so that long texts don't pile up in a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows that a Parquet reader decodes at once: Spark's 4096 texts of some KB are large objects, of which heaps grow.
+READ_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Sets the size of Arrow batches, which Spark reads when a plan runs, so it holds for the session from here on."""
+    """Sets the size of Arrow's and Parquet's batches, which Spark reads when a plan runs, so it holds for the session from
+    here on."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
