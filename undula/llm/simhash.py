@@ -183,12 +183,11 @@ def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
 
 def named(marked: DataFrame, bits: int = BITS) -> DataFrame:
     """marked(doc_id, fp, ...) -> fp, root (one fingerprint of its component), component_id (its least doc_id), n (rows
-    with that fingerprint), stored."""
+    with that fingerprint). Fingerprints are distinct here, so copies, however many, are one row of each join."""
     nodes = shared.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, bits))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
-    return shared.stored(shared.join_hot(shared.stored(rooted, "rooted"), shared.stored(least, "roots"), ["root"], "members").select("fp", "root", "component_id", "n"), "named")
+    return rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "root", "component_id", "n")
 
 
 def groups(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> DataFrame:
@@ -200,7 +199,7 @@ def groups(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> DataFrame:
     rows = shared.text_only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = shared.stored(fingerprints(rows, "fp", shingle), "fingerprints")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return shared.join_hot(marked, named(marked, bits), ["fp"], "n").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return shared.join_hot(marked, shared.stored(named(marked, bits), "named"), ["fp"], "n").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, bits: int = BITS, shingle: int = 3) -> DataFrame:
