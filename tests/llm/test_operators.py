@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from undula.llm import chat, components, decontaminate, language, packing, quality, shared, simhash, substrings, surrogates, token_blocks, tokens, warc, words
+from undula.llm import chat, components, decontaminate, importance, language, least_squares, packing, quality, shared, simhash, substrings, surrogates, token_blocks, tokens, warc, words
 from undula.llm.tokens import encoder
 
 DOCS = "doc_id long, text string"
@@ -890,3 +890,141 @@ def test_columns_with_clashing_names_come_back(spark):
     d = spark.createDataFrame([(1, "t", "mine", "MINE")], "doc_id long, text string, score string, Rejected string")
     out = shared.apart(d, ["score", "rejected"], lambda x: x.withColumns({"score": F.lit(1.0), "rejected": F.lit(True)}))
     assert out.columns == d.columns and out.first() == d.first()
+
+
+# ---- 11: importance resampling ----
+
+
+def brute_features(text):
+    lower = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", lower)
+    return len(w), Counter(zlib.crc32(x.encode()) % 10_000 for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))])
+
+
+def brute_resample(docs, targets, share=25, seed=7):
+    import math
+
+    made = [(i, *brute_features(t)) for i, t in docs]
+    s, t = sum((c for *_, c in made), Counter()), sum((brute_features(x)[1] for x in targets), Counter())
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (big_s + 10_000) / ((s[b] + 1) * (big_t + 10_000))))
+    rows = []
+    for i, words, c in made:
+        n = sum(c.values())
+        weight = sum(k * gain(b) for b, k in c.items()) // n if n else 0
+        h = int(hashlib.sha256(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, n, weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, words])
+    able = sorted((r for r in rows if r[5] >= 20), key=lambda r: (-r[3], -1 if r[0] is None else r[0], r[1], r[2]))
+    for k, r in enumerate(able[: share * len(able) // 100]):
+        r[4] = k + 1
+    return [tuple(r[:5]) for r in rows]
+
+
+def test_importance_resampling(spark, odd):
+    rng = random.Random(5)
+    vocabulary = [f"{x}{k}" for x in ("alpha", "Beta", "γάμμα", "漢") for k in range(40)]
+    more = [(100 + k, " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for k in range(120)] + [(100, None), (None, "A b " * 30), (None, "A b " * 30), (500, "A b " * 30)]
+    docs = odd.unionByName(spark.createDataFrame(more, DOCS), allowMissingColumns=True)
+    targets = [" ".join(rng.choices(vocabulary[:60], k=40)) for _ in range(8)] + [None, "", "x"]
+    target = spark.createDataFrame([(t,) for t in targets], "text string")
+    got = [tuple(r) for r in importance.resample(docs, target).collect()]
+    assert order(got) == order(brute_resample([*ODD, *more], targets))
+    assert sorted(r[4] for r in got if r[4]) == list(range(1, 1 + sum(r[4] is not None for r in got)))
+    every = importance.resample(docs, target, share=100, least_words=0).where("rank IS NOT NULL").count()
+    assert every == docs.count() and importance.resample(docs, target, share=0).where("rank IS NOT NULL").count() == 0
+
+
+def test_importance_of_empty_tables(spark, odd, none):
+    assert importance.resample(none, none).count() == 0
+    got = [tuple(r) for r in importance.resample(odd, none).collect()]
+    assert order(got) == order(brute_resample(ODD, []))
+
+
+@pytest.mark.parametrize("part", [1, 7, 60, 1 << 20])
+def test_long_texts_are_counted_in_parts(monkeypatch, part):
+    monkeypatch.setattr(importance, "PART", part)
+    texts = [b"one two three, four", b"", None, b"x" * 100, b"a b " * 50, "é ñ  漢字".encode(), b"...", b" lead and trail ", b"short"]
+    counter = importance.Counter(10_000)
+    for text, (n, b, c) in zip(texts, counter.count(texts), strict=True):
+        words, want = brute_features((text or b"").decode())
+        assert n == words and dict(zip(b.tolist(), c.tolist(), strict=True)) == dict(want) and b.tolist() == sorted(want)
+    counter.close()
+
+
+def test_a_very_long_text(spark):
+    text = "some words that go on, " * 400_000  # 9 MB
+    docs = spark.createDataFrame([(1, text), (2, "few words")], DOCS)
+    got = {r.doc_id: r for r in importance.resample(docs, docs.select("text")).collect()}
+    assert got[1].n_features == 2 * 5 * 400_000 - 1 and got[2].n_features == 3
+
+
+# ---- 12: packing by least squares ----
+
+
+def check_sequences(rows, got, capacity):
+    """Every id once, places gapless, sequences full or powers of two. Rows and pieces as tuples."""
+    by_doc = {}
+    for doc_id, start, length, crc, tokens, _, _ in got:
+        by_doc.setdefault(doc_id, []).append((start, length, crc, tokens))
+    texts = {}
+    for doc_id, text in rows:
+        texts.setdefault(doc_id, []).append([*ids_of(text), 0])
+    assert set(by_doc) == set(texts)
+    for doc_id, made in texts.items():
+        want = Counter()  # repeated rows may be cut in other places, so ids are counted by their place
+        for ids in made:
+            want.update((k, len(ids)) for k in range(len(ids)))
+        have = Counter((start + k, tokens) for start, length, _, tokens in by_doc[doc_id] for k in range(length))
+        assert have == want
+        for start, length, crc, tokens in by_doc[doc_id]:
+            assert any(len(ids) == tokens and zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc for ids in made)
+    filled = {}
+    for *_, length, _, _, sequence, offset in got:
+        filled.setdefault(sequence, []).append((offset, length))
+    for places in filled.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at == capacity or (at < capacity and not at & (at - 1))
+    return filled
+
+
+def test_least_squares_packing(spark, odd, sf):
+    got = [tuple(r) for r in least_squares.packed(spark, odd).collect()]
+    check_sequences(ODD, got, 1024)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = [tuple(r) for r in least_squares.packed(spark, docs).collect()]
+    filled = check_sequences(rows, got, 1024)
+    assert len(filled) <= -(-sum(r[2] for r in got) // 1024) + 9
+
+
+def test_least_squares_of_hot_lengths(spark, monkeypatch):
+    monkeypatch.setattr(least_squares, "CELL", 10)
+    rows = [(k, "word " * (k % 7 * 40 % 130)) for k in range(300)] + [(1000 + k, None) for k in range(200)] + [(5, "again and again")] * 4
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [tuple(r) for r in least_squares.packed(spark, docs, 128).collect()]
+    check_sequences(rows, got, 128)
+
+
+def test_least_squares_of_nothing(spark, none):
+    assert least_squares.packed(spark, none).columns == list(least_squares.COLUMNS) and least_squares.packed(spark, none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_least_squares_are_optimal(seed):
+    """No mix outside lowers the error, those used don't, and none is used less than zero times (the conditions of an
+    optimum), up to the half piece at which it ends."""
+    rng = np.random.default_rng(seed)
+    demand = np.bincount(rng.integers(1, 64, 4000) if seed % 2 else np.clip(rng.lognormal(2.5, 1, 4000).astype(int), 1, 63), minlength=65)
+    rows = least_squares.mixes(np.flatnonzero(demand), 64)
+    assert (rows.sum(axis=1) == 64).all() and len({tuple(r) for r in rows}) == len(rows)
+    assert seed or len(rows) == sum(1 for a in range(1, 64) for b in range(1, a + 1) for c in range(b + 1) if a + b + c == 64 and all(x == 0 or demand[x] for x in (a, b, c)))
+    x = least_squares.nonnegative_least_squares(rows, demand)
+    error = demand - np.bincount(rows.ravel(), np.repeat(x, 3), 65)
+    error[0] = 0
+    gain = error[rows].sum(axis=1)
+    assert x.min() >= 0 and gain.max() <= 0.5 + 1e-6 and np.abs(gain[x > 0]).max() <= 1e-3
+    plan = least_squares.Plan({int(n): int(demand[n]) for n in np.flatnonzero(demand)}, 64)
+    assert plan.mixed > 0 and plan.sequences <= -(-int(demand @ np.arange(65)) // 64) + 5

@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 13))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "contamination", "personal_data", "packing"]
 
 

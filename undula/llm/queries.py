@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import chat, decontaminate, language, packing, quality, shared, simhash, substrings, surrogates, token_blocks, warc
+from undula.llm import chat, decontaminate, importance, language, least_squares, packing, quality, shared, simhash, substrings, surrogates, token_blocks, warc
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,14 @@ def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, shared.documents(spark, sf_dir))
 
 
+def op11_duckdb_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return least_squares.packed(spark, shared.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_kneser_ney": op2_kneser_ney,
@@ -81,6 +89,8 @@ QUERIES = {
     "op8_split_reader": op8_split_reader,
     "op9_quantile_sketches": op9_quantile_sketches,
     "op10_linear_grouping": op10_linear_grouping,
+    "op11_duckdb_buckets": op11_duckdb_buckets,
+    "op12_least_squares": op12_least_squares,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,7 +156,45 @@ def _escaped(text: str) -> str:
     return rf"regexp_replace(replace({text}, '\', '\\'), '(<)(\||/?s>|</?SYS>>|/SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g')"
 
 
+#: CRC-32 of f's UTF-8 bytes: a byte at a time, the polynomial's table made by the rule.
+_CRC = """
+        steps AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t),
+        hashed AS (
+            SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda k: ('0x' || hex(encode(f))[2 * k + 1:2 * k + 2])::BIGINT),
+                                      lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS b
+            FROM (SELECT DISTINCT f FROM features), steps),"""
+
+
+def _resampling_sql() -> str:
+    return rf"""
+        WITH texts AS (
+            SELECT true AS wanted, row_number() OVER () AS r, NULL::BIGINT AS doc_id, text FROM benchmark
+            UNION ALL SELECT false, row_number() OVER (), doc_id, text FROM documents),
+        listed AS (SELECT *, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts),
+        placed AS (SELECT wanted, r, w, unnest(range(1, len(w) + 1)) AS i FROM listed),
+        features AS (
+            SELECT wanted, r, f, count(*) AS n
+            FROM (SELECT wanted, r, w[i] AS f FROM placed UNION ALL SELECT wanted, r, w[i] || ' ' || w[i + 1] FROM placed WHERE i < len(w)) GROUP BY ALL),{_CRC}
+        counted AS (SELECT wanted, r, b, sum(n) AS n FROM features JOIN hashed USING (f) GROUP BY ALL),
+        totals AS (SELECT coalesce(sum(n) FILTER (NOT wanted), 0)::DOUBLE AS s_all, coalesce(sum(n) FILTER (wanted), 0)::DOUBLE AS t_all FROM counted),
+        gains AS (
+            SELECT b, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain
+            FROM (SELECT b, coalesce(sum(n) FILTER (NOT wanted), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (wanted), 0)::DOUBLE AS t FROM counted GROUP BY b), totals),
+        weighed AS (SELECT r, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS g FROM counted JOIN gains USING (b) WHERE NOT wanted GROUP BY r),
+        scored AS (
+            SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+                   ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT AS h
+            FROM listed LEFT JOIN weighed USING (r) WHERE NOT wanted),
+        final AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+        ranked AS (
+            SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS rank, count(*) OVER () AS able
+            FROM final WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * able // 100 THEN rank END AS rank
+        FROM final LEFT JOIN ranked USING (r)"""
+
+
 ORACLE_SQL = {
+    "op11_duckdb_buckets": _resampling_sql(),
     "op4_schema_fingerprint": f"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
