@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.operators import ranks
 from undula.operators.frame import OrderedFrame
 from undula.operators.oscillation import Oscillation
 from undula.sources import scratch
@@ -70,16 +71,20 @@ def pooled_examples(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def cliffs_delta(df: DataFrame, value: str, side: str, keys: Sequence[str] = ()) -> DataFrame:
+def cliffs_delta(df: DataFrame, value: str, side: str, keys: Sequence[str] = (), large: bool = False) -> DataFrame:
     """keys and delta = (pairs where comparison > reference, less those where it is <) over all pairs.
 
     side: true for the comparison. By mid-ranks, so no pairs are formed: distinct values are counted first and ranked
-    by a running count. Nulls and NaN are left out; without rows on a side delta is null."""
+    by a running count. Nulls and NaN are left out; without rows on a side delta is null.
+    large: groups have more distinct values than one task should order; they are ordered in ranges (see ranks)."""
     x = F.col(value).cast("double")
     rows = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_x")).agg(F.count_if(F.col(side)).alias("_c"), F.count_if(~F.col(side)).alias("_r"))
-    w = Window.partitionBy(*keys).orderBy("_x")
-    upto = F.sum(F.col("_c") + F.col("_r")).over(w)
-    rank = upto - (F.col("_c") + F.col("_r")) + (F.col("_c") + F.col("_r") + 1) / 2
+    n = F.col("_c") + F.col("_r")
+    if large:
+        rows = ranks.running(rows, keys, "_x", {"_upto": n})
+    else:
+        rows = rows.withColumn("_upto", F.sum(n).over(Window.partitionBy(*keys).orderBy("_x")))
+    rank = F.col("_upto") - n + (n + 1) / 2
     sums = rows.withColumn("_rank", rank).groupBy(*keys).agg(F.sum(F.col("_rank") * F.col("_c")).alias("_s"), F.sum("_c").alias("_n"), F.sum("_r").alias("_m"))
     n, m = F.col("_n"), F.col("_m")
     return sums.select(*keys, F.when((n > 0) & (m > 0), (2 * F.col("_s") - n * (n + 1) - n * m) / (n * m)).alias("cliffs_delta"))
@@ -211,11 +216,15 @@ def run_audit(objects: DataFrame) -> dict[str, DataFrame]:
 # ---- what figures need ----
 
 
-def box_plot(objects: DataFrame, value: str = "amplitude", keys: Sequence[str] = (FAULT, "regime")) -> DataFrame:
-    """Whiskers (5, 95 %), quartiles and median of log10(1 + value)."""
-    x = F.log10(1 + F.col(value))
-    q = F.percentile(x, F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    return objects.where(F.col(value).isNotNull()).groupBy(*keys).agg(q.alias("q")).select(*keys, *(F.col("q")[k].alias(n) for k, n in enumerate(("whisker_low", "q1", "median", "q3", "whisker_high"))))
+def box_plot(objects: DataFrame, value: str = "amplitude", keys: Sequence[str] = (FAULT, "regime"), large: bool = False) -> DataFrame:
+    """Whiskers (5, 95 %), quartiles and median of log10(1 + value). large: by radix selection (see ranks)."""
+    x, shares = F.log10(1 + F.col(value)), (0.05, 0.25, 0.5, 0.75, 0.95)
+    there = objects.where(F.col(value).isNotNull())
+    if large:
+        made = ranks.quantiles(there.select(*keys, x.alias("_x")), "_x", keys, shares, "q")
+    else:
+        made = there.groupBy(*keys).agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("q"))
+    return made.select(*keys, *(F.col("q")[k].alias(n) for k, n in enumerate(("whisker_low", "q1", "median", "q3", "whisker_high"))))
 
 
 def property_matrix(reproducibility: DataFrame, regime: str, properties: Sequence[str] = OBJECT_PROPERTIES) -> DataFrame:
@@ -229,8 +238,12 @@ def in_window(objects: DataFrame, low: int = 500, high: int = 1250) -> DataFrame
     return objects.where((F.col("end_index") >= low) & (F.col("start_index") <= high)).orderBy("start_index")
 
 
-def regime_medians(objects: DataFrame, properties: Sequence[str], keys: Sequence[str] = (FAULT, "regime"), digits: int = 4) -> DataFrame:
-    return objects.groupBy(*keys).agg(*(F.round(F.median(p), digits).alias(p) for p in properties))
+def regime_medians(objects: DataFrame, properties: Sequence[str], keys: Sequence[str] = (FAULT, "regime"), digits: int = 4, large: bool = False) -> DataFrame:
+    """The median of each property by keys. large: by radix selection (see ranks), of all properties in one pass a digit."""
+    if not large:
+        return objects.groupBy(*keys).agg(*(F.round(F.median(p), digits).alias(p) for p in properties))
+    each = ranks.medians(unpivoted(objects, keys, properties), "value", [*keys, "property"])
+    return each.groupBy(*keys).pivot("property", list(properties)).agg(F.round(F.first("median"), digits))
 
 
 def summary_text(objects: DataFrame, keys: Sequence[str], samples_per_second: float = 1.0) -> DataFrame:

@@ -8,21 +8,35 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.operators import newton, ranks
 from undula.operators.analytics import FAULT, OBJECT_PROPERTIES, RAW_FEATURES, RUN
+from undula.sources import scratch
 
 TARGETS = ("post_injection", "early_response")
 REPRESENTATIONS: Mapping[str, Sequence[str]] = {"raw_context": RAW_FEATURES, "objects": OBJECT_PROPERTIES, "combined": (*RAW_FEATURES, *OBJECT_PROPERTIES)}
 KEYS = (FAULT, RUN, "oscillation_id", "start_index", "peak_index", "end_index", "regime")
 
 
-def ranking_metrics(scored: DataFrame, keys: Sequence[str], label: str = "label", score: str = "probability") -> DataFrame:
-    """keys, roc_auc and average_precision, exact: equal scores share a threshold. Null where a class is missing."""
+def ranking_metrics(scored: DataFrame, keys: Sequence[str], label: str = "label", score: str = "probability", large: bool = False) -> DataFrame:
+    """keys, roc_auc and average_precision, exact: equal scores share a threshold. Null where a class is missing.
+
+    large: groups have more distinct scores than one task should order; they are ordered in ranges (see ranks)."""
+    keys = list(keys)
     by = scored.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    down, up = Window.partitionBy(*keys).orderBy(F.col(score).desc()), Window.partitionBy(*keys).orderBy(score)
-    by = by.withColumns({"_tp": F.sum("_p").over(down), "_all": F.sum("_n").over(down), "_neg_below": F.sum(F.col("_n") - F.col("_p")).over(up) - (F.col("_n") - F.col("_p"))})
-    p, n = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
-    wins = F.sum(F.col("_p") * (F.col("_neg_below") + (F.col("_n") - F.col("_p")) / 2))
-    return by.groupBy(*keys).agg(F.when((p > 0) & (n > 0), wins / (p * n)).alias("roc_auc"), F.when(p > 0, F.sum(F.col("_p") * F.col("_tp") / F.col("_all")) / p).alias("average_precision"))
+    both = {"_tp": F.col("_p"), "_all": F.col("_n")}
+    if large:
+        up = ranks.running(by, keys, score, both)
+    else:
+        w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+        up = by.withColumns({k: F.sum(v).over(w) for k, v in both.items()})
+    totals = by.groupBy(*keys).agg(F.sum("_p").alias("_positive"), F.sum("_n").alias("_rows"))
+    up = ranks.joined(up, totals, keys)
+    p, n = F.col("_positive"), F.col("_rows") - F.col("_positive")
+    below = F.col("_all") - F.col("_tp") - (F.col("_n") - F.col("_p"))  # negatives of lower scores
+    wins = F.sum(F.col("_p") * (below + (F.col("_n") - F.col("_p")) / 2))
+    above, positive_above = F.col("_rows") - F.col("_all") + F.col("_n"), p - F.col("_tp") + F.col("_p")  # at this threshold
+    made = up.groupBy(*keys).agg(wins.alias("_wins"), F.sum(F.col("_p") * positive_above / above).alias("_precision"), F.max("_positive").alias("_positive"), F.max("_rows").alias("_rows"))
+    return made.select(*keys, F.when((p > 0) & (n > 0), F.col("_wins") / (p * n)).alias("roc_auc"), F.when(p > 0, F.col("_precision") / p).alias("average_precision"))
 
 
 def threshold_metrics(scored: DataFrame, keys: Sequence[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -93,38 +107,48 @@ def predict(model: Fitted, df: DataFrame, features: Sequence[str] = ()) -> DataF
     return made.select(*kept.columns, F.col("_p").alias("probability"), (F.col("_p") >= 0.5).cast("int").alias("prediction"))
 
 
-def evaluate_fault(examples: DataFrame, control: DataFrame, train_runs: Iterable[int] = (1, 2, 3), test_runs: Iterable[int] = (4, 5), fault_start: int = 600) -> tuple[DataFrame, DataFrame]:
-    """Evaluation (a row per target and representation) and predictions on held-out runs of one fault's examples."""
-    train_runs, test_runs = tuple(train_runs), tuple(test_runs)
+def run_comparison(examples: DataFrame, faults: Sequence[int], train_runs: Iterable[int] = (1, 2, 3), test_runs: Iterable[int] = (4, 5), fault_start: int = 600, control: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Evaluation (a row per fault, target and representation) and predictions on held-out runs, of each fault once.
+
+    control: fault-free examples, by default those of fault 0. All faults' regressions are fitted together, when this is
+    called: the examples are stored first, and read once for each of Newton's rounds."""
+    train_runs, test_runs, faults = tuple(train_runs), tuple(test_runs), list(dict.fromkeys(faults))
     if not set(train_runs).isdisjoint(test_runs):
         raise ValueError(f"runs {sorted(set(train_runs).intersection(test_runs))} are asked for on either side of the split")
-    train, test, control = (x.persist() for x in (examples.where(F.col(RUN).isin(*train_runs)), examples.where(F.col(RUN).isin(*test_runs)), control))  # read for every model
-    sizes = [x.agg(F.count("*").alias("n"), *(F.sum(t).alias(t) for t in TARGETS)).first() for x in (train, test)]
-    for side, size in zip(("learn from", "test on"), sizes, strict=True):
-        lacking = [t for t in TARGETS if (size[t] or 0) in (0, size["n"])]
-        if lacking:
-            raise ValueError(f"nothing to {side}: of {size['n']} objects all or none are {' and '.join(lacking)}")
-    predicted = controls = None
-    for t in TARGETS:
-        for name, features in REPRESENTATIONS.items():
-            model = fit(train, t, features)
-            about = {"target": F.lit(t), "representation": F.lit(name), "feature_count": F.lit(len(features))}
-            p = predict(model, test, features).withColumns(about).select(*KEYS, *about, F.col(t).alias("label"), "probability", "prediction")
-            q = predict(model, control, features).withColumns(about).select("target", "representation", "prediction")
-            predicted, controls = (p, q) if predicted is None else (predicted.unionByName(p), controls.unionByName(q))
+    kind = examples.schema[FAULT].dataType
+    control = examples.where(F.col(FAULT) == 0) if control is None else control
+    mine = scratch.stored(examples.where(F.col(FAULT).isin(*faults) & F.col(RUN).isin(*train_runs, *test_runs)), "examples")
+    train, test = mine.where(F.col(RUN).isin(*train_runs)), mine.where(F.col(RUN).isin(*test_runs))
+    sizes = {}
+    for said, x in (("learn from", train), ("test on", test)):
+        rows = {r[FAULT]: r for r in x.groupBy(FAULT).agg(F.count("*").alias("n"), *(F.sum(t).alias(t) for t in TARGETS)).collect()}
+        for f in faults:
+            n = rows[f]["n"] if f in rows else 0
+            lacking = [t for t in TARGETS if (f not in rows) or (rows[f][t] or 0) in (0, n)]
+            if lacking:
+                raise ValueError(f"fault {f}: nothing to {said}: of {n} objects all or none are {' and '.join(lacking)}")
+            sizes.setdefault(f, n)
+    models = newton.fit(train, FAULT, TARGETS, REPRESENTATIONS)
+    made = newton.scored(test, FAULT, models).withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
+    label = F.when(F.col("target") == TARGETS[0], F.col(TARGETS[0])).otherwise(F.col(TARGETS[1]))
+    predicted = scratch.stored(made.withColumn("label", label).select(*KEYS, "target", "representation", "feature_count", "label", "probability", "prediction"), "predictions")
+    for_each = control.withColumn(FAULT, F.explode(F.array(*(F.lit(f).cast(kind) for f in faults))))  # every fault's models see it
+    free = newton.scored(for_each, FAULT, models).groupBy(FAULT, "target", "representation").agg(F.avg((F.col("probability") >= 0.5).cast("int")).alias("faultfree_false_positive_rate"))
     by = [FAULT, "target", "representation", "feature_count"]
-    out = predicted.groupBy(*by).agg(F.count("*").alias("test_objects"), F.sum("label").alias("positive_test_objects")).withColumn("train_objects", F.lit(sizes[0]["n"]))
+    learnt = examples.sparkSession.createDataFrame(list(sizes.items()), f"{FAULT} {kind.simpleString()}, train_objects long")
+    out = predicted.groupBy(*by).agg(F.count("*").alias("test_objects"), F.sum("label").alias("positive_test_objects")).join(F.broadcast(learnt), FAULT)
     for table in (ranking_metrics(predicted, by), threshold_metrics(predicted, by)):
         out = out.join(table, by)
-    out = out.join(detection_delay(predicted, by, fault_start), by, "left")
-    return out.join(controls.groupBy("target", "representation").agg(F.avg("prediction").alias("faultfree_false_positive_rate")), ["target", "representation"], "left"), predicted.drop("feature_count")
-
-
-def run_comparison(examples: DataFrame, faults: Sequence[int], **options) -> tuple[DataFrame, DataFrame]:
-    """evaluate_fault for each fault once, against the examples of fault 0."""
-    control = examples.where(F.col(FAULT) == 0)
-    made = [evaluate_fault(examples.where(F.col(FAULT) == f), control, **options) for f in dict.fromkeys(faults)]
-    evaluation, predictions = made[0]
-    for e, p in made[1:]:
-        evaluation, predictions = evaluation.unionByName(e), predictions.unionByName(p)
-    return evaluation, predictions
+    out = out.join(detection_delay(predicted, by, fault_start), by, "left").join(free, [FAULT, "target", "representation"], "left")
+    return out, predicted.drop("feature_count")
+
+
+def evaluate_fault(examples: DataFrame, control: DataFrame, train_runs: Iterable[int] = (1, 2, 3), test_runs: Iterable[int] = (4, 5), fault_start: int = 600) -> tuple[DataFrame, DataFrame]:
+    """run_comparison() of one fault's examples against a control."""
+    train_runs, test_runs = tuple(train_runs), tuple(test_runs)
+    if not set(train_runs).isdisjoint(test_runs):
+        raise ValueError(f"runs {sorted(set(train_runs).intersection(test_runs))} are asked for on either side of the split")
+    faults = [r[FAULT] for r in examples.select(FAULT).distinct().limit(2).collect()]
+    if len(faults) != 1:
+        raise ValueError("examples must be of one fault")
+    return run_comparison(examples, faults, train_runs, test_runs, fault_start, control)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.operators import ranks
 from undula.operators.frame import names
 
 OPERATIONS: dict[str, Callable[[Column], Column]] = {
@@ -21,8 +22,16 @@ def _operation(op: str) -> Callable[[Column], Column]:
     return OPERATIONS[op]
 
 
-def group_transform(df: DataFrame, signal: str, op: str, group, name: str) -> DataFrame:
-    """df and the group's value at every row."""
+def group_transform(df: DataFrame, signal: str, op: str, group, name: str, large: bool = False) -> DataFrame:
+    """df and the group's value at every row. large: groups are too large for one task, so their values are aggregated (a
+    median by radix selection, see ranks) and joined to the rows, which stay where they are if there are few groups."""
+    if large:
+        keys = names(group, "group", False)
+        if op == "median":
+            per = ranks.medians(df, signal, keys, name).select(*keys, name)
+        else:
+            per = df.groupBy(*keys).agg(_operation(op)(F.col(signal)).alias(name))
+        return ranks.joined(df, per, keys, "left")
     return df.withColumn(name, _operation(op)(F.col(signal)).over(Window.partitionBy(*names(group, "group", False))))
 
 

@@ -323,6 +323,13 @@ query("regime_characterization", f"WITH {CHARACTERIZED} SELECT fault_number, sim
 query("reproducibility", f"WITH {REPRODUCED} SELECT {REP_COLUMNS} FROM rep")(lambda s, d: rounded(analytics.summarize_reproducibility(characterized(s, d))))
 query("signatures_top3", f"WITH {REPRODUCED} SELECT signature_rank, {REP_COLUMNS} FROM sig")(lambda s, d: rounded(analytics.build_signatures(analytics.summarize_reproducibility(characterized(s, d)))))
 
+# the same of groups too large for one task: ranges of values, and radix selection
+for _name, _of, _make in (
+    ("cliffs_delta_large", "cliffs_delta", lambda s, d: analytics.cliffs_delta(study(s, d).where("regime IN ('pre_injection', 'early_response')").withColumn("side", F.col("regime") == "early_response"), "amplitude", "side", ["fault_number"], large=True)),
+    ("regime_medians_large", "regime_medians", lambda s, d: analytics.regime_medians(study(s, d), EXACT, large=True)),
+):
+    query(_name, ORACLE[_of])(lambda s, d, make=_make: rounded(make(s, d)))
+
 _ANSWERS = {
     "Q01": f"SELECT fault_number, simulation_run, oscillation_id, {r('amplitude')} FROM (SELECT *, row_number() OVER (PARTITION BY fault_number ORDER BY amplitude DESC, simulation_run, oscillation_id) AS n FROM study WHERE regime <> 'fault_free') WHERE n = 1",
     "Q02": "SELECT fault_number, simulation_run, oscillation_id, duration FROM (SELECT *, row_number() OVER (PARTITION BY fault_number ORDER BY duration DESC, simulation_run, oscillation_id) AS n FROM study WHERE regime <> 'fault_free') WHERE n = 1",
@@ -359,6 +366,9 @@ def box_plot(spark, sf_dir):
     return rounded(analytics.box_plot(study(spark, sf_dir)), 5)
 
 
+query("box_plot_large", ORACLE["box_plot_data"])(lambda s, d: rounded(analytics.box_plot(study(s, d), large=True), 5))
+
+
 @query("property_matrix", f"WITH {REPRODUCED} SELECT fault_number, {', '.join(f'''round(max(CASE WHEN property = '{p}' THEN CASE WHEN dominant_direction = 'decrease' THEN -behavioral_strength ELSE behavioral_strength END END), 6) + 0.0 AS {p}''' for p in EXACT)} FROM rep WHERE regime = 'early_response' GROUP BY 1")
 def property_matrix(spark, sf_dir):
     return rounded(analytics.property_matrix(analytics.summarize_reproducibility(characterized(spark, sf_dir)), "early_response", EXACT))
@@ -375,6 +385,9 @@ def group_transform(spark, sf_dir):
     return rounded(measures.group_transform(events(spark, sf_dir), "x", "median", G, "level").select(G, O, "level"))
 
 
+query("group_transform_large", ORACLE["group_transform"])(lambda s, d: rounded(measures.group_transform(events(s, d), "x", "median", G, "level", large=True).select(G, O, "level")))
+
+
 @query("group_map_prev", f"WITH {oracle.waves(2)}, m AS (SELECT user_id, wave, max(x) AS top FROM f GROUP BY ALL), p AS (SELECT *, lag(top) OVER (PARTITION BY user_id ORDER BY wave) AS previous_top FROM m) SELECT f.user_id, event_id, p.previous_top FROM f JOIN p ON f.user_id = p.user_id AND f.wave = p.wave")
 def group_map(spark, sf_dir):
     d = oscillation().primitives(events(spark, sf_dir)).df
@@ -608,12 +621,32 @@ def grid_solver(spark, sf_dir):
     return grid.evaluate(predictions, made).join(tasks, "task_id")
 
 
+def labelled(spark, sf_dir) -> DataFrame:
+    """The study's objects with their segments' statistics, users as five runs of each fault."""
+    raw = analytics.segment_statistics(oscillation().primitives(events(spark, sf_dir)), "x", "x_wave_id").select(F.col(G).alias("simulation_run"), F.col("x_wave_id").alias("oscillation_id"), *analytics.RAW_FEATURES)
+    return study(spark, sf_dir).join(raw, ["simulation_run", "oscillation_id"]).withColumn("simulation_run", (F.expr("simulation_run div 7") % 5) + 1)
+
+
 @query("fault_evaluation")
 def fault_evaluation(spark, sf_dir):
-    examples = study(spark, sf_dir)
-    raw = analytics.segment_statistics(oscillation().primitives(events(spark, sf_dir)), "x", "x_wave_id").select(F.col(G).alias("simulation_run"), F.col("x_wave_id").alias("oscillation_id"), *analytics.RAW_FEATURES)
-    both = examples.join(raw, ["simulation_run", "oscillation_id"]).withColumn("simulation_run", (F.expr("simulation_run div 7") % 5) + 1)
-    return classify.run_comparison(both, range(1, 7), fault_start=20)[0]
+    return classify.run_comparison(labelled(spark, sf_dir), range(1, 7), fault_start=20)[0]
+
+
+_SCORED = f"WITH {STUDY}, s AS (SELECT fault_number, simulation_run, end_index, post_injection AS label, duration AS score, (duration > 5)::INT AS prediction FROM study WHERE regime <> 'fault_free'), cn AS (SELECT fault_number, score, sum(label) AS p, count(*) AS n FROM s GROUP BY ALL), u AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER f AS np, sum(n) OVER f AS nn FROM cn WINDOW w AS (PARTITION BY fault_number ORDER BY score DESC), f AS (PARTITION BY fault_number)), ap AS (SELECT fault_number, sum(p * tp / seen) / max(np) AS average_precision FROM u GROUP BY 1), auc AS (SELECT a.fault_number, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS roc_auc FROM s a JOIN s b ON a.fault_number = b.fault_number AND a.label = 1 AND b.label = 0 GROUP BY 1), th AS (SELECT fault_number, avg(prediction) FILTER (label = 1) AS sensitivity, avg(1 - prediction) FILTER (label = 0) AS specificity FROM s GROUP BY 1), dl AS (SELECT fault_number, median(d) AS median_detection_delay_samples FROM (SELECT fault_number, simulation_run, greatest(min(end_index) - 20, 0) AS d FROM s WHERE end_index >= 20 AND prediction = 1 GROUP BY ALL) GROUP BY 1) SELECT fault_number, round(roc_auc, 6) + 0.0 AS roc_auc, round(average_precision, 6) + 0.0 AS average_precision, round(sensitivity, 6) + 0.0 AS sensitivity, round(specificity, 6) + 0.0 AS specificity, round((sensitivity + specificity) / 2, 6) + 0.0 AS balanced_accuracy, median_detection_delay_samples FROM ap LEFT JOIN auc USING (fault_number) LEFT JOIN th USING (fault_number) LEFT JOIN dl USING (fault_number)"
+
+
+def _metrics(large: bool):
+    def run(spark, sf_dir):
+        s = faulty(spark, sf_dir).select("fault_number", "simulation_run", "end_index", F.col("post_injection").alias("label"), F.col("duration").alias("score"), (F.col("duration") > 5).cast("int").alias("prediction"))
+        keys = ["fault_number"]
+        made = classify.ranking_metrics(s, keys, score="score", large=large).join(classify.threshold_metrics(s, keys), keys).join(classify.detection_delay(s, keys, 20), keys, "left")
+        return rounded(made)
+
+    return run
+
+
+query("fault_metrics", _SCORED)(_metrics(False))
+query("fault_metrics_large", _SCORED)(_metrics(True))
 
 
 query("simulated_cartpole")(lambda s, d: simulate.cartpole(s, 3, 120))
