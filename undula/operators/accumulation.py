@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.functions import events, states
+from undula.operators import blocks, ranks
 from undula.operators.frame import OrderedFrame, names
 from undula.operators.objects import Behavior, BehaviorObjects
+from undula.sources import scratch
 
 # The columns of the object table.
 PROPERTIES = (
@@ -106,6 +108,61 @@ class Accumulation(Behavior):
     def fit_transform(self, features: DataFrame) -> DataFrame:
         return self.add_features(self.add_ids(self.add_primitives(self.add_signal(self._frame(features))))).df
 
+    def blocked(self, frame: OrderedFrame, block: int) -> DataFrame:
+        """As fit_transform(), of the samples of Oscillation.blocked(), for groups and waves too large for one task: sums
+        over a wave are aggregates, joined to its samples, and running sums are scans in blocks of samples, whose last
+        bits may differ (and so where a sum reaches half of one that is about zero). Also each wave's {signal}_wave_complete. What is read again is stored, when this is called."""
+        made, c = self._frame(frame.df), F.col
+        df = made.df
+        for s in self.signals:
+            wave = [*self.group, f"{s}_wave_id"]
+            x, thr, sofar = f"{s}_accumulation_contribution", f"{s}_accumulation_threshold", f"{s}_accumulation"
+            rows = scratch.stored(df, "samples")
+            per = rows.groupBy(*wave).agg(F.max(f"enter_{s}_rising").alias("_started"), F.min(f"{s}_trough_index").alias("_s"), F.max(f"{s}_peak_index").alias("_p"), F.max(f"{s}_trough_index").alias("_e"))
+            last = rows.groupBy(*self.group).agg(F.max(f"{s}_wave_id").alias("_last"))
+            per = ranks.joined(per, last, self.group)
+            complete = c("_started") & (c("_s") < c("_p")) & (c("_p") < c("_e")) & (c(f"{s}_wave_id") < c("_last"))
+            per = per.select(*wave, F.coalesce(complete, F.lit(False)).alias(f"{s}_wave_complete"))
+            column, per_wave = self._threshold_of_waves(s, rows, wave)
+            if per_wave is not None:
+                per = ranks.joined(per, per_wave, wave, "left")
+            rows = ranks.joined(rows, per, wave, "left")
+            rows = rows.withColumn(thr, column).drop("_threshold").withColumn(x, c(s) - c(thr))
+            f = blocks.cut(OrderedFrame(rows, self.order_by, self.group, self.index), block)
+            f = blocks.scan(f, {"_sum": ("sum", c(x)), "_at": ("sum", F.lit(1).cast("long")), "_seen": ("sum", c(f"{s}_peak").cast("int"))}, [f"{s}_wave_id"])
+            f = self.add_ids(self.add_primitives(blocks.whole(f)))
+            df = f.df.withColumns({sofar: F.when(c(x).isNotNull(), c("_sum")), f"{s}_accumulation_index": c("_at") - 1, f"{s}_source_index": f.i, f"{s}_before_peak": c("_seen") == 0, f"{s}_after_peak": c("_seen") > 0}).drop("_sum", "_at", "_seen")
+            rows = scratch.stored(df, "accumulated")
+            total = rows.groupBy(*wave).agg(F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{s}_total_auc"))
+            rows, zero = ranks.joined(rows, total, wave, "left"), F.lit(0.0)
+            rows = rows.withColumns(
+                {
+                    f"{s}_accumulation_before_peak": F.when(c(f"{s}_before_peak"), c(x)).otherwise(zero),
+                    f"{s}_accumulation_from_peak": F.when(c(f"{s}_after_peak"), c(x)).otherwise(zero),
+                    f"{s}_auc_at_peak": F.when(c(f"{s}_peak"), c(sofar)).otherwise(zero),
+                    f"{s}_weighted_accumulation": c(f"{s}_accumulation_index") * c(x),
+                    f"{s}_half_auc": c(f"{s}_total_auc") / 2,
+                    f"{s}_reached_half_auc": F.coalesce(c(sofar) >= c(f"{s}_total_auc") / 2, F.lit(False)),
+                }
+            )
+            half = rows.where(f"{s}_reached_half_auc").groupBy(*wave).agg(F.min(f"{s}_accumulation_index").alias(f"{s}_half_accumulation_time"))
+            df = ranks.joined(rows, half, wave, "left")
+        return df
+
+    def _threshold_of_waves(self, s: str, rows: DataFrame, wave: list[str]) -> tuple[Column, DataFrame | None]:
+        """A sample's threshold, and the table of waves that it needs (with _threshold), if any."""
+        t = self.threshold
+        t = t[s] if isinstance(t, Mapping) and s in t else t
+        if not isinstance(t, str) or t in rows.columns:
+            return self._threshold(s, OrderedFrame(rows, self.order_by, self.group, self.index)), None
+        at = F.when(F.col(s).isNotNull(), F.col(self.index))
+        if t == "median":
+            return F.col("_threshold"), ranks.medians(rows, s, wave, "_threshold").drop("n")
+        if t not in AGGREGATES and t not in ("first", "last"):
+            raise ValueError(f"unknown threshold {t!r}")
+        made = F.min_by(s, at) if t == "first" else F.max_by(s, at) if t == "last" else AGGREGATES[t](F.col(s)).cast("double")
+        return F.col("_threshold"), rows.groupBy(*wave).agg(made.alias("_threshold"))
+
     def summarize(self, features: DataFrame, signal: str | None = None, include_partial: bool = False, parent_column: bool = False) -> BehaviorObjects:
         """The object table from fit_transform()'s result. parent_column: also parent_oscillation_id."""
         s = signal or self.signals[0]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from undula.functions import events as ev
 from undula.functions import states as st
-from undula.operators import analytics, chains, classify, grid, intervals, measures
+from undula.operators import analytics, blocks, chains, classify, grid, intervals, measures
 from undula.operators.accumulation import Accumulation
 from undula.operators.frame import OrderedFrame
 from undula.operators.oscillation import Oscillation
@@ -288,6 +288,25 @@ for _name, _threshold, _sql, _extra in (
     query(f"acc_objects_{_name}", f"WITH {oracle.waves(2)}{oracle.accumulations(_sql)} SELECT user_id, {ACC_COLUMNS} FROM acc")(_acc(_threshold, _extra))
 
 
+def blocked_accumulation(spark, sf_dir, threshold, block=16) -> tuple[Accumulation, DataFrame]:
+    """As accumulation(), groups and waves in blocks."""
+    numbered = blocks.numbered(events(spark, sf_dir), [O], [G])
+    a = Accumulation("x", O, G, threshold)
+    return a, a.blocked(oscillation(index="sample_index", block=block).blocked(numbered), block)
+
+
+def _acc_blocked(threshold):
+    def run(spark, sf_dir):
+        a, features = blocked_accumulation(spark, sf_dir, threshold)
+        return rounded(a.summarize(features).table)
+
+    return run
+
+
+for _name, _threshold in (("min", "min"), ("median", "median"), ("first", "first")):
+    query(f"acc_objects_{_name}_blocked", ORACLE[f"acc_objects_{_name}"])(_acc_blocked(_threshold))
+
+
 @query("acc_features", f"WITH {oracle.waves(2)}{oracle.accumulations('min(x) OVER (PARTITION BY user_id, wave)')} SELECT user_id, event_id, k AS accumulation_index, seen > 0 AS after_peak, cum >= total / 2 AS reached_half, half AS half_time, c > 0 AS is_accumulating, round(thr, 6) + 0.0 AS threshold, round(c, 6) + 0.0 AS contribution, round(cum, 6) + 0.0 AS accumulation FROM t4")
 def acc_features(spark, sf_dir):
     _, d = accumulation(spark, sf_dir, "min")
@@ -295,6 +314,14 @@ def acc_features(spark, sf_dir):
     return rounded(d.select(G, O, *(F.col(f"x_{k}").alias(v) for k, v in names.items())))
 
 
+@query("acc_features_blocked", ORACLE["acc_features"])
+def acc_features_blocked(spark, sf_dir):
+    """As acc_features, a group's samples in blocks of 16."""
+    _, d = blocked_accumulation(spark, sf_dir, "min")
+    names = {"accumulation_index": "accumulation_index", "after_peak": "after_peak", "reached_half_auc": "reached_half", "half_accumulation_time": "half_time", "is_accumulating": "is_accumulating", "accumulation_threshold": "threshold", "accumulation_contribution": "contribution", "accumulation": "accumulation"}
+    return rounded(d.select(G, O, *(F.col(f"x_{k}").alias(v) for k, v in names.items())))
+
+
 @query("parent_child_keys", f"WITH {oracle.waves(2)}{oracle.objects()} SELECT user_id, oscillation_id AS object_id, 'both' AS found_in FROM obj")
 def parent_child(spark, sf_dir):
     o = table(spark, sf_dir).select(G, F.col("oscillation_id").alias("object_id"), F.lit(1).alias("o"))
@@ -474,6 +501,14 @@ def causal_batch(spark, sf_dir):
     return d.select(G, O, *((F.col(c).cast("double") + F.lit(0.0)).alias(c) if c in real else F.col(c).cast("long").alias(c) for c in causal.FEATURES))
 
 
+@query("causal_features_blocked", _CAUSAL)
+def causal_blocked(spark, sf_dir):
+    """As causal_features, a group's samples in blocks of 16."""
+    d = causal.causal_features(events(spark, sf_dir), "x", O, G, block=16)
+    real = ("displacement_from_extremum", "running_amplitude", "running_signed_area", "previous_phase_amplitude", "previous_cycle_amplitude")
+    return d.select(G, O, *((F.col(c).cast("double") + F.lit(0.0)).alias(c) if c in real else F.col(c).cast("long").alias(c) for c in causal.FEATURES))
+
+
 @query("causal_features_stream", f"SELECT user_id::VARCHAR AS user_id, * EXCLUDE (user_id) FROM ({_CAUSAL})")
 def causal_stream(spark, sf_dir):
     """The stream's features, written to files by as many tasks as there are partitions, and read again."""
@@ -558,6 +593,9 @@ def running(spark, sf_dir):
     return f.having({"total": ev.running_sum(F.col("x"), f.w)}).df.select(G, O, "total")
 
 
+query("running_sum_blocked", ORACLE["running_sum"])(lambda s, d: blocks.running(OrderedFrame(blocks.numbered(events(s, d), [O], [G]), [O], [G]), 16, {"total": ("sum", F.col("x"))}).df.select(G, O, "total"))
+
+
 _OBJECT = "o AS (SELECT (k // 3)::INT AS row, (k % 3)::INT AS col, (k * 7 % 5)::INT AS v FROM range(6) t(k))"
 
 

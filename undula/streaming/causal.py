@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.functions import events, states
-from undula.operators.frame import OrderedFrame
+from undula.operators import blocks, ranks
+from undula.operators.frame import OrderedFrame, names
+from undula.sources import scratch
 
 #: Fixed names, in their order.
 FEATURES = (
@@ -59,8 +61,12 @@ class Encoder:
         return (float(direction), float(reversal), float(t - begin), moved, abs(moved), area, phase_size, phase_time, float(phases), cycle_size, cycle_time, float(max(phases - 2, 0)))
 
 
-def causal_features(df: DataFrame, signal: str, order_by, group=None, eps: float = 0.0) -> DataFrame:
-    """df (with sample_index) and the twelve features as floats, by windows alone. Samples must not be null."""
+def causal_features(df: DataFrame, signal: str, order_by, group=None, eps: float = 0.0, block: int | None = None) -> DataFrame:
+    """df (with sample_index) and the twelve features as floats, by windows alone. Samples must not be null.
+
+    block: a group's samples are ordered in blocks of so many, for groups too large for one task (see in_blocks)."""
+    if block is not None:
+        return in_blocks(df, signal, order_by, group, eps, block)
     f = OrderedFrame.of(df, order_by, group, None, [signal])
     w, c, x, t = f.w, F.col, F.col(signal), f.i
     step = x - F.lag(x).over(w)
@@ -94,6 +100,66 @@ def causal_features(df: DataFrame, signal: str, order_by, group=None, eps: float
     return f.df.select(*kept, *(v.cast("float").alias(k) for k, v in made.items()))
 
 
+def in_blocks(df: DataFrame, signal: str, order_by, group, eps: float, block: int) -> DataFrame:
+    """causal_features() with a group's samples in blocks. What a block hands on: its last direction; its number of
+    reversals and its last three extrema; the area of the phase that is open at its end. Samples are numbered by ranges, and
+    what is read again is stored, when this is called."""
+    order, keys, c, x = names(order_by, "order_by", False), names(group, "group"), F.col, F.col(signal)
+    for name in (*order, *keys, signal):
+        if name not in df.columns:
+            raise ValueError(f"missing column {name!r}")
+    df = df.withColumns({signal: states.clean(x)})
+    base = df if "sample_index" in df.columns else blocks.numbered(df, order, keys)
+    f = blocks.lagged(OrderedFrame(base, order, keys), block, {"_last": x})
+    t, step = f.i, x - c("_last")
+    f = f.having({"_turn": F.nullif(F.when(step > eps, 1).when(step < -eps, -1).otherwise(0), F.lit(0))})
+    f = _kept(blocks.scan(f, {"_dir": ("last", c("_turn")), "_before": ("before", c("_turn")), "_x0": ("first", x)}), "turns")
+
+    rev = F.coalesce(c("_turn") != c("_before"), F.lit(False))
+    f = f.having({"_rev": rev, "_here": F.when(rev, F.struct((t - 1).alias("t"), c("_last").alias("v")))})
+    f = blocks.scan(f, {"_phase": ("sum", c("_rev").cast("long"))})
+    # extrema that each block is handed: a block's last three are rows, each brings along the two before it
+    turns = Window.partitionBy(*f.group, "_rev").orderBy(*order)
+    late = f.having({"_end": F.row_number().over(Window.partitionBy(*f.group, "_rev").orderBy(t.desc()))}).df.where(c("_rev") & (c("_end") <= 3))
+    of_group = Window.partitionBy(*keys).orderBy("_here.t")
+    late = late.select(*f.group, "_end", F.array("_here", F.lag("_here", 1).over(of_group), F.lag("_here", 2).over(of_group)).alias("_state"))
+    every = f.df.select(*f.group).distinct()  # blocks without a reversal are handed what was before them
+    hands = ranks.joined(every, late.where("_end = 1").drop("_end"), f.group, "left")
+    given = blocks.handed(hands, keys, {"_state": "last"})
+    n = F.count_if(c("_rev")).over(events.upto(f.w))  # reversals of this block so far
+    at = lambda k: c("_state")[k]
+    f = f.having({"_n": n, "_p1": F.lag("_here", 1).over(turns), "_p2": F.lag("_here", 2).over(turns)})
+    f = OrderedFrame(ranks.joined(f.df, given, f.group, "left"), f.order_by, f.group, f.index)
+    second = F.when(c("_n") >= 2, c("_p1")).otherwise(at(0))
+    third = F.when(c("_n") >= 3, c("_p2")).when(c("_n") == 2, at(0)).otherwise(at(1))
+    f = f.having({"_now": F.when(c("_rev"), F.array("_here", second, third))})
+    f = f.having({"_now": F.coalesce(F.last("_now", True).over(events.upto(f.w)), c("_state"))})
+    f = f.having({"_moved": x - F.coalesce(c("_now")[0]["v"], c("_x0"))})
+    f = _kept(f, "phases")
+
+    # the area of the phase that a block ends in, with what earlier blocks had of it
+    area = f.df.groupBy(*f.group, "_phase").agg(F.sum("_moved").alias("_area"))
+    area = area.groupBy(*f.group).agg(F.max("_phase").alias("_phase"), F.max_by("_area", "_phase").alias("_area"))
+    opened = F.sum("_area").over(Window.partitionBy(*keys, "_phase").orderBy(blocks.BLOCK).rowsBetween(Window.unboundedPreceding, 0))
+    given = blocks.handed(area.withColumn("_open", F.struct(opened.alias("area"), c("_phase").alias("phase"))), keys, {"_open": "last"})
+    f = OrderedFrame(ranks.joined(f.df, given, f.group, "left"), f.order_by, f.group, f.index)
+    own = F.sum("_moved").over(events.upto(blocks.window(f, "_phase")))
+    e1, e2, e3 = (c("_now")[k] for k in range(3))
+    zero, phase = F.lit(0), c("_phase")
+    made = (
+        F.coalesce("_dir", zero), c("_rev").cast("int"), t - F.coalesce(e1["t"], zero), c("_moved"), F.abs("_moved"),
+        own + F.when(c("_open.phase") == phase, c("_open.area")).otherwise(0.0),
+        F.when(phase > 0, F.abs(e1["v"] - F.coalesce(e2["v"], c("_x0")))).otherwise(0.0), F.when(phase > 0, e1["t"] - F.coalesce(e2["t"], zero)).otherwise(0), phase,
+        F.when(phase > 2, F.abs(e2["v"] - e3["v"])).otherwise(0.0), F.when(phase > 2, e1["t"] - e3["t"]).otherwise(0), F.greatest(phase - 2, zero),
+    )
+    kept = [c(f"`{k}`") for k in f.df.columns if not k.startswith("_") and k not in FEATURES]
+    return f.df.select(*kept, *(v.cast("float").alias(k) for k, v in zip(FEATURES, made, strict=True)))
+
+
+def _kept(frame: OrderedFrame, name: str) -> OrderedFrame:
+    return OrderedFrame(scratch.stored(frame.df, name), frame.order_by, frame.group, frame.index)
+
+
 def history(df: DataFrame, signal: str, order_by, group=None, name: str = "previous") -> DataFrame:
     """df and the sample before; a sequence's first sample is its own."""
     f = OrderedFrame.of(df, order_by, group, None, [signal])
