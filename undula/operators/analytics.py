@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.operators import ranks
+from undula.operators import blocks, ranks
 from undula.operators.frame import OrderedFrame
 from undula.operators.oscillation import Oscillation
 from undula.sources import scratch
@@ -227,6 +227,23 @@ def box_plot(objects: DataFrame, value: str = "amplitude", keys: Sequence[str] =
     return made.select(*keys, *(F.col("q")[k].alias(n) for k, n in enumerate(("whisker_low", "q1", "median", "q3", "whisker_high"))))
 
 
+def pixel_columns(df: DataFrame, x: str, y: str, columns: int, keys: Sequence[str] = (), low: float | None = None, high: float | None = None) -> DataFrame:
+    """What a line plot of any number of samples needs: for each of `columns` pixels across and each key the first, last,
+    least and greatest sample, (x, y) each, and the number of samples. A plot of these has the pixels of a plot of all.
+
+    low, high: the range across, by default that of x; samples beyond it are left out. Samples with a null or NaN are too.
+    Ties go to the lesser x. One aggregate; its rows are as many as pixels and keys."""
+    at, value = F.col(x).cast("double"), F.col(y).cast("double")
+    rows = df.select(*keys, F.nanvl(at, F.lit(None)).alias("_x"), F.nanvl(value, F.lit(None)).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    ends = rows.agg(F.coalesce(F.lit(low), F.min("_x")).cast("double").alias("_low"), F.coalesce(F.lit(high), F.max("_x")).cast("double").alias("_high"))
+    rows = rows.join(F.broadcast(ends)).where("_x BETWEEN _low AND _high")  # ends is one row
+    share = (F.col("_x") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    rows = rows.withColumn("pixel", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * columns), F.lit(columns - 1)).cast("long"))
+    pick = {"first": F.min(F.struct("_x", "_y")), "last": F.max(F.struct("_x", (-F.col("_y")).alias("n"), "_y")), "least": F.min(F.struct("_y", "_x")), "greatest": F.max(F.struct("_y", (-F.col("_x")).alias("n"), "_x"))}
+    made = rows.groupBy(*keys, "pixel").agg(F.count("*").alias("samples"), *(v.alias(f"_{k}") for k, v in pick.items()))
+    return made.select(*keys, "pixel", "samples", *(F.col(f"_{k}._{c}").alias(f"{k}_{c}") for k in pick for c in ("x", "y")))
+
+
 def property_matrix(reproducibility: DataFrame, regime: str, properties: Sequence[str] = OBJECT_PROPERTIES) -> DataFrame:
     """Signed strength per fault (rows) and property (columns), null where there is no row."""
     signed = F.when(F.col("dominant_direction") == "decrease", -F.col("behavioral_strength")).otherwise(F.col("behavioral_strength"))
@@ -329,15 +346,36 @@ def drawn_number(resample: Column, place: Column, seed: int) -> Column:
     return (z * z + resample * 630_360) % prime
 
 
-def bootstrap(differences: DataFrame, keys: Sequence[str], samples: int = 10_000, seed: int = 1729) -> DataFrame:
+def bootstrap(differences: DataFrame, keys: Sequence[str], samples: int = 10_000, seed: int = 1729, large: bool = False) -> DataFrame:
     """Per group: pairs, mean, median, and the 2.5 and 97.5 % of the means of `samples` resamples.
 
-    A group is the seeds of an experiment, a few dozen; a resample's draws are whole-number arithmetic on its number
-    (modulo the prime 2**31 - 1), so they are the same on every run and machine, and in SQL."""
+    A resample's draws are whole-number arithmetic on its number and the place drawn for (modulo the prime 2**31 - 1), so
+    they are the same on every run and machine, and in SQL. A group is the seeds of an experiment, a few dozen, in one row.
+    large: groups may be of any size; differences are numbered in ranges, each draw is a row and is joined to the difference
+    in its place."""
+    if large:
+        return _bootstrap_of_rows(differences, list(keys), samples, seed)
     rows = differences.groupBy(*keys).agg(F.array_sort(F.collect_list("difference")).alias("_d"), F.count("*").alias("pairs"), F.avg("difference").alias("mean_difference"), F.median("difference").alias("median_difference"))
     drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     pick = F.transform(F.sequence(F.lit(1), F.size("_d")), lambda k: F.element_at("_d", (drawn_number(F.col("_b").cast("long"), k.cast("long"), seed) % F.size("_d") + 1).cast("int")))
     drawn = drawn.withColumn("_m", F.aggregate(pick, F.lit(0.0), lambda a, x: a + x) / F.size("_d"))
+    firsts = [F.first(c).alias(c) for c in ("pairs", "mean_difference", "median_difference")]
+    return _interval(drawn, keys, firsts)
+
+
+def _interval(means: DataFrame, keys: Sequence[str], firsts: Sequence[Column]) -> DataFrame:
     q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
+    return means.groupBy(*keys).agg(*firsts, q.alias("_q")).select(*keys, "pairs", "mean_difference", "median_difference", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+
+
+def _bootstrap_of_rows(differences: DataFrame, keys: list[str], samples: int, seed: int) -> DataFrame:
+    there = differences.where(F.col("difference").isNotNull()).select(*keys, "difference")
+    placed = scratch.stored(blocks.numbered(there, ["difference"], keys, "_slot"), "placed")
+    size = placed.groupBy(*keys).agg(F.count("*").alias("pairs"), F.avg("difference").alias("mean_difference"))
+    size = scratch.stored(ranks.joined(size, ranks.medians(placed, "difference", keys, "median_difference").drop("n"), keys), "sizes")
+    each = ranks.joined(placed.select(*keys, (F.col("_slot") + 1).alias("_k")), size.select(*keys, "pairs"), keys)
+    each = each.withColumn("_b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))))
+    draws = each.select(*keys, "_b", (drawn_number(F.col("_b"), F.col("_k"), seed) % F.col("pairs")).alias("_slot"))
+    means = ranks.joined(draws, placed, [*keys, "_slot"]).groupBy(*keys, "_b").agg(F.avg("difference").alias("_m"))
     firsts = [F.first(c).alias(c) for c in ("pairs", "mean_difference", "median_difference")]
-    return drawn.groupBy(*keys).agg(*firsts, q.alias("_q")).select(*keys, "pairs", "mean_difference", "median_difference", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+    return _interval(ranks.joined(means, size, keys), keys, firsts)

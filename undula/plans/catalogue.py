@@ -396,6 +396,16 @@ def box_plot(spark, sf_dir):
 query("box_plot_large", ORACLE["box_plot_data"])(lambda s, d: rounded(analytics.box_plot(study(s, d), large=True), 5))
 
 
+_PIXEL = f"least(floor((event_id - (SELECT min(event_id) FROM events))::DOUBLE / (SELECT max(event_id) - min(event_id) FROM events) * 200), 199)::BIGINT"
+
+
+@query("figure_pixels", f"SELECT event_type, {_PIXEL} AS pixel, count(*) AS samples, min(event_id)::DOUBLE AS first_x, arg_min(x, event_id) AS first_y, max(event_id)::DOUBLE AS last_x, arg_max(x, event_id) AS last_y, arg_min(event_id, (x, event_id))::DOUBLE AS least_x, min(x) AS least_y, arg_max(event_id, (x, -event_id))::DOUBLE AS greatest_x, max(x) AS greatest_y FROM (SELECT event_type, event_id, round(value * 100)::DOUBLE AS x FROM events) GROUP BY 1, 2")
+def figure_pixels(spark, sf_dir):
+    """A line of all events' values for each type, 200 pixels across."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", O, F.round(F.col("value") * 100).cast("double").alias("x"))
+    return analytics.pixel_columns(e, O, "x", 200, ["event_type"])
+
+
 @query("property_matrix", f"WITH {REPRODUCED} SELECT fault_number, {', '.join(f'''round(max(CASE WHEN property = '{p}' THEN CASE WHEN dominant_direction = 'decrease' THEN -behavioral_strength ELSE behavioral_strength END END), 6) + 0.0 AS {p}''' for p in EXACT)} FROM rep WHERE regime = 'early_response' GROUP BY 1")
 def property_matrix(spark, sf_dir):
     return rounded(analytics.property_matrix(analytics.summarize_reproducibility(characterized(spark, sf_dir)), "early_response", EXACT))
@@ -436,6 +446,32 @@ def overlap(spark, sf_dir):
     return intervals.overlap_join(_episodes(spark, sf_dir), table(spark, sf_dir), [G], ("first_index", "last_index"), ("start_index", "end_index"), 8).select(G, "episode_id", "oscillation_id")
 
 
+@query("episode_wave_overlap_dyadic", ORACLE["episode_wave_overlap"])
+def overlap_dyadic(spark, sf_dir):
+    """As episode_wave_overlap, for spans of any length."""
+    return intervals.overlap_join(_episodes(spark, sf_dir), table(spark, sf_dir), [G], ("first_index", "last_index"), ("start_index", "end_index")).select(G, "episode_id", "oscillation_id")
+
+
+def _spans(lag: int, name: str) -> str:
+    """SQL of the spans of objects made with a lag."""
+    return f"SELECT * FROM (WITH {oracle.waves(lag)}{oracle.objects()} SELECT user_id, oscillation_id AS {name}_id, start_index AS {name}_start, peak_index AS {name}_peak, end_index AS {name}_end FROM obj)"
+
+
+@query("lag_match", f"""WITH RECURSIVE found AS ({_spans(3, "found")}), true_ AS ({_spans(2, "true")}),
+    near AS (SELECT *, greatest(least(found_end, true_end) - greatest(found_start, true_start) + 1, 0) / (greatest(found_end, true_end) - least(found_start, true_start) + 1) AS iou FROM found JOIN true_ USING (user_id) WHERE abs(found_peak - true_peak) <= 10),
+    e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY iou DESC, found_id, true_id) AS k FROM near WHERE iou >= 0.1),
+    walk AS (
+        SELECT user_id, 0::BIGINT AS k, []::BIGINT[] AS f, []::BIGINT[] AS t, NULL::BIGINT AS found_id, NULL::BIGINT AS true_id, NULL::DOUBLE AS iou, false AS ok FROM (SELECT DISTINCT user_id FROM e)
+        UNION ALL
+        SELECT user_id, e.k, CASE WHEN free THEN list_append(f, e.found_id) ELSE f END, CASE WHEN free THEN list_append(t, e.true_id) ELSE t END, e.found_id, e.true_id, e.iou, free
+        FROM (SELECT w.user_id, w.f, w.t, w.k, NOT list_contains(w.f, e.found_id) AND NOT list_contains(w.t, e.true_id) AS free FROM walk w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1) n JOIN e USING (user_id) WHERE e.k = n.k + 1)
+    SELECT user_id, found_id, true_id, round(iou, 6) + 0.0 AS iou FROM walk WHERE ok""")
+def lag_match(spark, sf_dir):
+    """Objects of one lag matched with those of another: chains of candidates."""
+    span = lambda lag, name: table(spark, sf_dir, lag=lag).select(G, F.col("oscillation_id").alias(f"{name}_id"), *(F.col(f"{c}_index").alias(f"{name}_{c}") for c in ("start", "peak", "end")))
+    return rounded(intervals.match(span(3, "found"), span(2, "true"), [G], least_iou=0.1).select(G, "found_id", "true_id", "iou"))
+
+
 @query("interval_iou_match", f"WITH {oracle.waves(2)}{oracle.objects()} SELECT user_id, oscillation_id AS found_id, oscillation_id AS true_id, round((end_index - start_index) / (end_index - start_index + 2), 6) + 0.0 AS iou FROM obj WHERE (end_index - start_index) / (end_index - start_index + 2) > 0.5")
 def iou_match(spark, sf_dir):
     t = table(spark, sf_dir)
@@ -476,6 +512,9 @@ def bootstrap(spark, sf_dir):
     return rounded(analytics.bootstrap(analytics.paired_differences(areas, []), ["representation"], 1000), 3)
 
 
+query("bootstrap_interval_large", _DRAWS)(lambda s, d: rounded(analytics.bootstrap(analytics.paired_differences(analytics.curve_areas(curves(s, d), ["representation", "seed"]), []), ["representation"], 1000, large=True), 3))
+
+
 # ---- causal features ----
 
 _CAUSAL = f"""WITH base AS (SELECT *, row_number() OVER w - 1 AS t, x - lag(x) OVER w AS st, lag(x) OVER w AS last FROM ({EVENTS}) WINDOW w AS {_W}),
