@@ -37,8 +37,7 @@ def test_numbers_go_on_over_ranges(spark, samples):
     assert blocks.numbered(samples.limit(0), ["o"], ["g"]).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 1000])
-@pytest.mark.parametrize("group", [None, "g"])
+@pytest.mark.parametrize(("n", "group"), [(1, "g"), (7, None), (7, "g")])
 def test_scans_are_windows(samples, n, group):
     d = samples.withColumn("y", F.when(F.col("o") % 4 == 0, F.col("x"))).withColumn("part", F.col("x") > 2)
     f = OrderedFrame.of(d, ["o", "g", "x"], group)
@@ -63,8 +62,7 @@ def test_scans_refuse_other_kinds(samples):
         blocks.cut(f, 0)
 
 
-@pytest.mark.parametrize("block", [1, 2, 5, 64])
-@pytest.mark.parametrize("eps", [0.0, 1.0])
+@pytest.mark.parametrize(("block", "eps"), [(1, 1.0), (2, 0.0), (5, 0.0), (64, 1.0)])
 def test_causal_features_in_blocks(samples, block, eps):
     want = causal.causal_features(samples, "x", "o", "g", eps)
     got = causal.causal_features(samples, "x", "o", "g", eps, block)
@@ -84,7 +82,7 @@ def test_causal_features_of_a_table_in_blocks_are_the_encoder_s(samples):
 
 
 # values and thresholds of which sums are exact: of others, running sums differ in their last bits
-@pytest.mark.parametrize("threshold", ["min", "median", "last", "sum", 1.5, "o", {"x": "max"}])
+@pytest.mark.parametrize("threshold", ["median", "last", 1.5, {"x": "max"}])
 def test_accumulations_in_blocks(samples, threshold):
     whole = samples.where("g IS NOT NULL")
     a = Accumulation("x", "o", "g", threshold)

@@ -98,23 +98,44 @@ def unpivoted(objects: DataFrame, keys: Sequence[str], properties: Sequence[str]
 def characterize_regimes(objects: DataFrame, properties: Sequence[str] = OBJECT_PROPERTIES) -> DataFrame:
     """Per fault, run, response regime and property against the run's own pre_injection: counts, medians, difference,
     ratio (null over 0), direction (a missing difference is unchanged) and Cliff's delta. Runs lacking either side have
-    no row."""
-    keys = [FAULT, RUN, "property"]
-    long = unpivoted(objects.where(F.col("regime").isin(*REGIMES)), [FAULT, RUN, "regime"], properties)
-    medians = long.groupBy(FAULT, RUN, "regime", "property").agg(F.count("value").alias("n"), F.median("value").alias("median"))
-    base = medians.where(F.col("regime") == REGIMES[0]).select(*keys, F.col("n").alias("baseline_count"), F.col("median").alias("baseline_median"))
-    other = medians.where(F.col("regime") != REGIMES[0]).select(*keys, "regime", F.col("n").alias("regime_count"), F.col("median").alias("regime_median"))
-    # each response regime's rows with the baseline's, for the effect size
-    sides = long.withColumn("_for", F.explode(F.when(F.col("regime") == REGIMES[0], F.array(*map(F.lit, REGIMES[1:]))).otherwise(F.array("regime"))))
-    delta = cliffs_delta(sides.withColumn("_side", F.col("regime") != REGIMES[0]), "value", "_side", [FAULT, RUN, "_for", "property"]).withColumnRenamed("_for", "regime")
-    both = other.join(base, keys).join(delta, [*keys, "regime"], "left")
-    difference = F.col("regime_median") - F.col("baseline_median")
+    no row. Null and NaN values aren't counted.
+
+    Objects are read once: distinct values are counted by regime, and one running count of these over a run's property
+    gives medians and mid-ranks of all regimes."""
+    keys, base = [FAULT, RUN, "property"], REGIMES[0]
+    long = unpivoted(objects.where(F.col("regime").isin(*REGIMES)), [FAULT, RUN, "regime"], properties).withColumn("value", F.nanvl("value", F.lit(None)))
+    n = {r: F.col(f"_n_{r}") for r in REGIMES}
+    counted = long.groupBy(*keys, "value").agg(*(F.count_if(F.col("regime") == r).alias(f"_rows_{r}") for r in REGIMES))
+    counted = counted.withColumns({f"_n_{r}": F.when(F.col("value").isNotNull(), F.col(f"_rows_{r}")).otherwise(0) for r in REGIMES})
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumns({f"_upto_{r}": F.sum(n[r]).over(upto) for r in REGIMES} | {f"_all_{r}": F.sum(n[r]).over(whole) for r in REGIMES})
+
+    def at(r: str, place: Column) -> Column:
+        """The value in a place, from 0, of a regime's values in order."""
+        return F.max(F.when((F.col(f"_upto_{r}") > place) & (F.col(f"_upto_{r}") - n[r] <= place), F.col("value")))
+
+    def median(r: str) -> Column:
+        last = F.col(f"_all_{r}") - 1
+        return (0.5 * at(r, F.floor(last / 2)) + 0.5 * at(r, F.ceil(last / 2))).alias(f"_median_{r}")
+
+    def wins(r: str) -> Column:
+        """Twice the pairs in which the regime's value is greater than the baseline's, and ties once, over all pairs."""
+        below = F.col(f"_upto_{base}") - n[base]
+        return F.sum(n[r] * (2 * below + n[base])).alias(f"_wins_{r}")
+
+    made = counted.groupBy(*keys).agg(
+        *(F.sum(f"_rows_{r}").alias(f"_rows_{r}") for r in REGIMES), *(F.sum(n[r]).alias(f"_n_{r}") for r in REGIMES), *map(median, REGIMES), *map(wins, REGIMES[1:])
+    )
+    each = F.array(*(F.struct(F.lit(r).alias("regime"), F.col(f"_rows_{r}").alias("rows"), n[r].alias("regime_count"), F.col(f"_median_{r}").alias("regime_median"), F.col(f"_wins_{r}").alias("wins")) for r in REGIMES[1:]))
+    both = made.where(F.col(f"_rows_{base}") > 0).select(*keys, n[base].alias("baseline_count"), F.col(f"_median_{base}").alias("baseline_median"), F.inline(each)).where("rows > 0")
+    difference, pairs = F.col("regime_median") - F.col("baseline_median"), F.col("regime_count") * F.col("baseline_count")
     return both.select(
         FAULT, RUN, "regime", "property", "baseline_count", "regime_count", "baseline_median", "regime_median",
         difference.alias("median_difference"),
         F.when(F.col("baseline_median") != 0, F.col("regime_median") / F.col("baseline_median")).alias("median_ratio"),
         F.when(difference > 0, "increase").when(difference < 0, "decrease").otherwise("unchanged").alias("direction"),
-        "cliffs_delta",
+        F.when(pairs > 0, (F.col("wins") - pairs) / pairs).alias("cliffs_delta"),
     )
 
 
