@@ -3,7 +3,6 @@ downloads to this machine."""
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undula.sources.names import PROCESS, RESPIRATION
+from undula.sources.workbooks import checked_workbook, workbooks  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -93,8 +93,6 @@ SPELLINGS = {FAULTY: FAULTY, FAULT_FREE: FAULT_FREE, "fault_free_training": FAUL
 MODES, FAULTS, RUNS = range(1, 7), range(1, 22), range(1, 11)
 FAULTY_FILE, FAULT_FREE_FILE = "mode{mode}_{fault}_{run}.{suffix}", "mode{mode}_normal_50.{suffix}"
 FAULTY_FOLDER, FAULT_FREE_FOLDER = "simulations/mode_{mode}/faults", "simulations/mode_{mode}"
-# How an XLSX file begins, and how a file that only points to one in large-file storage does.
-XLSX_START, POINTER_START = b"PK\x03\x04", b"version https://git-lfs.github.com/spec/"
 
 
 def dataset_name(name: str) -> str:
@@ -133,14 +131,6 @@ def run_catalogue(spark: SparkSession, mode: int = 1, base: str = "", faults: Se
     return rows
 
 
-def checked_workbook(start: bytes, path: str) -> None:
-    """ValueError unless a file that begins so is a workbook."""
-    if start.startswith(POINTER_START):
-        raise ValueError(f"{path} is a pointer to a file in large-file storage, not the workbook itself")
-    if not start.startswith(XLSX_START):
-        raise ValueError(f"{path} is {'empty' if not start else 'no XLSX workbook'}")
-
-
 def snake(name: str) -> str:
     return re.sub(r"__+", "_", re.sub(r"[ .\-/\\]", "_", name.strip().lower())).strip("_")
 
@@ -157,18 +147,11 @@ def repaired_headers(df: DataFrame) -> DataFrame:
 
 
 def process_run(spark: SparkSession, path: str, fault: int, run: int, dataset: str = FAULTY) -> DataFrame:
-    """One run from CSV or Parquet, or from XLSX where pandas can read it, under plain names with its keys."""
+    """One run from CSV, Parquet or XLSX, under plain names with its keys."""
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
     elif path.endswith(".xlsx"):
-        try:
-            import openpyxl  # noqa: F401
-            import pandas as pd
-        except ImportError as missing:
-            raise RuntimeError("reading XLSX needs openpyxl; give CSV or Parquet") from missing
-        content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])  # from any store; some MB
-        checked_workbook(content[:256], path)
-        df = spark.createDataFrame(pd.read_excel(io.BytesIO(content)))  # a run has a few thousand rows
+        df = workbooks(spark, [path]).drop("path")
     else:
         df = spark.read.csv(path, header=True, inferSchema=True)
     free = dataset_name(dataset) == FAULT_FREE
@@ -176,6 +159,19 @@ def process_run(spark: SparkSession, path: str, fault: int, run: int, dataset: s
     return df.withColumns({"fault_number": F.lit(0 if free else fault).cast("long"), "simulation_run": F.lit(run).cast("long")})
 
 
+def process_runs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Faulty runs from many XLSX workbooks in one read, under plain names; fault and run are those of the files' names, and
+    a file of another name is an error."""
+    shape = re.compile(FAULTY_FILE.format(mode=r"\d+", fault=r"(\d+)", run=r"(\d+)", suffix="xlsx").replace(".", r"\."))
+    for p in paths:
+        if not shape.fullmatch(p.rpartition("/")[2]):
+            raise ValueError(f"{p} doesn't name a fault and a run")
+    df = workbooks(spark, paths).withColumnRenamed("path", "_path")
+    df = standard_columns(stripped(df)).withColumnsRenamed(PROCESS)
+    number = lambda k: F.regexp_extract("path", shape.pattern + "$", k).cast("long")
+    return df.withColumns({"fault_number": number(1), "simulation_run": number(2)}).drop("path")
+
+
 def save(df: DataFrame, path: str, overwrite: bool = False) -> str:
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
     return path
