@@ -50,18 +50,23 @@ _RHYTHM = f"""
 
 
 def job2_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples, each with its day's report beside it."""
     folder = scratch.scratch(spark, "monitor")
     for _ in range(2):  # the second finds nothing new
-        monitor.run(spark, f"{sf_dir}/events.parque[t]", f"{folder}/table", f"{folder}/checkpoint")
+        monitor.run(spark, f"{sf_dir}/events.parque[t]", f"{folder}/output", f"{folder}/checkpoint")
     real = ("displacement_from_extremum", "running_amplitude", "running_signed_area", "previous_phase_amplitude", "previous_cycle_amplitude")
-    return monitor.table(spark, f"{folder}/table").select("key", "sample", "day", "alarm", *((F.col(f) + F.lit(0.0)).alias(f) if f in real else F.col(f).cast("long").alias(f) for f in FEATURES))
+    features = ((F.col(f) + F.lit(0.0)).alias(f) if f in real else F.col(f).cast("long").alias(f) for f in FEATURES)
+    report = monitor.report_at(spark, f"{folder}/output").withColumnsRenamed({c: f"day_{c}" for c in ("samples", "alarms", "reversals", "greatest_swing", "first_alarm")})
+    return monitor.samples_at(spark, f"{folder}/output").select("key", "sample", "day", "alarm", *features).join(report, ["key", "day"], "full")
 
 
 _MONITOR = f"""
     WITH features AS ({catalogue.ORACLE["causal_features"]}),
-    due AS (SELECT *, epoch_us(ts) <= (max(epoch_us(ts)) OVER () // 1000 - 3600000) * 1000 AS out FROM events)
-    SELECT user_id::VARCHAR AS key, event_id AS sample, strftime(ts, '%Y-%m-%d') AS day, running_amplitude > 30000 AS alarm, {", ".join(FEATURES)}
-    FROM features JOIN due USING (user_id, event_id) WHERE out"""
+    due AS (SELECT *, epoch_us(ts) <= (max(epoch_us(ts)) OVER () // 1000 - 3600000) * 1000 AS out FROM events),
+    s AS (SELECT user_id::VARCHAR AS key, event_id AS sample, strftime(ts, '%Y-%m-%d') AS day, running_amplitude > 30000 AS alarm, {", ".join(FEATURES)} FROM features JOIN due USING (user_id, event_id) WHERE out)
+    SELECT *, count(*) OVER d AS day_samples, count(*) FILTER (alarm) OVER d AS day_alarms, (sum(reversal) OVER d)::BIGINT AS day_reversals,
+           max(running_amplitude) OVER d AS day_greatest_swing, min(CASE WHEN alarm THEN sample END) OVER d AS day_first_alarm
+    FROM s WINDOW d AS (PARTITION BY key, day)"""
 
 
 QUERIES = {"job1_text_rhythm": job1_text_rhythm, "job2_monitor": job2_monitor}

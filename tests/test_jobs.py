@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import common, monitor, queries, text_rhythm
+from undula.sources import scratch
 from undula.streaming.causal import FEATURES, Encoder
 
 HERE = Path(__file__).resolve().parent.parent
@@ -95,20 +96,38 @@ def expected(rows, upto):
 
 
 def found(spark, path):
-    return {(r.key, r["sample"]): tuple(r[f] for f in FEATURES) for r in monitor.table(spark, path).collect()}
+    return {(r.key, r["sample"]): tuple(r[f] for f in FEATURES) for r in monitor.samples_at(spark, path).collect()}
+
+
+def summed(spark, path):
+    out = {}
+    for r in monitor.samples_at(spark, path).collect():
+        own = out.setdefault((r.key, r.day), [0, 0, 0, 0.0, None])
+        own[:4] = own[0] + 1, own[1] + r.alarm, own[2] + int(r.reversal), max(own[3], r.running_amplitude)
+        if r.alarm:
+            own[4] = r["sample"] if own[4] is None else min(own[4], r["sample"])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def reported(spark, path):
+    return {(r.key, r.day): (r.samples, r.alarms, r.reversals, r.greatest_swing, r.first_alarm) for r in monitor.report_at(spark, path).collect()}
+
+
+def report_files(folder, day):
+    return sorted(str(p) for p in (folder / "out" / "report").rglob("*.parquet") if day in str(p))
 
 
 def test_growing_and_late_samples(spark, tmp_path):
-    """Three runs over a folder that grows, then one over the same files. Samples late by less than the delay, in later files,
+    """Four runs over a folder that grows, then one over the same files. Samples late by less than the delay, in later files,
     take their place; one late by more is dropped."""
     rows = samples(240)
     events, out, state = f"{tmp_path}/events", f"{tmp_path}/out", f"{tmp_path}/state"
     late = [r for k, r in enumerate(rows[:150]) if k % 5 == 4]
-    parts = [[r for r in rows[:80] if r not in late[-40:] or r[0] < 76], [], []]
+    parts = [[r for r in rows[:80] if r not in late[-40:] or r[0] < 76], [], [], rows[225:]]
     held = [r for r in rows[:80] if r not in parts[0]]
     parts[1] = sorted([*held, *rows[80:160]], key=lambda r: random.Random(r[0]).random())
     lost = (9000, START + timedelta(minutes=1), 1, 5.0)
-    parts[2] = [*rows[160:], lost]
+    parts[2] = [*rows[160:225], lost]
     taken = []
     for k, part in enumerate(parts):
         spark.createDataFrame(part, SAMPLES).coalesce(1).write.mode("append").parquet(events)
@@ -117,13 +136,22 @@ def test_growing_and_late_samples(spark, tmp_path):
         upto = max(r[1] for r in taken) - timedelta(hours=1)
         kept = [r for r in taken if r != lost]
         assert got["read"] == len(part) and found(spark, out) == expected(kept, upto), k
-        assert got["rows"] == len(expected(kept, upto))
-    before = sorted(map(str, monitor.table(spark, out).collect()))
-    assert monitor.run(spark, events, out, state)["read"] == 0 and sorted(map(str, monitor.table(spark, out).collect())) == before
+        assert got["rows"] == len(expected(kept, upto)) and reported(spark, out) == summed(spark, out)
+        if k == 2:
+            first_day = report_files(tmp_path, "2024-03-01")
+    # the last file has samples of the second day alone, so the first one's report isn't written again
+    assert got["days"] == 1 and report_files(tmp_path, "2024-03-01") == first_day
+    state_of = lambda: (plain(monitor.samples_at(spark, out).collect()), plain(monitor.report_at(spark, out).collect()))
+    before, files = state_of(), report_files(tmp_path, "")
+    again = monitor.run(spark, events, out, state)
+    assert (again["read"], again["days"]) == (0, 0) and state_of() == before and report_files(tmp_path, "") == files
+    # a run that ended before its report was made
+    scratch.remove(spark, f"{out}/report/day=2024-03-01")
+    assert monitor.run(spark, events, out, state)["days"] == 1 and state_of() == before
     assert held  # some came late
-    days = monitor.table(spark, out).select("day", F.date_format("time", "yyyy-MM-dd").alias("of")).distinct().collect()
+    days = monitor.samples_at(spark, out).select("day", F.date_format("time", "yyyy-MM-dd").alias("of")).distinct().collect()
     assert len(days) == 2 and all(r.day == r.of for r in days)
-    assert all(r.alarm == (r.running_amplitude > 30000) for r in monitor.table(spark, out).collect())
+    assert all(r.alarm == (r.running_amplitude > 30000) for r in monitor.samples_at(spark, out).collect())
 
 
 def test_many_triggers_are_one(spark, tmp_path):
@@ -143,7 +171,7 @@ def test_samples_that_say_nothing(spark, tmp_path):
     assert monitor.run(spark, f"{tmp_path}/events", f"{tmp_path}/out", f"{tmp_path}/c")["rows"] == 2
     assert found(spark, f"{tmp_path}/out") == expected([r for r in rows[4:6]], START)
     spark.createDataFrame([], SAMPLES).write.parquet(f"{tmp_path}/none")
-    assert monitor.run(spark, f"{tmp_path}/none", f"{tmp_path}/out2", f"{tmp_path}/c2") == {"read": 0, "rows": 0, "alarms": 0}
+    assert monitor.run(spark, f"{tmp_path}/none", f"{tmp_path}/out2", f"{tmp_path}/c2") == {"read": 0, "rows": 0, "alarms": 0, "days": 0}
 
 
 # ---- command lines and config files ----
