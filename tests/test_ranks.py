@@ -129,3 +129,12 @@ def test_regressions_of_all_groups_at_once(spark):
 def test_one_class_cannot_be_fitted(spark):
     with pytest.raises(ValueError, match="either class"):
         newton.fit(spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.7)], "g int, t int, a double"), "g", ["t"], {"x": ["a"]})
+
+
+def test_lists_in_parts(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)])) for _ in range(400)]
+    got = measures.listed(spark.createDataFrame(rows, "k string, v int"), ["k"], "v", 7).orderBy("part").collect()
+    assert all(len(r["values"]) == r.n <= 7 for r in got)
+    for key in ("a", "b", None):
+        assert [v for r in got if r.k == key for v in r["values"]] == sorted({v for k, v in rows if k == key and v is not None})

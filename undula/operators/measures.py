@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.operators import ranks
+from undula.operators import blocks, ranks
 from undula.operators.frame import names
 
 OPERATIONS: dict[str, Callable[[Column], Column]] = {
@@ -46,6 +46,14 @@ def group_map(df: DataFrame, signal: str, op: str, group: str, name: str, offset
     return df.join(per.withColumn(name, value), keys, "left").select(*df.columns, name)
 
 
+def listed(df: DataFrame, keys: Sequence[str], value: str, most: int = 1000) -> DataFrame:
+    """keys, part, values and n: the distinct values of each group, in order, in lists of at most `most`, so that no row
+    grows with its group. A group's lists one after another, by part from 0, are its values. Nulls aren't listed."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    placed = blocks.numbered(rows, [value], list(keys), "_at").withColumn("part", F.floor(F.col("_at") / F.lit(most)))
+    return placed.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(value)).alias("values"), F.count("*").alias("n"))
+
+
 @dataclass(frozen=True)
 class OperatorRecord:
     """A named builder of columns; apply() checks that it keeps the number of rows where it says so."""

@@ -607,6 +607,13 @@ def lists(spark, sf_dir):
     return e.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("u")), ",").alias("users"), F.count("*").alias("n"))
 
 
+@query("collected_parts", "SELECT event_type, part, string_agg(u, ',' ORDER BY u) AS users, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY u) - 1) // 50 AS part FROM (SELECT DISTINCT event_type, user_id::VARCHAR AS u FROM events WHERE user_id IS NOT NULL)) GROUP BY 1, 2")
+def parts(spark, sf_dir):
+    """As collected_lists, in rows of at most 50 users, whatever their number."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col(G).cast("string").alias("u"))
+    return measures.listed(e, ["event_type"], "u", 50).select("event_type", "part", F.array_join("values", ",").alias("users"), "n")
+
+
 @query("collected_types", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(DISTINCT event_type) AS n FROM events GROUP BY 1")
 def types(spark, sf_dir):
     """The event types of each user: lists of all events, bounded by the number of types."""
