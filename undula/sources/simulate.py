@@ -31,7 +31,7 @@ MOUNTAINCAR = (
 def _checked(**values) -> None:
     for name, v in values.items():
         if isinstance(v, bool) or not isinstance(v, int):
-            raise TypeError(f"{name} must be an integer")
+            raise TypeError(f"{name}: a whole number is needed, not {v!r}")
         if v < (0 if name == "seed" else 1):
             raise ValueError(f"{name} is too small")
 
