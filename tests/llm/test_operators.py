@@ -322,6 +322,34 @@ def test_decontamination(spark):
     assert [r.text[s.start : s.end] for s in r.spans] == ["RARE-word", "Zeta... eta"]
 
 
+def test_contamination_common_openings():
+    opening = "which of the following is the best answer to question"
+    rng = random.Random(9)
+    items = [(str(k), f"{opening} {k} {' '.join(rng.choice('abcdef') for _ in range(k % 9))}".split()) for k in range(600)]
+    items = [(k, [w.encode() for w in own]) for k, own in items]
+    text = " and ".join(f"{opening} {k} a b c d e f" for k in (3, 3, 17, 602)) + " so " + b" ".join(items[8][1]).decode() + " " + opening
+    matcher = decontaminate.Matcher(items, 13)
+    own = decontaminate.words(text.encode())
+    covered, names = matcher.matches(own)
+    hits, expected = set(), set()
+    for k, item in items:
+        size = min(13, len(item))
+        windows = {tuple(item[a : a + size]) for a in range(len(item) - size + 1)}
+        for a in range(len(own) - size + 1):
+            if tuple(own[a : a + size]) in windows:
+                hits |= set(range(a, a + size))
+                expected.add(k)
+    assert expected and names == expected
+    assert {x for a, b in covered for x in range(a, b)} == hits
+    # however many items begin alike, a place is compared with one window at most
+    same = [(str(k), opening.split() + ["x", "y", "z", "end", str(k)]) for k in range(1000)]
+    windows = decontaminate.Matcher([(k, [w.encode() for w in own]) for k, own in same], 13).windows
+    assert len(windows.hashes) == 2 + 1000 and sorted(np.diff(windows.bounds))[-2:] == [1000, 1000]
+    # arrangements of the same words aren't taken for one another
+    swapped = decontaminate.Matcher([("a", [b"x", b"x", b"y"]), ("b", [b"y", b"y", b"x"])], 3)
+    assert swapped.matches([b"x", b"x", b"y", b"q"]) == ([(0, 3)], {"a"}) and len(swapped.windows.hashes) == 2
+
+
 def test_empty_benchmark(spark, odd):
     rows = decontaminate.scan(odd.select("doc_id", "text"), spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(rows) == len(ODD) and not any(r.n_hit or r.contaminated for r in rows)

@@ -4,11 +4,12 @@ Texts are normalised byte by byte: A-Z in lower case, every other ASCII byte but
 other characters kept. Each word that the benchmark has becomes a few symbols of a small alphabet, another one for each
 place, so that matches are of whole words and no node has many branches.
 
-The automaton's patterns are an item's blocks of half a window (7 words of 13), one after another. Every window holds a
-whole block, so where a block is found, the words around it in the text and in the item are compared, and the windows
-that occur are known exactly, at three nodes of the automaton for each word of the benchmark. Items shorter than a
-window are patterns of their own. A text is scanned once; where there are matches, the words' places are mapped back to
-offsets in the original text.
+The automaton's patterns are an item's blocks of half a window (7 words of 13), one after another, at three nodes for
+each word of the benchmark. Every window holds a whole block, so where a block is found, the few windows of the text
+around it are looked up among the items' windows, each of which stands once, with all items that have it, in an array
+sorted by hash; what is found is compared word by word. So a block that very many items share costs a text no more than
+another. Items shorter than a window are patterns of their own. A text is scanned once; where there are matches, the
+words' places are mapped back to offsets in the original text.
 """
 
 from __future__ import annotations
@@ -76,62 +77,133 @@ def symbols(vocabulary: int) -> Iterator[str]:
     return map("".join, product(*digits))
 
 
+def _numbers(line: str, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a line of symbols starts, and its number, from 1 on; 0: a word that the benchmark lacks."""
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
+    starts = np.flatnonzero(codes <= ALPHABET)  # symbols of other places than a word's first are beyond that
+    known = np.flatnonzero(codes[starts])
+    numbers = np.zeros(len(starts), np.int64)
+    for k in range(places):
+        numbers[known] = numbers[known] * ALPHABET + codes[starts[known] + k] - 1 - k * ALPHABET
+    numbers[known] += 1
+    return starts, numbers
+
+
+class Windows:
+    """The distinct windows of items, each once, by its hash, with the items that have it."""
+
+    def __init__(self, items: list[np.ndarray], window: int):
+        self.each = np.arange(window)
+        self.flat = np.concatenate([np.zeros(0, np.int64), *items])
+        sizes = np.array([max(0, len(x) - window + 1) for x in items], np.int64)
+        begins = np.cumsum([0, *map(len, items)])[:-1]
+        owner = np.repeat(np.arange(len(items)), sizes)
+        at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(len(owner))
+        for seed in range(64):
+            self.factors = np.random.default_rng(seed).integers(0, 1 << 64, window, np.uint64) | np.uint64(1)
+            hashes = self._hashes(self.flat, at)
+            order = np.argsort(hashes, kind="stable")
+            hashes, places = hashes[order], at[order]
+            change = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), hashes[1:] != hashes[:-1])))
+            if self._alike(places, np.repeat(places[change], np.diff([*change, len(at)]))):
+                break
+        else:
+            raise RuntimeError("hashes don't tell the benchmark's windows apart")
+        self.hashes, self.sample = hashes[change], places[change]
+        self.owner, self.bounds = owner[order], np.append(change, len(at))
+
+    def _hashes(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows of numbers that start at `at`."""
+        mixed = numbers.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(32)
+        out = np.zeros(len(at), np.uint64)
+        for k, factor in enumerate(self.factors):
+            out += mixed[at + k] * factor
+        return out
+
+    def _alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        return all((self.flat[a + k] == self.flat[b + k]).all() for k in self.each)
+
+    def found(self, numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places `at` of a text those whose window an item has, and these windows."""
+        if not len(at) or not len(self.hashes):
+            return at[:0], at[:0]
+        hashes = self._hashes(numbers, at)
+        window = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = np.flatnonzero(self.hashes[window] == hashes)
+        at, window = at[same], window[same]
+        for k in self.each:  # and word by word
+            same = np.flatnonzero(numbers[at + k] == self.flat[self.sample[window] + k])
+            at, window = at[same], window[same]
+        return at, window
+
+    def owners(self, windows: np.ndarray) -> np.ndarray:
+        """The items that have any of the windows."""
+        own = [self.owner[self.bounds[w] : self.bounds[w + 1]] for w in np.unique(windows)]
+        return np.unique(np.concatenate(own)) if own else windows[:0]
+
+
 class Matcher:
-    """The automaton of some items, and what it takes to tell windows from blocks."""
+    """The automaton of some items, and their windows."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         import ahocorasick
 
         self.window, self.block = window, (window + 1) // 2
-        self.items = [(item_id, own) for item_id, own in items if own]
-        vocabulary = dict.fromkeys(w for _, own in self.items for w in own)
+        items = [(item_id, own) for item_id, own in items if own]
+        vocabulary = dict.fromkeys(w for _, own in items for w in own)
         self.symbols = dict(zip(vocabulary, symbols(len(vocabulary)), strict=False))
         self.places = len(next(iter(self.symbols.values()), ""))
-        found: dict[str, list[tuple[int, int]]] = {}
-        self.automaton = ahocorasick.Automaton()
-        for k, (_, own) in enumerate(self.items):
-            size = self.block if len(own) >= window else len(own)
+        #: of each pattern: words, whether it is a block of a window, and the items which it is the whole of
+        patterns: dict[str, tuple[int, bool, list[str]]] = {}
+        long: list[np.ndarray] = []
+        self.names: list[str] = []
+        for item_id, own in items:
+            whole = len(own) < window
+            size = len(own) if whole else self.block
             for at in range(0, len(own) - size + 1, size):
                 pattern = "".join([self.symbols[w] for w in own[at : at + size]])
-                if pattern not in found:
-                    self.automaton.add_word(pattern, (size, found.setdefault(pattern, [])))
-                found[pattern].append((k, at))
-        if found:
+                _, block, names = patterns.get(pattern, (size, False, []))
+                patterns[pattern] = (size, block or not whole, [*names, item_id] if whole and item_id not in names else names)
+            if not whole:
+                long.append(_numbers("".join([self.symbols[w] for w in own]), self.places)[1])
+                self.names.append(item_id)
+        self.windows = Windows(long, window)
+        self.automaton = ahocorasick.Automaton()
+        for pattern, value in patterns.items():
+            self.automaton.add_word(pattern, value)
+        if patterns:
             self.automaton.make_automaton()
 
     def matches(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Runs of words (first, end) that windows cover, and the items whose windows occur."""
-        if not own or not self.items:
+        if not own or not self.symbols:
             return [], set()
         line = "".join(map(self.symbols.get, own, repeat("\0")))
         found = list(self.automaton.iter(line))
         if not found:
             return [], set()
-        # a word of the benchmark is `places` characters of the line, another one
-        ends = np.cumsum([self.places if w in self.symbols else 1 for w in own]) - 1
+        starts, numbers = _numbers(line, self.places)
+        ends = np.searchsorted(starts, [last for last, _ in found], "right")
         edge = np.zeros(len(own) + 1, np.int64)
         names: set[str] = set()
-        for last, (size, at) in found:
-            end = int(np.searchsorted(ends, last)) + 1
-            for k, place in at:
-                item_id, item = self.items[k]
-                left, right = self._around(own, end - size, end, item, place, place + size)
-                if right - left >= min(self.window, len(item)):
-                    edge[left] += 1
-                    edge[right] -= 1
-                    names.add(item_id)
+        for end, (_, (size, _, whole)) in zip(ends.tolist(), found, strict=True):
+            if whole:
+                edge[end - size] += 1
+                edge[end] -= 1
+                names.update(whole)
+        blocks = ends[[block for _, (_, block, _) in found]]
+        near = np.zeros(len(own) + 1, np.int64)  # places where a window that holds a block may start
+        np.add.at(near, np.maximum(blocks - self.window, 0), 1)
+        np.add.at(near, blocks - self.block + 1, -1)
+        at = np.flatnonzero(np.cumsum(near)[: max(0, len(own) - self.window + 1)])
+        at, windows = self.windows.found(numbers, at)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + self.window, -1)
+        names.update(self.names[k] for k in self.windows.owners(windows).tolist())
         return runs(np.cumsum(edge)[:-1] > 0), names
 
-    def _around(self, own: list[bytes], start: int, end: int, item: list[bytes], first: int, last: int) -> tuple[int, int]:
-        """How far own[start:end], which is item[first:last], goes on alike within a window that holds it."""
-        most = self.window - (end - start)
-        left, right = start, end
-        while left and start - left < most and first - (start - left) and own[left - 1] == item[first - (start - left) - 1]:
-            left -= 1
-        while right < len(own) and right - end < most and last + (right - end) < len(item) and own[right] == item[last + (right - end)]:
-            right += 1
-        return left, right
-
 
 def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     change = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
