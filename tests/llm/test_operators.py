@@ -630,6 +630,41 @@ def test_names_after_capitalised_words():
     assert len(found) == 2 and len({text[e["start"] : e["end"]] for e in found}) == 1 and "Anna" not in text and text.startswith("Contact ")
 
 
+def test_a_name_is_the_same_wherever_it_stands(spark):
+    c = surrogates.Cipher(b"k")
+    labelled = [
+        ("Anna Smith met Ms Smith; Anna left.", ["Anna Smith", "Smith", "Anna"]), ("Dr Jones and Peter Jones. Jones's car", ["Jones", "Peter Jones", "Jones"]),
+        ("Mary O'Brien and Mary-Jane Watson saw O'Brien", ["Mary O'Brien", "Mary-Jane Watson", "O'Brien"]), ("Frau Müller-Lüdenscheidt, Anna Smith's aunt", ["Müller-Lüdenscheidt", "Anna Smith"]),
+        ("Miss The said the man. The end", ["The"]), ("no name: Smith and Anna", []), ("Mail anna@x.org, Anna Smith. Smith", ["anna@x.org", "Anna Smith", "Smith"]),
+    ]
+    parts = {}
+    for text, expected in labelled:
+        assert [text[a:b] for a, b, _ in surrogates.mentions(text)] == expected
+        new, found = surrogates.replace(text, c, {})
+        for old, e in zip(expected, found, strict=True):
+            made = new[e["start"] : e["end"]]
+            assert made != old and len(made.split(" ")) == len(old.split(" "))
+            for a, b in zip(old.split(" "), made.split(" "), strict=True):
+                parts.setdefault(a, set()).add(b)
+    assert all(len(x) == 1 for x in parts.values()) and len(set.union(*parts.values())) == len(parts)
+    # so it is with attempts, of which a surname's holds in all its places
+    rows = [(k, f"Anna {x[3:]} met {x}. Then {x[3:]} left") for k, x in enumerate(random.Random(3).sample(NAMES, 40))]
+    d = spark.createDataFrame(rows, DOCS).coalesce(1)
+    assert surrogates.settle(d, b"k")[0].count() > 3
+    made = [re.fullmatch(r"(\w+) (\w+) met Mr (\w+)\. Then (\w+) left", r.text).groups() for r in surrogates.anonymise(d, b"k").collect()]
+    assert all(a != "Anna" and x == y == z for a, x, y, z in made) and len({x for _, x, _, _ in made}) == 40
+    assert not {x for _, x, _, _ in made} & {t.split(" ")[1] for _, t in rows}
+
+
+def test_scratch_goes_when_settling_fails(spark, monkeypatch):
+    gone = []
+    monkeypatch.setattr(surrogates.shared, "remove", lambda _, path: gone.append(path))
+    monkeypatch.setattr(surrogates, "check", lambda found: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        surrogates.settle(spark.createDataFrame([(1, "ssn 078-05-1120")], DOCS), b"k")
+    assert len(gone) == 2
+
+
 def test_collisions_are_found(spark):
     d = spark.createDataFrame([(k, f"ssn 000-00-{k:04d}") for k in range(300)], DOCS)
     state = surrogates.entities(d, b"k").withColumn("attempt", F.lit(0))

@@ -12,8 +12,13 @@ layouts, or the same address in two cases, stays the same entity, each in its ow
     iban       account part by class; check digits made anew
     ssn, ip    digits; public addresses stay public, private ones in their network
     secret     access keys, and values given to password, token, key and the like: by class, hexadecimal as such
-    name       given names of the lists by a permutation of the list of that gender and script; other names letter by
-               letter, vowels by vowels and consonants by consonants of the script
+    name       word by word: given names of the lists by a permutation of the list of that gender and script; other
+               words letter by letter, vowels by vowels and consonants by consonants of the script, so a surname is
+               the same with a given name, after a title and alone
+
+Where a text holds a name, its words are replaced wherever else they stand alone in that text, but for those that the text
+also has in lower case, which are ordinary words. What is settled of a name are its words; given names of the lists are
+not, as many people share each.
 
 Every surrogate has its original's shape (shape()), and a permutation of a shape's values keeps entities distinct. Two
 things can still go wrong, and are looked for: a surrogate may equal some other entity's original, and entities that had
@@ -28,8 +33,10 @@ are settled; then it is removed. Attempts other than the first go to the workers
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
+import logging
 import re
 import secrets
 from collections.abc import Iterator
@@ -69,9 +76,14 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 _ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _VALUE = re.compile(rf"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, KEYWORDS))})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?([^\s\"',;]{{6,}})")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿ]"
+#: What goes on a name's word: O'Brien, Smith-Jones, but not Smith's.
+_MORE = rf"(?:['’\-]{_CAPITAL}[^\W\d_]+)*"
+_WORD = rf"(?:{_CAPITAL}['’])?{_CAPITAL}[^\W\d_]+{_MORE}"
 #: A capitalised word that another follows; the second may begin a match of its own.
-_PAIR = re.compile(r"(?<!\w)([^\W\d_a-zß-öø-ÿ][^\W\d_]+)(?=( [^\W\d_a-zß-öø-ÿ][^\W\d_]+)(?!\w))")
-_TITLED = re.compile(rf"(?<!\w)({'|'.join(t for x in TITLES.values() for t in x)})\.? (?=[^\W\d_a-zß-öø-ÿ])([^\W\d_]+(?: [^\W\d_a-zß-öø-ÿ][^\W\d_]+)?)")
+_PAIR = re.compile(rf"(?<!\w)({_CAPITAL}[^\W\d_]+(?:-{_CAPITAL}[^\W\d_]+)*)(?=( {_WORD})(?!\w))")
+_TITLED = re.compile(rf"(?<!\w)({'|'.join(t for x in TITLES.values() for t in x)})\.? (?={_CAPITAL})([^\W\d_]+{_MORE}(?: {_WORD})?)")
+_ALONE = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 _DATE = re.compile(r"(?:\d{4}([.\-/])\d{1,2}\1\d{1,2}|\d{1,2}([.\-/])\d{1,2}\2\d{4})(?!\d)")
 _GENDER = {name: key for key, names in GIVEN.items() for name in names}
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
@@ -135,10 +147,33 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     titled = list(_TITLED.finditer(left))
     for gender in TITLES:
         take([m.span(2) for m in titled if _TITLE[m.group(1)] == gender], "name:" + gender)
-    take([(m.start(), m.end(2)) for m in _PAIR.finditer(left) if m.group(1) in _GENDER and not m.group(2)[1].islower()], "name:any")
+    take([(m.start(), m.end(2)) for m in _PAIR.finditer(left) if _given(m.group(1)) and not m.group(2)[1].islower()], "name:any")
     return sorted(out)
 
 
+def _given(word: str) -> bool:
+    """A given name of the lists, alone or as the first or last of a double name."""
+    return word in _GENDER or ("-" in word and (word.split("-")[0] in _GENDER or word.rsplit("-", 1)[1] in _GENDER))
+
+
+def mentions(text: str) -> list[tuple[int, int, str]]:
+    """The entities of detect(), and the words of its names where they stand alone elsewhere in the text."""
+    found = detect(text)
+    known = {w for a, b, kind in found if kind.startswith("name") for w in text[a:b].split(" ") if len(w) > 1}
+    if not known:
+        return found
+    ordinary = set(re.findall(r"[^\W\d_]+", text))
+    known = {w for w in known if w == w.lower() or w.lower() not in ordinary}
+    starts = [a for a, _, _ in found]
+    more = []
+    for m in _ALONE.finditer(text):
+        if m.group() in known:
+            k = bisect.bisect_right(starts, m.start())
+            if (not k or found[k - 1][1] <= m.start()) and (k == len(found) or m.end() <= starts[k]):
+                more.append((*m.span(), "name:any"))
+    return sorted(found + more)
+
+
 # ---- surrogates ----
 
 
@@ -286,15 +321,32 @@ def surrogate(cipher: Cipher, value: str, kind: str, attempt: int = 0) -> str:
         head = 4 if _ACCESS.fullmatch(value) else 0
         classes = _HEX if set(value) <= _HEX.keys() else _BY_SCRIPT | _DIGITS
         return value[:head] + shaped(cipher, value[head:], classes, tweak + b"|" + value[:head].encode())
-    given, _, family = value.partition(" ")
-    if given in _GENDER:
-        names = GIVEN[_GENDER[given]]
-        made = names[cipher.step(names.index(given), len(names), tweak + repr(_GENDER[given]).encode())]
-    else:
-        made = shaped(cipher, given, _BY_SOUND, tweak + b"|given")
-        while made in _GENDER:
-            made = shaped(cipher, made, _BY_SOUND, tweak + b"|given")
-    return made + (" " + shaped(cipher, family, _BY_SOUND, tweak + b"|family") if family else "")
+    return " ".join(_name(cipher, word, tweak) for word in value.split(" "))
+
+
+def _name(cipher: Cipher, word: str, tweak: bytes) -> str:
+    """A name's word, the same wherever it stands; given names of the lists take no attempts."""
+    if word in _GENDER:
+        names = GIVEN[_GENDER[word]]
+        return names[cipher.step(names.index(word), len(names), b"name|" + repr(_GENDER[word]).encode())]
+    made = shaped(cipher, word, _BY_SOUND, tweak)
+    while made in _GENDER:
+        made = shaped(cipher, made, _BY_SOUND, tweak)
+    return made
+
+
+def settled_parts(value: str, kind: str) -> list[tuple[str, str]]:
+    """What of an entity is settled, with its kind: all of it, of a name its words but given names of the lists."""
+    return [(w, "name") for w in value.split(" ") if w not in _GENDER] if kind.startswith("name") else [(value, kind)]
+
+
+def _settled(cipher: Cipher, value: str, kind: str, attempts: dict[bytes, int]) -> str:
+    """The surrogate, with the attempts of what is settled of it."""
+    if not attempts:
+        return surrogate(cipher, value, kind)
+    if not kind.startswith("name"):
+        return surrogate(cipher, value, kind, attempts.get(token(cipher.key, value, kind), 0))
+    return " ".join(surrogate(cipher, w, "name", attempts.get(token(cipher.key, w, "name"), 0)) for w in value.split(" "))
 
 
 def token(key: bytes, value: str, kind: str) -> bytes:
@@ -304,7 +356,7 @@ def token(key: bytes, value: str, kind: str) -> bytes:
 
 def replace(text: str, cipher: Cipher, attempts: dict[bytes, int]) -> tuple[str, list[dict]]:
     """The text with surrogates, and of each its kind and code points in the new text."""
-    entities = detect(text)
+    entities = mentions(text)
     if not entities:
         return text, []
     parts: list[str] = []
@@ -312,8 +364,7 @@ def replace(text: str, cipher: Cipher, attempts: dict[bytes, int]) -> tuple[str,
     at = length = 0
     for start, end, kind in entities:
         value = text[start:end]
-        attempt = attempts.get(token(cipher.key, value, kind), 0) if attempts else 0
-        new = surrogate(cipher, value, kind, attempt)
+        new = _settled(cipher, value, kind, attempts)
         parts += [text[at:start], new]
         length += start - at
         out.append({"kind": kind.split(":")[0], "start": length, "end": length + len(new)})
@@ -332,17 +383,18 @@ IDLE = 8
 
 
 def entities(docs: DataFrame, key: bytes) -> DataFrame:
-    """token, kind, value (one of an entity's spellings), shape, of all entities of docs(text), each once."""
+    """token, kind, value (one of an entity's spellings), shape, of all that is settled of docs(text), each once."""
     shared.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[bytes, tuple[str, str, str]] = {}
             for text in batch.column("text").to_pylist():
-                for start, end, kind in detect(text) if text else ():
-                    name = token(key, text[start:end], kind)
-                    if name not in rows:
-                        rows[name] = (kind, text[start:end], shape(text[start:end], kind.split(":")[0]))
+                for start, end, whole in detect(text) if text else ():  # mentions have no other words
+                    for value, kind in settled_parts(text[start:end], whole):
+                        name = token(key, value, kind)
+                        if name not in rows:
+                            rows[name] = (kind, value, shape(value, kind))
             columns = [pa.array([v[k] for v in rows.values()], pa.string()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), *columns], names=["token", "kind", "value", "shape"])
 
@@ -376,15 +428,25 @@ def check(found: DataFrame) -> DataFrame:
 
 def settle(docs: DataFrame, key: bytes, idle: int = IDLE) -> tuple[DataFrame, int]:
     """The entities whose first surrogate won't do (token, attempt from 1 on), stored, and how many entities of closed
-    shapes have a surrogate that is another's original. Empty and 0 as a rule."""
-    spark = docs.sparkSession
+    shapes have a surrogate that is another's original. Empty and 0 as a rule. What is written in the clear on the way is
+    removed, whether this ends well or not."""
+    used: list[str] = []
+    try:
+        return _settle(docs, key, idle, used)
+    finally:
+        for path in used:
+            shared.remove(docs.sparkSession, path)
+
+
+def _settle(docs: DataFrame, key: bytes, idle: int, used: list[str]) -> tuple[DataFrame, int]:
     state, path = shared.stored_at(entities(docs, key).withColumns({"attempt": F.lit(0), "closed": F.lit(False)}), "entities")
-    used = [path]
+    used.append(path)
     fewest, since, closings = None, 0, 0
     while True:
         found, path = shared.stored_at(made(state, key), "surrogates")
-        again, again_path = shared.stored_at(check(found), "collisions")
-        used += [path, again_path]
+        used.append(path)
+        again, path = shared.stored_at(check(found), "collisions")
+        used.append(path)
         pending = found.join(again, "token").where("twice OR NOT closed")
         n = pending.count()
         if not n:
@@ -405,10 +467,7 @@ def settle(docs: DataFrame, key: bytes, idle: int = IDLE) -> tuple[DataFrame, in
         state, path = shared.stored_at(marked.select("token", "kind", "value", "shape", attempt.cast("int").alias("attempt"), closed.alias("closed")), "entities")
         used.append(path)
     left = again.where("NOT twice").count()
-    attempts = shared.stored(state.where("attempt > 0").select("token", "attempt"), "attempts")
-    for path in used:
-        shared.remove(spark, path)
-    return attempts, left
+    return shared.stored(state.where("attempt > 0").select("token", "attempt"), "attempts"), left
 
 
 _keys: dict[str, bytes] = {}
@@ -431,7 +490,9 @@ def anonymise(docs: DataFrame, key: bytes, checked: bool = True, few: int = FEW)
     if not key:
         raise ValueError("surrogates need a key")
     shared.bounded_batches(docs.sparkSession)
-    attempts = settle(docs, key)[0] if checked else None
+    attempts, left = settle(docs, key) if checked else (None, 0)
+    if left:
+        logging.getLogger(__name__).warning("%d entities have a surrogate that is another's original: their shapes leave no other", left)
     n = attempts.count() if checked else 0
     own = shared.fresh(docs.columns, "attempts")
     if n > few:
@@ -461,7 +522,7 @@ def _with_attempts(docs: DataFrame, attempts: DataFrame, key: bytes, own: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [{token(key, t[a:b], kind) for a, b, kind in detect(t)} if t else set() for t in batch.column("text").to_pylist()]
+            names = [{token(key, *part) for a, b, kind in detect(t) for part in settled_parts(t[a:b], kind)} if t else set() for t in batch.column("text").to_pylist()]
             row = pa.array([k for k, x in enumerate(names) for _ in x], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("r").take(row), batch.column("s").take(row), pa.array([t for x in names for t in x], pa.binary())], names=["r", "s", "token"])
 
